@@ -115,17 +115,17 @@ def lexicon_counts(text: Column, forms: Mapping[str, Sequence[str]], whole_word:
 
     def pattern(form: str) -> str:
         quoted = "".join(ch if ch.isalnum() or ch == " " else "\\" + ch for ch in form)
-        return rf"(?<!\w){quoted}(?!\w)" if whole_word else quoted
+        return rf"(?<![\p{{L}}\p{{N}}_]){quoted}(?![\p{{L}}\p{{N}}_])" if whole_word else quoted
 
     counts = {}
     for category, suspected in forms.items():
         if not suspected:
             counts[category] = F.lit(0).cast("bigint")
             continue
-        any_form = "(?iU)" + "|".join(pattern(form) for form in suspected)
+        any_form = "(?iu)" + "|".join(pattern(form) for form in suspected)
         hits = sum(
-            (F.regexp_count(text, F.lit("(?iU)" + pattern(form))) for form in suspected[1:]),
-            F.regexp_count(text, F.lit("(?iU)" + pattern(suspected[0]))),
+            (F.regexp_count(text, F.lit("(?iu)" + pattern(form))) for form in suspected[1:]),
+            F.regexp_count(text, F.lit("(?iu)" + pattern(suspected[0]))),
         )
         # One pass rules out most rows; only the rest pay for one pass per form.
         if len(suspected) > 1:

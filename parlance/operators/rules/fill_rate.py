@@ -39,11 +39,22 @@ def fill_rate_rule(
     passes_from: float = fixed.FILL_RATE_PASS,
     warns_above: float = fixed.FILL_RATE_WARN,
 ) -> Rule:
-    if not targets:
+    return _rule({name: populated(df, name, transcript) for name in targets}, passes_from, warns_above)
+
+
+def fill_rate_from_cells(
+    targets: Sequence[str], passes_from: float = fixed.FILL_RATE_PASS, warns_above: float = fixed.FILL_RATE_WARN
+) -> Rule:
+    """The rule for frames that already hold one ``filled_cell_<target>`` flag per target."""
+    return _rule({name: F.col(f"filled_cell_{name}") for name in targets}, passes_from, warns_above)
+
+
+def _rule(filled: dict[str, Column], passes_from: float, warns_above: float) -> Rule:
+    if not filled:
         raise ValueError("name at least one target column")
     if not 0.0 <= warns_above < passes_from <= 1.0:
         raise ValueError("fill-rate thresholds must be increasing and within 0 and 1")
-    filled = {name: populated(df, name, transcript) for name in targets}
+    targets = list(filled)
     all_filled = F.lit(True)
     for cell in filled.values():
         all_filled = all_filled & cell

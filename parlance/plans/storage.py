@@ -1,0 +1,35 @@
+"""Folders for intermediate tables.
+
+A table that several branches read is written once to the shared folder named by
+``spark.checkpoint.dir``, so it survives the loss of executors.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; in local sessions without one, a temporary folder."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame once and read it back, which also cuts its lineage."""
+    path = new_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -16,21 +16,22 @@ SMALL_INPUT_BYTES = 256 * 1024 * 1024
 SAMPLED_ROWS = 5000
 
 
-def read_table(spark: SparkSession, path: str, small_input_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Read parquet; spread an input so small that it would run as a single task.
+def read_table(spark: SparkSession, path: str, spread: bool = False, small_input_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+    """Read parquet; with ``spread``, let all cores share a small input.
 
-    A large input already has one split per block and is left as it is, so no
-    shuffle of text happens there.
+    A file of one row group is one task, which hurts where each row is costly to
+    inspect. A large input already has one split per block and is left as it is,
+    so text is never shuffled at scale.
     """
     df = spark.read.parquet(path)
-    if input_bytes(df) > small_input_bytes:
+    if not spread or input_bytes(df) > small_input_bytes:
         return df
     return df.repartition(spark.sparkContext.defaultParallelism)
 
 
 def input_bytes(df: DataFrame) -> int:
     """Estimated size of what a frame reads, from the optimiser's statistics."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def read_transcripts(
