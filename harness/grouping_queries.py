@@ -305,9 +305,10 @@ def filters_combined(spark, folder):
     ]
     kept = apply_filters(tb.events_fill(spark, folder), items[:2] + items[3:])
     never = apply_filters(tb.events_fill(spark, folder), [items[2]])
-    return kept.agg(F.count(F.lit(1)).alias("rows_kept")).withColumn("one", F.lit(1)).join(
-        never.agg(F.count(F.lit(1)).alias("rows_of_other_kind")).withColumn("one", F.lit(1)), "one"
-    ).drop("one")
+    both = kept.agg(F.count(F.lit(1)).alias("rows_kept")).unionByName(
+        never.agg(F.count(F.lit(1)).alias("rows_of_other_kind")), allowMissingColumns=True
+    )
+    return both.agg(F.max("rows_kept").alias("rows_kept"), F.max("rows_of_other_kind").alias("rows_of_other_kind"))
 
 
 FILTERS_COMBINED_SQL = f"""

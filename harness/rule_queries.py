@@ -15,7 +15,7 @@ from parlance.operators.features import text_features
 from parlance.operators.grouping import Grouping
 from parlance.operators.rules import base, fill_rate, topics
 from parlance.operators.rules import transcript_rules as tr
-from parlance.plans.storage import new_path
+from parlance.sources.storage import new_path
 from parlance.streaming import incremental
 
 BY_CALL_MONTH = Grouping("call_day", "month", {"lang": "lang"})

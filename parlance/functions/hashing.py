@@ -37,9 +37,12 @@ def stable_id(prefix: str, length: int, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(joined, 256), 1, length))
 
 
-def value_hash(value: Column) -> Column:
-    """Sixteen hex digits standing for a value: the hash of its JSON form."""
-    document = F.to_json(F.struct(value.alias("v")))
+def value_hash(value: Column, as_text: bool = False) -> Column:
+    """Sixteen hex digits standing for a value: the hash of its JSON form.
+
+    Dates and timestamps are hashed ``as_text``, because JSON would round them.
+    """
+    document = F.to_json(F.struct((value.cast("string") if as_text else value).alias("v")))
     scalar = F.substring(document, F.lit(6), F.length(document) - 6)
     return F.substring(F.sha2(scalar, 256), 1, 16)
 

@@ -27,9 +27,16 @@ def present(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
+def null_like_pattern(spellings: Sequence[str]) -> str:
+    """Anchored pattern for the spellings; it gives up within a few characters, however long the text."""
+    words = "|".join(re.escape(word) for word in spellings if word)
+    blank = "?" if "" in spellings else ""
+    return rf"(?iU)^\s*(?:{words}){blank}\s*\z"
+
+
 def is_null_like(text: Column, spellings: Sequence[str] = fixed.RULE_NULL_LIKE) -> Column:
     """True for null and for the given spellings of a missing value."""
-    return F.coalesce(F.lower(strip(text)).isin(list(spellings)), F.lit(True))
+    return F.coalesce(text.rlike(null_like_pattern(spellings)), F.lit(True))
 
 
 def truncate_text(text: Column, limit: int) -> tuple[Column, Column]:

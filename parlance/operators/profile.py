@@ -19,6 +19,7 @@ from parlance import fixed_values as fixed
 from parlance.functions import hashing
 from parlance.functions import text as tx
 from parlance.sources.readers import logical_type
+from parlance.sources.storage import materialize
 
 NUMERIC = ("integer", "float")
 TEMPORAL = ("date", "datetime")
@@ -32,65 +33,57 @@ def is_missing(column: Column, data_type: T.DataType, spellings: Sequence[str] =
     return column.isNull()
 
 
-def _inspected(text: Column, characters: int | None) -> Column:
-    return text if characters is None else F.substring(text, 1, characters)
-
-
-def _statistics(item: T.StructField, characters: int | None) -> Column:
-    """All merging statistics of one column, as one struct."""
-    column, kind = F.col(f"`{item.name}`"), logical_type(item.dataType)
-    kept = F.when(~is_missing(column, item.dataType), column)
-    finite = tx.safe_scalar(kept.cast("double")) if kind in NUMERIC else F.lit(None).cast("double")
-    text = kept if kind == "string" else F.lit(None).cast("string")
-    moment = kept.cast("timestamp_ntz") if kind in TEMPORAL else F.lit(None).cast("timestamp_ntz")
-    non_null = F.count(kept)
-    numbers = F.count(finite)
-    spread = F.when(numbers == 1, F.lit(0.0)).otherwise(F.stddev_samp(finite))
-    inspected = _inspected(text, characters)
-    hits = [
-        F.struct(
-            (F.count_if(inspected.rlike("(?U)" + pattern)) if kind == "string" else F.lit(0).cast("bigint")).alias("hits"),
-            F.lit(-position).alias("rank"),
-            F.lit(name).alias("name"),
-        )
+def _statistics(item: T.StructField, characters: int | None) -> str:
+    """All merging statistics of one column as one SQL struct.
+
+    A wide table needs hundreds of aggregates; written as text they reach the
+    JVM in one call per column.
+    """
+    kind = logical_type(item.dataType)
+    column = f"`{item.name}`"
+    missing = f"{column} is null"
+    if kind == "string":
+        missing = f"coalesce({column} rlike r'{tx.null_like_pattern(fixed.PROFILE_NULL_LIKE)}', true)"
+    elif isinstance(item.dataType, (T.DoubleType, T.FloatType)):
+        missing = f"({column} is null or isnan({column}))"
+    kept = f"if({missing}, null, {column})"
+    number = f"cast({kept} as double)" if kind in NUMERIC else "cast(null as double)"
+    if isinstance(item.dataType, (T.DoubleType, T.FloatType)):
+        number = f"if(abs({number}) = double('infinity'), null, {number})"
+    text = kept if kind == "string" else "cast(null as string)"
+    moment = f"cast({kept} as timestamp_ntz)" if kind in TEMPORAL else "cast(null as timestamp_ntz)"
+    inspected = text if characters is None else f"substring({text}, 1, {characters})"
+    hits = ", ".join(
+        f"named_struct('hits', {f"count_if({inspected} rlike r'(?U){pattern}')" if kind == 'string' else '0L'}, "
+        f"'rank', {-position}, 'name', '{name}')"
         for position, (name, pattern) in enumerate(fixed.PROFILE_PATTERNS)
-    ]
-    seen = F.filter(F.array(*hits), lambda entry: entry["hits"] > 0)
-    return F.struct(
-        F.lit(item.name).alias("column_name"),
-        F.lit(item.dataType.simpleString()).alias("source_type"),
-        F.when(non_null == 0, "unknown").otherwise(kind).alias("inferred_type"),
-        F.when(non_null == 0, 0.0).otherwise(1.0).alias("type_confidence"),
-        F.count(F.lit(1)).alias("row_count"),
-        non_null.alias("non_null_count"),
-        (F.count(F.lit(1)) - non_null).alias("null_count"),
-        F.coalesce(F.try_divide(non_null.cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0)).alias("fill_rate"),
-        F.struct(
-            numbers.alias("count"),
-            F.min(finite).alias("minimum"),
-            F.max(finite).alias("maximum"),
-            F.avg(finite).alias("mean"),
-            spread.alias("standard_deviation"),
-        ).alias("numeric"),
-        F.struct(
-            F.count(text).alias("count"),
-            F.min(F.length(text)).cast("bigint").alias("minimum_length"),
-            F.max(F.length(text)).cast("bigint").alias("maximum_length"),
-            F.avg(F.length(text)).alias("average_length"),
-            F.count_if(text == "").alias("blank_count"),
-            F.count_if((text != "") & ~tx.present(text)).alias("whitespace_only_count"),
-        ).alias("text"),
-        F.struct(F.count(moment).alias("count"), F.min(moment).alias("minimum"), F.max(moment).alias("maximum")).alias(
-            "temporal"
-        ),
-        F.transform(F.reverse(F.array_sort(seen)), lambda entry: entry["name"]).alias("detected_patterns"),
     )
+    return f"""named_struct(
+        'column_name', '{item.name}',
+        'source_type', '{item.dataType.simpleString()}',
+        'inferred_type', if(count({kept}) = 0, 'unknown', '{kind}'),
+        'type_confidence', if(count({kept}) = 0, 0D, 1D),
+        'row_count', count(1),
+        'non_null_count', count({kept}),
+        'null_count', count(1) - count({kept}),
+        'fill_rate', coalesce(try_divide(cast(count({kept}) as double), cast(count(1) as double)), 0D),
+        'numeric', named_struct(
+            'count', count({number}), 'minimum', min({number}), 'maximum', max({number}), 'mean', avg({number}),
+            'standard_deviation', if(count({number}) = 1, 0D, stddev_samp({number}))),
+        'text', named_struct(
+            'count', count({text}), 'minimum_length', cast(min(length({text})) as bigint),
+            'maximum_length', cast(max(length({text})) as bigint), 'average_length', avg(length({text})),
+            'blank_count', count_if({text} = ''),
+            'whitespace_only_count', count_if({text} <> '' and not {text} rlike r'(?U)\S')),
+        'temporal', named_struct('count', count({moment}), 'minimum', min({moment}), 'maximum', max({moment})),
+        'detected_patterns', transform(
+            reverse(array_sort(filter(array({hits}), entry -> entry.hits > 0))), entry -> entry.name))"""
 
 
 def column_statistics(df: DataFrame, table: str, characters: int | None = None) -> DataFrame:
     """One row per column from a single aggregate over the table."""
-    structs = [_statistics(item, characters) for item in df.schema.fields]
-    one_row = df.agg(F.array(*structs).alias("columns"))
+    structs = ", ".join(_statistics(item, characters) for item in df.schema.fields)
+    one_row = df.agg(F.expr(f"array({structs})").alias("columns"))
     return one_row.select(F.lit(table).alias("table_name"), F.inline("columns"))
 
 
@@ -100,7 +93,8 @@ def value_counts(df: DataFrame, table: str) -> DataFrame:
         F.struct(
             F.lit(item.name).alias("column_name"),
             F.when(
-                ~is_missing(F.col(f"`{item.name}`"), item.dataType), hashing.value_hash(F.col(f"`{item.name}`"))
+                ~is_missing(F.col(f"`{item.name}`"), item.dataType),
+                hashing.value_hash(F.col(f"`{item.name}`"), as_text=logical_type(item.dataType) in TEMPORAL),
             ).alias("value_hash"),
         )
         for item in df.schema.fields
@@ -164,32 +158,45 @@ def quantiles(
     if not numeric:
         return df.sparkSession.createDataFrame([], schema)
     values = {name: tx.safe_scalar(F.col(f"`{name}`").cast("double")) for name in numeric}
-    wanted = F.array(*[F.lit(probability) for probability in probabilities])
     if distinct:
-        each = df.select(
-            F.inline(F.array(*[F.struct(F.lit(n).alias("column_name"), v.alias("v")) for n, v in values.items()]))
-        )
-        # Values are few per column where exact quantiles of distinct values make sense.
-        per_column = each.where(F.col("v").isNotNull()).distinct().groupBy("column_name").agg(
-            F.percentile("v", wanted).alias("quantiles")
-        )
-    else:
-        one_row = df.agg(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("column_name"),
-                        F.percentile_approx(value, wanted, accuracy).alias("quantiles"),
-                    )
-                    for name, value in values.items()
-                ]
-            ).alias("columns")
-        )
-        per_column = one_row.select(F.inline("columns"))
+        entries = [F.struct(F.lit(name).alias("column_name"), value.alias("v")) for name, value in values.items()]
+        each = df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull()).distinct()
+        return _exact_quantiles(each, probabilities).select(F.lit(table).alias("table_name"), "*")
+    wanted = F.array(*[F.lit(probability) for probability in probabilities])
+    structs = [
+        F.struct(F.lit(name).alias("column_name"), F.percentile_approx(value, wanted, accuracy).alias("quantiles"))
+        for name, value in values.items()
+    ]
     pairs = F.arrays_zip(wanted.alias("probability"), F.col("quantiles").alias("quantile"))
+    per_column = df.agg(F.array(*structs).alias("columns")).select(F.inline("columns"))
     return per_column.select(F.lit(table).alias("table_name"), "column_name", F.inline(pairs))
 
 
+def _exact_quantiles(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Linearly interpolated quantiles of (column_name, v), however many values a column has.
+
+    Values are range-partitioned and stored, so that a value's rank is the number
+    of values in earlier partitions plus its position in its own.
+    """
+    ordered = values.repartitionByRange("column_name", "v").withColumn("part", F.spark_partition_id())
+    stored = materialize(ordered, "ordered-values")
+    sizes = stored.groupBy("column_name", "part").agg(F.count(F.lit(1)).alias("n"))
+    # One row per column and partition.
+    before = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("column_name")
+    offsets = sizes.select(
+        "column_name", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(whole).alias("total")
+    )
+    inside = Window.partitionBy("column_name", "part").orderBy("v")
+    ranked = stored.withColumn("position", F.row_number().over(inside)).join(offsets, ["column_name", "part"])
+    rank = F.col("offset") + F.col("position") - 1
+    wanted = F.array(*[F.lit(probability) for probability in probabilities])
+    near = F.filter(wanted, lambda probability: F.abs(rank - probability * (F.col("total") - 1)) < 1.0)
+    ends = ranked.select("column_name", "v", rank.alias("rank"), "total", F.explode(near).alias("probability"))
+    share = F.lit(1.0) - F.abs(F.col("rank") - F.col("probability") * (F.col("total") - 1))
+    return ends.groupBy("column_name", "probability").agg(F.sum(F.col("v") * share).alias("quantile"))
+
+
 TEXT_READINGS = {
     "integer": lambda text: text.try_cast("bigint").isNotNull() & text.rlike(r"^\s*[+-]?\d+\s*$"),
     "float": lambda text: text.try_cast("double").isNotNull(),

@@ -17,8 +17,7 @@ SKIPPED, PENDING, PARTIAL = "skipped", "implementation_pending", "partial"
 def run_summary(rows: DataFrame, filtered: DataFrame, metrics: DataFrame, statuses: DataFrame, evidence: DataFrame) -> DataFrame:
     """Rows read and kept, groups, rules by status, failures observed and retained.
 
-    ``statuses`` has one row per requested rule (rule_id, status). Every part is a
-    single row, joined on a constant.
+    ``statuses`` has one row per requested rule (rule_id, status).
     """
     groups = metrics.where(~F.col("is_overall")).select("time_period", F.to_json("dims").alias("dims")).distinct()
     status = F.col("status")
@@ -38,10 +37,10 @@ def run_summary(rows: DataFrame, filtered: DataFrame, metrics: DataFrame, status
             F.coalesce(F.sum("retained_count"), F.lit(0)).alias("evidence_retained"),
         ),
     ]
-    whole = parts[0].withColumn("one", F.lit(1))
+    single_rows = parts[0]
     for part in parts[1:]:
-        whole = whole.join(part.withColumn("one", F.lit(1)), "one")
-    return whole.drop("one")
+        single_rows = single_rows.unionByName(part, allowMissingColumns=True)
+    return single_rows.agg(*[F.max(name).alias(name) for name in single_rows.columns])
 
 
 def run_status(statuses: DataFrame, warnings: int = 0) -> DataFrame:

@@ -211,8 +211,8 @@ def assessment_confidence(
     )
     share = F.least(F.lit(1.0), F.col("collections") / fixed.CONFIDENCE_EVIDENCE_COLLECTIONS)
     reduced = F.greatest(F.lit(0.0), share - F.when(F.col("any_truncated"), fixed.CONFIDENCE_TRUNCATION_PENALTY).otherwise(0.0))
-    # Both sides are single rows.
-    facts = coverage.withColumn("one", F.lit(1)).join(kept.withColumn("one", F.lit(1)), "one")
+    single_rows = coverage.unionByName(kept, allowMissingColumns=True)
+    facts = single_rows.agg(*[F.max(name).alias(name) for name in single_rows.columns])
     has_rules = F.col("selected") > 0
     factors = {
         "rule_coverage": F.when(has_rules, F.col("rule_coverage")),

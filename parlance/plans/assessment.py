@@ -17,7 +17,7 @@ from parlance.operators.features import text_features
 from parlance.operators.filters import Filter, apply_filters
 from parlance.operators.grouping import Grouping
 from parlance.operators.rules import base, fill_rate, topics, transcript_rules
-from parlance.plans.storage import materialize
+from parlance.sources.storage import materialize
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from parlance.functions import text as tx
 
@@ -295,8 +294,3 @@ def read_lookup(spark: SparkSession, name: str, path: str) -> DataFrame:
     table = spark.read.schema(LOOKUP_SCHEMAS[name]).json(path)
     return table.where(F.coalesce("enabled", F.lit(True))).drop("enabled") if "enabled" in table.columns else table
 
-
-def first_entries(df: DataFrame, key: str, order: str) -> DataFrame:
-    """First row of every key, for look-ups where a repeat must not multiply rows."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    return ranked.where("_rank = 1").drop("_rank")
