@@ -35,6 +35,7 @@ SOURCES = {
     "calls": f"(select *, lang as agent_group from ({tb.CALLS_SQL}))",
     "gappy_events": f"({tb.sql(tb.EVENTS_FILL, 'events')})",
 }
+WIDE_OR_LONG = (*tb.LONG_TEXTS, "lineitem", "orders", "events", "customer", "part")
 LOGICAL = {"int": "integer", "bigint": "integer", "double": "float", "string": "string", "timestamp_ntz": "datetime", "date": "date", "array<float>": "array"}
 NUMERIC = ("int", "bigint", "double")
 NULLS = "'','null','none','nan','n/a','na'"
@@ -42,9 +43,9 @@ NULLS = "'','null','none','nan','n/a','na'"
 
 def frames(spark, folder):
     """All tables, and two derived ones with gaps and speaker tags."""
-    loaded = {name: tb.load(spark, folder, name) for name in tb.TABLES}
+    loaded = {name: tb.load(spark, folder, name, spread=name in WIDE_OR_LONG) for name in tb.TABLES}
     loaded["calls"] = tb.calls(spark, folder).withColumn("agent_group", F.col("lang"))
-    loaded["gappy_events"] = tb.events_fill(spark, folder)
+    loaded["gappy_events"] = tb.events_fill(spark, folder, spread=True)
     return loaded
 
 
@@ -172,7 +173,7 @@ QUANTILE_TABLES = ("customer", "part", "orders", "lineitem", "events", "document
 def _quantiles(distinct):
     def query(spark, folder):
         parts = [
-            prof.quantiles(tb.load(spark, folder, name), name, distinct=distinct, accuracy=100_000) for name in QUANTILE_TABLES
+            prof.quantiles(tb.load(spark, folder, name), name, distinct=distinct, exact=True) for name in QUANTILE_TABLES
         ]
         return runs.union_results(parts).withColumn("quantile", F.round("quantile", 6))
 
@@ -192,7 +193,7 @@ def _quantiles_sql(function: str, distinct: str) -> str:
 
 QUANTILES_SQL = {
     True: f"select table_name, column_name, probability, round(quantile, 6) as quantile from ({_quantiles_sql('quantile_cont', 'distinct')})",
-    False: f"select table_name, column_name, probability, round(quantile, 6) as quantile from ({_quantiles_sql('quantile_disc', '')})",
+    False: f"select table_name, column_name, probability, round(quantile, 6) as quantile from ({_quantiles_sql('quantile_cont', '')})",
 }
 AS_TEXT = {
     "key_text": "case when o_orderkey % 10 = 0 then 'none' else cast(o_orderkey as string) end",

@@ -60,8 +60,9 @@ SALT = b"test-salt"
 SOURCE = "documents"
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, f"{folder.rstrip('/')}/{name}.parquet", spread=name in LONG_TEXTS)
+def load(spark: SparkSession, folder: str, name: str, spread: bool | None = None) -> DataFrame:
+    wanted = name in LONG_TEXTS if spread is None else spread
+    return read_table(spark, f"{folder.rstrip('/')}/{name}.parquet", spread=wanted)
 
 
 def derived(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -74,8 +75,8 @@ def sql(columns: dict[str, str], table: str) -> str:
     return f"select {listed} from {table}"
 
 
-def events_fill(spark: SparkSession, folder: str) -> DataFrame:
-    return derived(load(spark, folder, "events"), EVENTS_FILL)
+def events_fill(spark: SparkSession, folder: str, spread: bool | None = None) -> DataFrame:
+    return derived(load(spark, folder, "events", spread), EVENTS_FILL)
 
 
 def events_bad_time(spark: SparkSession, folder: str) -> DataFrame:

@@ -302,8 +302,8 @@ def row_hashes(spark, folder):
     return tb.load(spark, folder, "events").select(
         "event_id",
         hashing.row_fingerprint("events", F.col("event_id"), tb.SALT).alias("fingerprint"),
-        hashing.value_hash(F.col("event_type")).alias("type_hash"),
-        hashing.value_hash(F.col("user_id")).alias("user_hash"),
+        hashing.value_hash(F.col("event_type"), "string").alias("type_hash"),
+        hashing.value_hash(F.col("user_id"), "integer").alias("user_hash"),
         hashing.stable_id("ev-", 24, F.col("event_type"), F.col("user_id")).alias("stable_id"),
         hashing.sample_hash("events", F.col("event_id")).alias("sample_hash"),
     )

@@ -37,13 +37,22 @@ def stable_id(prefix: str, length: int, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(joined, 256), 1, length))
 
 
-def value_hash(value: Column, as_text: bool = False) -> Column:
+def value_hash(value: Column, logical_type: str) -> Column:
     """Sixteen hex digits standing for a value: the hash of its JSON form.
 
-    Dates and timestamps are hashed ``as_text``, because JSON would round them.
+    Numbers and plain text are their own JSON form, give or take the quotes; a
+    JSON writer is used only where something must be escaped. Dates and
+    timestamps are written as text, because JSON would round them.
     """
-    document = F.to_json(F.struct((value.cast("string") if as_text else value).alias("v")))
+    document = F.to_json(F.struct(value.alias("v")))
     scalar = F.substring(document, F.lit(6), F.length(document) - 6)
+    quoted = F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
+    if logical_type in ("integer", "float", "boolean"):
+        scalar = value.cast("string")
+    elif logical_type in ("date", "datetime"):
+        scalar = quoted
+    elif logical_type == "string":
+        scalar = F.when(value.rlike(r'["\\\x00-\x1F]'), scalar).otherwise(quoted)
     return F.substring(F.sha2(scalar, 256), 1, 16)
 
 

@@ -47,17 +47,39 @@ def _statistics(item: T.StructField, characters: int | None) -> str:
     elif isinstance(item.dataType, (T.DoubleType, T.FloatType)):
         missing = f"({column} is null or isnan({column}))"
     kept = f"if({missing}, null, {column})"
-    number = f"cast({kept} as double)" if kind in NUMERIC else "cast(null as double)"
-    if isinstance(item.dataType, (T.DoubleType, T.FloatType)):
-        number = f"if(abs({number}) = double('infinity'), null, {number})"
-    text = kept if kind == "string" else "cast(null as string)"
-    moment = f"cast({kept} as timestamp_ntz)" if kind in TEMPORAL else "cast(null as timestamp_ntz)"
-    inspected = text if characters is None else f"substring({text}, 1, {characters})"
     hits = ", ".join(
-        f"named_struct('hits', {f"count_if({inspected} rlike r'(?U){pattern}')" if kind == 'string' else '0L'}, "
-        f"'rank', {-position}, 'name', '{name}')"
+        f"named_struct('hits', count_if({_inspected(kept, characters)} rlike r'(?U){pattern}'), 'rank', {-position}, 'name', '{name}')"
         for position, (name, pattern) in enumerate(fixed.PROFILE_PATTERNS)
     )
+    number = f"cast({kept} as double)"
+    if isinstance(item.dataType, (T.DoubleType, T.FloatType)):
+        number = f"if(abs({number}) = double('infinity'), null, {number})"
+    moment = f"cast({kept} as timestamp_ntz)"
+    # Statistics of another kind of column are constants, not aggregates over nulls.
+    numeric = (
+        f"named_struct('count', count({number}), 'minimum', min({number}), 'maximum', max({number}), 'mean', avg({number}), "
+        f"'standard_deviation', if(count({number}) = 1, 0D, stddev_samp({number})))"
+        if kind in NUMERIC
+        else f"named_struct('count', 0L, {_nulls('double', 'minimum', 'maximum', 'mean', 'standard_deviation')})"
+    )
+    text = (
+        f"named_struct('count', count({kept}), 'minimum_length', cast(min(length({kept})) as bigint), "
+        f"'maximum_length', cast(max(length({kept})) as bigint), 'average_length', avg(length({kept})), "
+        f"'blank_count', count_if({kept} = ''), 'whitespace_only_count', count_if({kept} <> '' and not {kept} rlike r'(?U)\S'))"
+        if kind == "string"
+        else f"named_struct('count', 0L, {_nulls('bigint', 'minimum_length', 'maximum_length')}, {_nulls('double', 'average_length')}, "
+        "'blank_count', 0L, 'whitespace_only_count', 0L)"
+    )
+    temporal = (
+        f"named_struct('count', count({kept}), 'minimum', min({moment}), 'maximum', max({moment}))"
+        if kind in TEMPORAL
+        else f"named_struct('count', 0L, {_nulls('timestamp_ntz', 'minimum', 'maximum')})"
+    )
+    detected = (
+        f"transform(reverse(array_sort(filter(array({hits}), entry -> entry.hits > 0))), entry -> entry.name)"
+        if kind == "string"
+        else "cast(array() as array<string>)"
+    )
     return f"""named_struct(
         'column_name', '{item.name}',
         'source_type', '{item.dataType.simpleString()}',
@@ -67,17 +89,18 @@ def _statistics(item: T.StructField, characters: int | None) -> str:
         'non_null_count', count({kept}),
         'null_count', count(1) - count({kept}),
         'fill_rate', coalesce(try_divide(cast(count({kept}) as double), cast(count(1) as double)), 0D),
-        'numeric', named_struct(
-            'count', count({number}), 'minimum', min({number}), 'maximum', max({number}), 'mean', avg({number}),
-            'standard_deviation', if(count({number}) = 1, 0D, stddev_samp({number}))),
-        'text', named_struct(
-            'count', count({text}), 'minimum_length', cast(min(length({text})) as bigint),
-            'maximum_length', cast(max(length({text})) as bigint), 'average_length', avg(length({text})),
-            'blank_count', count_if({text} = ''),
-            'whitespace_only_count', count_if({text} <> '' and not {text} rlike r'(?U)\S')),
-        'temporal', named_struct('count', count({moment}), 'minimum', min({moment}), 'maximum', max({moment})),
-        'detected_patterns', transform(
-            reverse(array_sort(filter(array({hits}), entry -> entry.hits > 0))), entry -> entry.name))"""
+        'numeric', {numeric},
+        'text', {text},
+        'temporal', {temporal},
+        'detected_patterns', {detected})"""
+
+
+def _inspected(text: str, characters: int | None) -> str:
+    return text if characters is None else f"substring({text}, 1, {characters})"
+
+
+def _nulls(kind: str, *names: str) -> str:
+    return ", ".join(f"'{name}', cast(null as {kind})" for name in names)
 
 
 def column_statistics(df: DataFrame, table: str, characters: int | None = None) -> DataFrame:
@@ -94,7 +117,7 @@ def value_counts(df: DataFrame, table: str) -> DataFrame:
             F.lit(item.name).alias("column_name"),
             F.when(
                 ~is_missing(F.col(f"`{item.name}`"), item.dataType),
-                hashing.value_hash(F.col(f"`{item.name}`"), as_text=logical_type(item.dataType) in TEMPORAL),
+                hashing.value_hash(F.col(f"`{item.name}`"), logical_type(item.dataType)),
             ).alias("value_hash"),
         )
         for item in df.schema.fields
@@ -150,18 +173,22 @@ def quantiles(
     table: str,
     probabilities: Sequence[float] = fixed.PROFILE_QUANTILES,
     distinct: bool = False,
+    exact: bool = False,
     accuracy: int = 10000,
 ) -> DataFrame:
-    """Quantiles of numeric columns: of rows with a bounded error, or of distinct values exactly."""
+    """Quantiles of numeric columns: of rows with a bounded error, or exactly, of rows or of distinct values."""
     numeric = [item.name for item in df.schema.fields if logical_type(item.dataType) in NUMERIC]
     schema = "table_name string, column_name string, probability double, quantile double"
     if not numeric:
         return df.sparkSession.createDataFrame([], schema)
     values = {name: tx.safe_scalar(F.col(f"`{name}`").cast("double")) for name in numeric}
-    if distinct:
+    if distinct or exact:
         entries = [F.struct(F.lit(name).alias("column_name"), value.alias("v")) for name, value in values.items()]
-        each = df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull()).distinct()
-        return _exact_quantiles(each, probabilities).select(F.lit(table).alias("table_name"), "*")
+        each = df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull())
+        counted = each.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+        if distinct:
+            counted = counted.withColumn("n", F.lit(1).cast("bigint"))
+        return _exact_quantiles(counted, probabilities).select(F.lit(table).alias("table_name"), "*")
     wanted = F.array(*[F.lit(probability) for probability in probabilities])
     structs = [
         F.struct(F.lit(name).alias("column_name"), F.percentile_approx(value, wanted, accuracy).alias("quantiles"))
@@ -173,28 +200,38 @@ def quantiles(
 
 
 def _exact_quantiles(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Linearly interpolated quantiles of (column_name, v), however many values a column has.
+    """Linearly interpolated quantiles of (column_name, v, n), however many values a column has.
 
-    Values are range-partitioned and stored, so that a value's rank is the number
-    of values in earlier partitions plus its position in its own.
+    Values are range-partitioned and stored, so that the ranks a value covers
+    follow from the rows in earlier partitions and those before it in its own.
     """
     ordered = values.repartitionByRange("column_name", "v").withColumn("part", F.spark_partition_id())
     stored = materialize(ordered, "ordered-values")
-    sizes = stored.groupBy("column_name", "part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stored.groupBy("column_name", "part").agg(F.sum("n").alias("rows"))
     # One row per column and partition.
     before = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("column_name")
     offsets = sizes.select(
-        "column_name", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(whole).alias("total")
+        "column_name", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"), F.sum("rows").over(whole).alias("total")
     )
-    inside = Window.partitionBy("column_name", "part").orderBy("v")
-    ranked = stored.withColumn("position", F.row_number().over(inside)).join(offsets, ["column_name", "part"])
-    rank = F.col("offset") + F.col("position") - 1
+    inside = Window.partitionBy("column_name", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = stored.withColumn("so_far", F.sum("n").over(inside)).join(offsets, ["column_name", "part"])
+    end = F.col("offset") + F.col("so_far")
+    start = end - F.col("n")
     wanted = F.array(*[F.lit(probability) for probability in probabilities])
-    near = F.filter(wanted, lambda probability: F.abs(rank - probability * (F.col("total") - 1)) < 1.0)
-    ends = ranked.select("column_name", "v", rank.alias("rank"), "total", F.explode(near).alias("probability"))
-    share = F.lit(1.0) - F.abs(F.col("rank") - F.col("probability") * (F.col("total") - 1))
-    return ends.groupBy("column_name", "probability").agg(F.sum(F.col("v") * share).alias("quantile"))
+
+    def share(probability: Column) -> Column:
+        """How much of the interpolated value this one contributes."""
+        position = probability * (F.col("total") - 1)
+        lower, upper = F.floor(position), F.ceil(position)
+        fraction = position - lower
+        from_lower = F.when((lower >= start) & (lower < end), F.lit(1.0) - fraction).otherwise(0.0)
+        from_upper = F.when((upper >= start) & (upper < end), fraction).otherwise(0.0)
+        return from_lower + from_upper
+
+    shares = F.transform(wanted, lambda probability: F.struct(probability.alias("probability"), share(probability).alias("share")))
+    parts = ranked.select("column_name", "v", F.inline(F.filter(shares, lambda entry: entry["share"] > 0)))
+    return parts.groupBy("column_name", "probability").agg(F.sum(F.col("v") * F.col("share")).alias("quantile"))
 
 
 TEXT_READINGS = {
