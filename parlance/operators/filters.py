@@ -50,6 +50,11 @@ def _literal(value: Any, data_type: T.DataType) -> Column | None:
 
 def condition(df: DataFrame, item: Filter) -> Column:
     """The filter as a boolean column that is never null."""
+    return F.coalesce(_predicate(df, item), F.lit(False))
+
+
+def _predicate(df: DataFrame, item: Filter) -> Column:
+    """The filter in a form the scan can take over; null where it does not hold."""
     if item.operator not in OPERATORS:
         raise ValueError(f"unknown filter operator {item.operator!r}")
     if len(item.values) > fixed.MAXIMUM_FILTER_VALUES:
@@ -74,10 +79,10 @@ def condition(df: DataFrame, item: Filter) -> Column:
             equal = column.eqNullSafe(usable[0]) if usable else F.lit(False)
         return equal if item.operator == "equals" else ~equal
     if item.operator in ("in", "not_in"):
-        listed = F.coalesce(column.isin(*usable), F.lit(False)) if usable else F.lit(False)
-        if None in item.values:
-            listed = listed | missing
-        return listed if item.operator == "in" else ~listed
+        listed = column.isin(*usable) if usable else F.lit(False)
+        if item.operator == "in":
+            return listed | missing if None in item.values else listed
+        return ~listed & ~missing if None in item.values else column.isNull() | ~listed
     if len(usable) < len(item.values):
         return F.lit(False)
     if item.operator == "between":
@@ -87,7 +92,7 @@ def condition(df: DataFrame, item: Filter) -> Column:
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
         # Spark orders NaN above every number.
         holds = holds & ~F.isnan(column)
-    return F.coalesce(holds, F.lit(False))
+    return holds
 
 
 def apply_filters(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
@@ -95,5 +100,5 @@ def apply_filters(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
     if len(filters) > fixed.MAXIMUM_FILTERS:
         raise ValueError("too many filters")
     for item in filters:
-        df = df.where(condition(df, item))
+        df = df.where(_predicate(df, item))
     return df

@@ -65,7 +65,7 @@ def _statistics(item: T.StructField, characters: int | None) -> str:
     text = (
         f"named_struct('count', count({kept}), 'minimum_length', cast(min(length({kept})) as bigint), "
         f"'maximum_length', cast(max(length({kept})) as bigint), 'average_length', avg(length({kept})), "
-        f"'blank_count', count_if({kept} = ''), 'whitespace_only_count', count_if({kept} <> '' and not {kept} rlike r'(?U)\S'))"
+        rf"'blank_count', count_if({kept} = ''), 'whitespace_only_count', count_if({kept} <> '' and not {kept} rlike r'(?U)\S'))"
         if kind == "string"
         else f"named_struct('count', 0L, {_nulls('bigint', 'minimum_length', 'maximum_length')}, {_nulls('double', 'average_length')}, "
         "'blank_count', 0L, 'whitespace_only_count', 0L)"
