@@ -30,7 +30,7 @@ def flat(metrics, dims):
     each = metrics.select(
         "rule_id", "is_overall", "time_period", *named, *COUNTS, "metric_name", "outcome", "value",
         F.explode_outer("value_map").alias("category", "category_value"),
-    ).where(F.col("value").isNotNull() | F.col("category").isNotNull())
+    ).where(F.col("value").isNotNull() | F.col("category_value").isNotNull())
     value = F.coalesce("value", "category_value")
     rounded = F.when(F.col("metric_name").isin(*INEXACT) | F.col("category").isin("average"), F.round(value, 6)).otherwise(value)
     return each.withColumn("value", rounded).drop("category_value")
