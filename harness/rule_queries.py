@@ -15,7 +15,7 @@ from parlance.operators.features import text_features
 from parlance.operators.grouping import Grouping
 from parlance.operators.rules import base, fill_rate, topics
 from parlance.operators.rules import transcript_rules as tr
-from parlance.sources.storage import new_path
+from parlance.sources.storage import materialize, new_path
 from parlance.streaming import incremental
 
 BY_CALL_MONTH = Grouping("call_day", "month", {"lang": "lang"})
@@ -424,7 +424,7 @@ select 'ev-' || substr(sha256(rule_id || '|' || is_overall || '|' || coalesce(ti
 
 
 def evidence_totals(spark, folder):
-    failing = call_failures(spark, folder)
+    failing = materialize(call_failures(spark, folder), "failures")
     kept = ev.collect_evidence(failing, BY_CALL_MONTH, "call_id", tb.SOURCE, tb.SALT, in_total=60)
     return ev.evidence_summary(failing, kept, BY_CALL_MONTH)
 

@@ -12,6 +12,7 @@ from parlance.functions import hashing, pii
 from parlance.functions import text as tx
 from parlance.operators import vocabulary
 from parlance.operators.features import text_features
+from parlance.sources.storage import materialize
 
 # The comparison engine has no look-around: boundaries are consumed there.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}([^A-Za-z0-9.-]|$)"
@@ -228,9 +229,9 @@ LEXICON_SQL = f"with {CALLS} select call_id, " + ", ".join(
 
 
 def english_words(spark, folder):
-    """Words seen at least five times in English documents."""
+    """Words seen at least five times in English documents; stored, since they are counted and then joined."""
     english = tb.load(spark, folder, "documents").where(F.col("lang") == "en")
-    return vocabulary.frequent_words(english, "text", 5)
+    return materialize(vocabulary.frequent_words(english, "text", 5), "words")
 
 
 WORDS_SQL = f"""

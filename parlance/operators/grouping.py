@@ -172,12 +172,13 @@ def roll_up(partials: DataFrame, grouping: Grouping, merges: Mapping[str, str])
     return rolled.where(F.col("is_overall") | F.col(IN_GROUP)).drop(IN_GROUP)
 
 
-def measure(df: DataFrame, grouping: Grouping, states: Mapping[str, State], keyed: bool = False) -> DataFrame:
-    """Overall and grouped states of a frame."""
-    rows = df if keyed else group_keys(df, grouping)
-    partials = limit_groups(partial_states(rows, grouping, states), grouping) if grouping.keys else partial_states(
-        rows, grouping, states
-    )
+def measure(
+    df: DataFrame, grouping: Grouping, states: Mapping[str, State], keyed: bool = False, limited: bool = False
+) -> DataFrame:
+    """Overall and grouped states of a frame; ``keyed`` and ``limited`` tell what was done before."""
+    partials = partial_states(df if keyed else group_keys(df, grouping), grouping, states)
+    if not limited:
+        partials = limit_groups(partials, grouping)
     return roll_up(partials, grouping, {name: state.merge for name, state in states.items()})
 
 

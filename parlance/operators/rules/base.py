@@ -84,35 +84,42 @@ def measure_rules(df: DataFrame, rules: Sequence[Rule], grouping: Grouping) -> D
     return grp.measure(df, grouping, rule_states(rules))
 
 
-def _metric_struct(rule: Rule, metric: Metric, decimals: int | None) -> Column:
+def _metric_structs(rule: Rule, decimals: int | None) -> list[Column]:
+    """The rule's metrics as structs; the cast to the standard type names the fields."""
+
     def state(name: str) -> Column:
         return F.col(f"{rule.rule_id}__{name}")
 
+    no_number = F.lit(None).cast("double")
+    no_map = F.lit(None).cast("map<string,double>")
+
     def number(column: Column | None) -> Column:
-        return F.lit(None).cast("double") if column is None else column.cast("double")
+        return no_number if column is None else column.cast("double")
 
     def rounded(column: Column) -> Column:
         return column if decimals is None else F.bround(column, decimals)
 
-    values = F.lit(None).cast("map<string,double>") if metric.value_map is None else metric.value_map
-    if decimals is not None and metric.value_map is not None:
-        values = F.transform_values(values, lambda _, value: F.bround(value, decimals))
-    return F.struct(
-        F.lit(rule.rule_id).alias("rule_id"),
-        state("row_count").alias("row_count"),
-        state("eligible_count").alias("eligible_count"),
-        state("passed_count").alias("passed_count"),
-        state("failed_count").alias("failed_count"),
-        (state("row_count") - state("eligible_count")).alias("skipped_count"),
-        F.lit(metric.name).alias("metric_name"),
-        rounded(number(metric.value)).alias("value"),
-        values.alias("value_map"),
-        F.lit(metric.unit).cast("string").alias("unit"),
-        number(metric.numerator).alias("numerator"),
-        number(metric.denominator).alias("denominator"),
-        F.lit(metric.threshold).cast("string").alias("threshold"),
-        (F.lit(NOT_EVALUATED) if metric.outcome is None else metric.outcome).cast("string").alias("outcome"),
-    ).cast(METRIC_TYPE)
+    def value_map(column: Column | None) -> Column:
+        if column is None or decimals is None:
+            return no_map if column is None else column
+        return F.transform_values(column, lambda _, value: F.bround(value, decimals))
+
+    counts = [state(name) for name in ("row_count", "eligible_count", "passed_count", "failed_count")]
+    shared = [F.lit(rule.rule_id), *counts, counts[0] - counts[1]]
+    return [
+        F.struct(
+            *shared,
+            F.lit(metric.name),
+            rounded(number(metric.value)),
+            value_map(metric.value_map),
+            F.lit(metric.unit),
+            number(metric.numerator),
+            number(metric.denominator),
+            F.lit(metric.threshold),
+            F.lit(NOT_EVALUATED) if metric.outcome is None else metric.outcome,
+        ).cast(METRIC_TYPE)
+        for metric in rule.metrics(state)
+    ]
 
 
 def metric_table(
@@ -122,10 +129,7 @@ def metric_table(
 
     All metrics leave one array per group, so the states are computed once.
     """
-    structs = []
-    for rule in rules:
-        metrics = rule.metrics(lambda name, rule=rule: F.col(f"{rule.rule_id}__{name}"))
-        structs += [_metric_struct(rule, metric, decimals) for metric in metrics]
+    structs = [struct for rule in rules for struct in _metric_structs(rule, decimals)]
     period = F.col(grp.PERIOD) if grp.PERIOD in grouping.keys else F.lit(None).cast("string")
     pairs = [part for name in grouping.dimensions for part in (F.lit(name), F.col(name))]
     dims = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
@@ -140,6 +144,23 @@ def metric_table(
     ])
 
 
+def measured_name(name: str) -> str:
+    """Identifier of a rule given by its own or its reporting name, however it is spelled."""
+    spelled = name.strip().casefold().replace("-", "_").replace(" ", "_")
+    known = {reported: measured for measured, reported in fixed.REPORTING_NAMES.items()}
+    if spelled in known:
+        return known[spelled]
+    if spelled in fixed.REPORTING_NAMES:
+        return spelled
+    raise ValueError(f"unknown rule {name!r}")
+
+
+def select_rules(rules: Sequence[Rule], names: Sequence[str]) -> list[Rule]:
+    """The rules asked for, in their own order."""
+    wanted = {measured_name(name) for name in names}
+    return [rule for rule in rules if rule.rule_id in wanted]
+
+
 def run_rules(
     df: DataFrame, rules: Sequence[Rule], grouping: Grouping, decimals: int | None = fixed.RESULT_DECIMALS
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,7 +16,7 @@ from parlance import fixed_values as fixed
 from parlance.functions import drift, ramps
 from parlance.functions import text as tx
 from parlance.operators import grouping as grp
-from parlance.operators.grouping import Grouping
+from parlance.operators.grouping import Grouping, State
 from parlance.operators.rules import base
 from parlance.operators.rules.base import Metric, Rule
 
@@ -30,30 +30,28 @@ def preferred_topic_column(targets: Sequence[str], aliases: Sequence[str]) -> st
     return next((by_name[alias.casefold()] for alias in aliases if alias.casefold() in by_name), targets[0])
 
 
-def _eligible(topic: str) -> Column:
-    return tx.present(F.col(topic).cast("string"))
+def topic_cells(keyed: DataFrame, topic: str, grouping: Grouping) -> DataFrame:
+    """Rows per distinct cell of a group: the one look at the rows that all else is made from."""
+    cell = F.col(topic).cast("string")
+    counted = keyed.groupBy(grp.IN_GROUP, *grouping.keys, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("filled", tx.present(F.col("cell")))
 
 
 def topic_counts(
-    keyed: DataFrame,
-    topic: str,
+    cells: DataFrame,
     grouping: Grouping,
     ontology: Ontology = (),
     fallback: str = fixed.TOPIC_FALLBACK,
     delimiters: str = fixed.TOPIC_DELIMITERS,
 ) -> DataFrame:
-    """Rows per (group, category), overall and grouped, for a keyed frame.
+    """Rows per (group, category), overall and grouped.
 
-    Whole cells are counted first, so that splitting and mapping run once per
-    distinct cell of a group rather than once per row.
+    Cells are counted before, so splitting and mapping run once per distinct
+    cell of a group rather than once per row.
     """
     keys = [grp.IN_GROUP, *grouping.keys]
-    cells = (
-        keyed.where(_eligible(topic))
-        .groupBy(*keys, F.col(topic).cast("string").alias("cell"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    parts = cells.select(*keys, "n", F.explode(tx.split_topics(F.col("cell"), delimiters)).alias("part"))
+    filled = cells.where("filled")
+    parts = filled.select(*keys, "n", F.explode(tx.split_topics(F.col("cell"), delimiters)).alias("part"))
     partial = (
         parts.withColumn("category", tx.topic_category(F.col("part"), ontology, fallback))
         .groupBy(*keys, "category")
@@ -78,12 +76,15 @@ def topic_states(
     limit: int = fixed.CATEGORIES_PER_GROUP,
 ) -> DataFrame:
     """Counters and the capped category map of every group."""
-    keyed = grp.limit_groups(grp.group_keys(df, grouping), grouping)
-    rule = Rule(RULE_ID, _eligible(topic), None, lambda state: [])
-    counters = grp.measure(keyed, grouping, rule.all_states(), keyed=True)
+    cells = topic_cells(grp.limit_groups(grp.group_keys(df, grouping), grouping), topic, grouping)
+    eligible = F.when(F.col("filled"), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("bigint")
+    counts = {"row_count": F.col("n"), "eligible_count": eligible, "passed_count": zero, "failed_count": zero}
+    states = {f"{RULE_ID}__{name}": State("sum", column) for name, column in counts.items()}
+    counters = grp.measure(cells, grouping, states, keyed=True, limited=True)
     keys = ["is_overall", *grouping.keys]
     capped = grp.category_counts(
-        topic_counts(keyed, topic, grouping, ontology, fallback, delimiters), keys, "category", "topic_count", limit
+        topic_counts(cells, grouping, ontology, fallback, delimiters), keys, "category", "topic_count", limit
     )
     tracked = F.col("category") != fixed.OTHER_VALUE
     entry = F.struct(F.col("category"), F.col("topic_count").cast("bigint"))
@@ -96,7 +97,7 @@ def topic_states(
     same = [counters[key].eqNullSafe(distribution[key]) for key in keys]
     return counters.join(distribution, same, "left").select(
         *[counters[key] for key in keys],
-        *[counters[name] for name in rule.all_states()],
+        *[counters[name] for name in states],
         F.coalesce("distribution", F.create_map().cast("map<string,bigint>")).alias("distribution"),
         F.coalesce("dominant_count", F.lit(0)).alias("dominant_count"),
         (F.coalesce("tracked", F.lit(0)) + F.coalesce("overflowed", F.lit(0))).alias("distinct_lower_bound"),

@@ -63,12 +63,17 @@ def understand(
 
 
 def transcript_features(
-    df: DataFrame, columns: TranscriptColumns, settings: Settings, words: DataFrame | None, word_count: int, keep: Sequence[str]
+    df: DataFrame,
+    columns: TranscriptColumns,
+    settings: Settings,
+    words: DataFrame | None,
+    word_count: int,
+    keep: Sequence[str],
 ) -> DataFrame:
-    """Features of all transcript rules, without the text, written once for all branches."""
+    """Features of all transcript rules beside the columns to keep, written once for all branches."""
     featured = text_features(df, columns.transcript, lexicon=settings.lexicon, with_tokens=words is not None)
-    slim = featured.drop(columns.transcript) if columns.transcript not in keep else featured
-    stored = materialize(slim, "features")
+    added = [name for name in featured.columns if name not in df.columns]
+    stored = materialize(featured.select(*dict.fromkeys(keep), *added), "features")
     if words is None:
         none = {name: F.lit(0).cast("bigint") for name in ("evaluated_words", "unknown_words")}
         return stored.withColumns(none)
@@ -85,14 +90,17 @@ def assess(
     filters: Sequence[Filter] = (),
     words: DataFrame | None = None,
     provenance_matches: bool = True,
+    only: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
-    """All rules over one transcript table, then evidence, scores and patterns."""
+    """All rules, or only those named, over one transcript table, then evidence, scores and patterns."""
     rows = apply_filters(df, filters)
     targets = list(columns.targets) or [columns.transcript]
     word_count = vocabulary.vocabulary_size(words) if words is not None else 0
     filled = {f"filled_cell_{name}": fill_rate.populated(rows, name, columns.transcript) for name in targets}
     marked = rows.withColumns(filled)
-    features = transcript_features(marked, columns, settings, words, word_count, keep=())
+    grouped_by = [grouping.time_column, *grouping.dimensions.values(), columns.duration]
+    keep = [columns.row_key, *[name for name in grouped_by if name], *filled]
+    features = transcript_features(marked, columns, settings, words, word_count, keep)
     rules = [
         fill_rate.fill_rate_from_cells(targets),
         transcript_rules.speaker_tag_rule(),
@@ -103,12 +111,14 @@ def assess(
         rules.append(transcript_rules.speech_rate_rule(columns.duration, settings.duration_unit))
     if settings.lexicon:
         rules.append(transcript_rules.lexicon_rule(settings.lexicon))
+    if only:
+        rules = base.select_rules(rules, only)
     keyed = grp.group_keys(features, grouping)
     states = grp.measure(keyed, grouping, base.rule_states(rules), keyed=True)
     tables = [base.metric_table(states, rules, grouping, settings.decimals)]
     requested = [rule.rule_id for rule in rules]
-    if columns.topic:
-        mixed = topics.topic_states(rows, columns.topic, grouping, settings.ontology)
+    if columns.topic and (not only or topics.RULE_ID in {base.measured_name(name) for name in only}):
+        mixed = materialize(topics.topic_states(rows, columns.topic, grouping, settings.ontology), "topic-states")
         tables.append(topics.topic_metrics(mixed, grouping, decimals=settings.decimals))
         requested.append(topics.RULE_ID)
     metrics = materialize(runs.union_results(tables), "metrics")

@@ -12,7 +12,6 @@ from parlance.functions import text as tx
 
 MODES = {"warn": "PERMISSIVE", "skip": "DROPMALFORMED", "error": "FAILFAST"}
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
-SAMPLED_ROWS = 5000
 
 
 def read_table(spark: SparkSession, path: str, spread: bool = False, small_input_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
@@ -42,21 +41,24 @@ def read_transcripts(
     quote: str = '"',
     encoding: str = "UTF-8",
     corrupt_column: str = "_corrupt_line",
+    multiline: bool = True,
 ) -> DataFrame:
     """Read a CSV of transcripts, or parquet when the path says so.
 
     Undecodable bytes are replaced and blank lines skipped. ``bad_lines`` keeps
     malformed lines in ``corrupt_column`` (warn), drops them (skip) or stops (error).
+    With ``multiline`` a quoted field may hold line breaks, but a file is one task;
+    switch it off for very large files without such fields, so that they split.
     """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     reader = (
         spark.read.option("header", True).option("sep", separator).option("quote", quote).option("escape", quote)
-        .option("encoding", encoding).option("multiLine", True).option("mode", MODES[bad_lines])
+        .option("encoding", encoding).option("multiLine", multiline).option("mode", MODES[bad_lines])
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     )
     if schema is None:
-        schema = infer_schema(spark, path, separator=separator, quote=quote, encoding=encoding)
+        schema = infer_schema(spark, path, separator=separator, quote=quote, encoding=encoding, multiline=multiline)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     names = [name.casefold() for name in schema.names]
@@ -82,11 +84,12 @@ def infer_schema(
     separator: str = ",",
     quote: str = '"',
     encoding: str = "UTF-8",
+    multiline: bool = True,
 ) -> T.StructType:
     """Types of the CSV columns from a sample; dates stay text until declared otherwise."""
     inferred = (
         spark.read.option("header", True).option("sep", separator).option("quote", quote).option("escape", quote)
-        .option("encoding", encoding).option("multiLine", True).option("inferSchema", True)
+        .option("encoding", encoding).option("multiLine", multiline).option("inferSchema", True)
         .option("samplingRatio", sample_ratio).csv(path).schema
     )
 

@@ -85,6 +85,17 @@ def test_assessment(spark):
         assert "transcript" not in table.columns and "tokens" not in table.columns
 
 
+def test_chosen_rules(spark):
+    calls = tb.calls(spark, FOLDER)
+    columns = assessment.TranscriptColumns("call_id", "transcript", targets=("lang",))
+    settings = assessment.Settings("documents", b"salt")
+    made = assessment.assess(calls, columns, Grouping("call_day", "month"), settings, only=("fill_rate", "Privacy Detection"))
+    assert {row["rule_id"] for row in made["metrics"].select("rule_id").distinct().collect()} == {"fill_rate", "pii_detection"}
+    assert made["aggregate_score"].first()["score"] is None
+    with pytest.raises(ValueError):
+        base.measured_name("nothing")
+
+
 def test_understanding(spark):
     tables = {name: tb.load(spark, FOLDER, name) for name in ("orders", "conversations")}
     made = assessment.understand(tables, signals.policy_table(spark), [Selector("fill_rate", column_name_patterns=("key$",))])
