@@ -11,7 +11,6 @@ from harness import text_queries as tq
 from parlance import fixed_values as fixed
 from parlance.functions import ramps
 from parlance.operators import evidence as ev
-from parlance.operators import grouping as grp
 from parlance.operators import patterns, runs, scoring
 from parlance.operators.filters import Filter, apply_filters
 from parlance.operators.rules import base, fill_rate, topics

@@ -8,7 +8,7 @@ from parlance.functions import dates
 from parlance.operators import binding
 from parlance.operators import grouping as grp
 from parlance.operators.filters import Filter, apply_filters, condition
-from parlance.operators.grouping import Grouping, GroupLimitError, State
+from parlance.operators.grouping import Grouping, GroupLimitError
 
 ROWS = [
     (1, "2024-01-31", "a", 1.0),
