@@ -1,6 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -30,11 +31,16 @@ def rows(columns, records):
     return sorted((tuple(plain(record[position]) for position in order) for record in records), key=repr)
 
 
+def own(names):
+    """Without the training-data operators, which have tests of their own."""
+    return sorted(name for name in names if not re.match(r"op\d+_|pipeline$", name))
+
+
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert own(entry.queries()) == own(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", own(entry.queries()))
 def test_query_matches_sql(spark, engine, name):
     found = entry.queries()[name](spark, FOLDER)
     expected = engine.execute(entry.oracle_sql()[name])
