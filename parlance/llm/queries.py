@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, quality_rules, sharding
+from parlance.llm import chat_format, minhash_dedup, quality_rules, sharding, substring_dedup
 from parlance.llm.tables import table
 
 SHARDS = 40
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op2_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, folder, "documents"), shingle_words=2, percent=80)
+
+
 def op3_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     dealt = sharding.feistel_shards(table(spark, folder, "documents"), SHARDS)
     return dealt.select(
@@ -20,6 +24,11 @@ def op3_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substring_dedup.remove_repeated(table(spark, folder, "documents"), min_words=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.repetition_coverage(table(spark, folder, "documents"))
 
@@ -41,7 +50,9 @@ def op9_chat_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_feistel_shards": op3_feistel_shards,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_repetition_coverage": op7_repetition_coverage,
     "op9_chat_events": op9_chat_events,
 }
@@ -64,4 +75,48 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
-ORACLES = {"op9_chat_events": _CHAT_SQL}
+_SUBSTRING_SQL = """
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x != '') as w
+  from documents
+), windows as (
+  select doc_id, i, md5(array_to_string(w[i + 1 : i + 35], ' ')) as h
+  from (select doc_id, w, unnest(range(0, len(w) - 34)) as i from words)
+), repeated as (select h from windows group by h having count(*) > 1),
+gone as (
+  select distinct doc_id, i + k as place
+  from (select doc_id, i from windows where h in (select h from repeated)), (select unnest(range(1, 36)) as k)
+), removed as (select doc_id, list(place) as gone from gone group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  sha256(array_to_string(
+    list_filter(w, lambda x, i: not coalesce(list_contains(gone, i), false)), ' ')) as kept_sha256
+from words left join removed using (doc_id)
+"""
+
+_DEDUP_SQL = """
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \\x09-\\x0D]+'), lambda x: x != '') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w else list_distinct(list_transform(
+    range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
+  from words
+), shingles as (select doc_id, len(s) as n, unnest(s) as x from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b using (x)
+  where a.doc_id != b.doc_id group by a.doc_id, b.doc_id, a.n, b.n
+  having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach as (
+  select doc_id, doc_id as other from sets union select r.doc_id, l.b from reach r join links l on l.a = r.other
+), roots as (select doc_id, min(other) as component_id from reach group by doc_id)
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept
+from sets join roots using (doc_id)
+"""
+
+ORACLES = {
+    "op2_minhash_dedup": _DEDUP_SQL,
+    "op5_substring_dedup": _SUBSTRING_SQL,
+    "op9_chat_events": _CHAT_SQL,
+}
