@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, minhash_dedup, quality_rules, sharding, substring_dedup
+from parlance.llm import chat_format, minhash_dedup, quality_rules, sharding, substring_dedup, token_files, warc
 from parlance.llm.tables import table
 
 SHARDS = 40
@@ -24,6 +24,14 @@ def op3_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    written, manifest = token_files.write_token_files(table(spark, folder, "documents"), vocabulary)
+    return token_files.read_token_files(spark, written, manifest).withColumnRenamed("id", "doc_id")
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = substring_dedup.remove_repeated(table(spark, folder, "documents"), min_words=35)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -33,6 +41,20 @@ def op7_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.repetition_coverage(table(spark, folder, "documents"))
 
 
+def op8_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    planned = warc.plan_records(table(spark, folder, "pages"))
+    written, manifest = warc.write_archives(planned)
+    records = warc.chunk_records(warc.read_chunks(spark, written, manifest))
+
+    def page(name: str):
+        return F.regexp_extract(name, "(-?[0-9]+)>$", 1).try_cast("bigint")
+
+    return records.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.when(F.col("refers_to").isNotNull(), page("refers_to")).alias("refers_to"), "whole",
+    )
+
+
 def op9_chat_events(spark: SparkSession, folder: str) -> DataFrame:
     probe = spark.range(2).select(
         F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
@@ -52,8 +74,10 @@ def op9_chat_events(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_feistel_shards": op3_feistel_shards,
+    "op4_token_files": op4_token_files,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_repetition_coverage": op7_repetition_coverage,
+    "op8_warc_chunks": op8_warc_chunks,
     "op9_chat_events": op9_chat_events,
 }
 
