@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, minhash_dedup, quality_rules, sharding, substring_dedup, token_files, warc
+from parlance.llm import chat_format, decontamination, minhash_dedup, quality_rules, sharding, substring_dedup, token_files, warc
 from parlance.llm.tables import table
 
 SHARDS = 40
@@ -71,6 +71,14 @@ def op9_chat_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_feistel_shards": op3_feistel_shards,
@@ -79,6 +87,7 @@ QUERIES = {
     "op7_repetition_coverage": op7_repetition_coverage,
     "op8_warc_chunks": op8_warc_chunks,
     "op9_chat_events": op9_chat_events,
+    "op10_winnowing": op10_winnowing,
 }
 
 _CHAT_SQL = """
@@ -139,7 +148,34 @@ select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = comp
 from sets join roots using (doc_id)
 """
 
+_WINNOWING_SQL = """
+with cut as (
+  select kind, id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x != '') as w
+  from (select 'd' as kind, doc_id as id, text from documents union all select 'b', item_id, text from benchmark)
+), windows as (
+  select distinct id as item_id, n, array_to_string(w[i + 1 : i + n], ' ') as t
+  from (select id, w, least(10, len(w)) as n, unnest(range(0, greatest(len(w) - 9, 1))) as i
+    from cut where kind = 'b' and len(w) > 0)
+), places as (
+  select id as doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') as t
+  from (select id, w, n, unnest(range(0, len(w) - n + 1)) as i from cut, (select distinct n from windows) where kind = 'd')
+), hits as (select doc_id, n, i, item_id from places join windows using (n, t)),
+covered as (
+  select doc_id, count(distinct place) as n_hit
+  from (select doc_id, unnest(range(i, i + n)) as place from (select distinct doc_id, i, n from hits)) group by doc_id
+), named as (
+  select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256
+  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id
+)
+select id as doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256, n_hit is not null as contaminated
+from cut left join covered on covered.doc_id = id left join named on named.doc_id = id where kind = 'd'
+"""
+
 ORACLES = {
+    "op10_winnowing": _WINNOWING_SQL,
     "op2_minhash_dedup": _DEDUP_SQL,
     "op5_substring_dedup": _SUBSTRING_SQL,
     "op9_chat_events": _CHAT_SQL,
