@@ -5,13 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, decontamination, minhash_dedup, quality_rules, sharding, substring_dedup, token_files, warc
+from parlance.llm import (
+    chat_format,
+    decontamination,
+    minhash_dedup,
+    piece_codec,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    token_files,
+    warc,
+)
 from parlance.llm.tables import table
 
 SHARDS = 40
 PROBE = "</s>[INST] ok [/INST]"
 
 
+GOOD = 2
+
+
+def rated_grade():
+    """Grades of the ratings: 0 toxic, 1 of low quality, 2 good."""
+    return F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, GOOD)
+
+
+def op1_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = quality_classifier.fit(documents, table(spark, folder, "labels"), rated_grade())
+    scored = quality_classifier.score(documents.select("doc_id", "text"), model, GOOD)
+    return scored.select("doc_id", "score", "expected_grade", "tail_probability", "kept")
+
+
 def op2_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, folder, "documents"), shingle_words=2, percent=80)
 
@@ -37,6 +63,19 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_piece_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_codec.encode(table(spark, folder, "documents").select("doc_id", "text"), model)
+    decoded = piece_codec.decode(coded, model)
+    return decoded.select(
+        "doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"),
+        F.sha2(F.array_join("piece_ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op7_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.repetition_coverage(table(spark, folder, "documents"))
 
@@ -80,10 +119,12 @@ def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ordinal_quality": op1_ordinal_quality,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_token_files": op4_token_files,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_piece_transducer": op6_piece_transducer,
     "op7_repetition_coverage": op7_repetition_coverage,
     "op8_warc_chunks": op8_warc_chunks,
     "op9_chat_events": op9_chat_events,

@@ -285,21 +285,23 @@ def _cut(batches, min_words: int, rejoin: bool):
                     parts.append(raw[at : int(words.starts[low + a])])
                     at = int(words.starts[low + b]) if low + b < high else int(words.ends[low + b - 1])
                 kept_texts.append(b"".join([*parts, raw[at:end]]))
+            kept = pa.array(kept_texts, pa.binary()).cast(pa.string())
+            rest = [batch.column(i).slice(block.first, block.rows) for i in range(3, batch.num_columns)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(block.first, block.rows), pa.array(words.counts.astype(np.int64)),
-                    pa.array(kernels.sums_by_row(gone, words.offsets)),
-                    pa.array(kept_texts, pa.binary()).cast(pa.string()),
+                    pa.array(kernels.sums_by_row(gone, words.offsets)), kept, *rest,
                 ],
-                ["id", "n_words", "n_removed", "kept_text"],
+                ["id", "n_words", "n_removed", "kept_text", *(f"rest_{i}" for i in range(len(rest)))],
             )
 
 
 def remove_repeated(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = 35,
     anchor_words: int = ANCHOR_WORDS, shard_regions: int = SHARD_REGIONS, rejoin: bool = True,
+    carried: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row: id, n_words, n_removed and kept_text.
+    """One row per row: id, n_words, n_removed, kept_text, and the carried columns.
 
     The kept text is the kept words joined by one space, or with `rejoin=False` the text as it was, without the removed spans.
     """
@@ -307,19 +309,24 @@ def remove_repeated(
         raise ValueError("a region's windows must fit a mask of 62 bits")
     kind = df.schema[id_column].dataType.simpleString()
     text = df[text_column].cast("string")
-    texts = df.select(df[id_column].alias("id"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("version"), text.alias("text"))
+    texts = df.select(
+        df[id_column].alias("id"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("version"), text.alias("text"),
+        *(df[name].alias(f"rest_{i}") for i, name in enumerate(carried)),
+    )
     occurrences = stored(
         arrow_map(
-            texts, _occurrences, f"id {kind}, version bigint, first int, count smallint, anchor bigint, region bigint",
+            texts.select("id", "version", "text"), _occurrences, f"id {kind}, version bigint, first int, count smallint, anchor bigint, region bigint",
             min_words=min_words, anchor_words=anchor_words,
         ),
         "anchors",
     )
-    marks = repeated_regions(occurrences, texts, min_words, shard_regions)
+    marks = repeated_regions(occurrences, texts.select("id", "version", "text"), min_words, shard_regions)
     marks = marks.groupBy("id", "version").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
     marks = stored(marks, "marks").toDF("mark_id", "mark_version", "marks")
     marked = texts.join(
         marks, texts["id"].eqNullSafe(marks["mark_id"]) & (texts["version"] == marks["mark_version"]), "left"
-    ).select("id", "text", "marks")
-    cut = arrow_map(marked, _cut, f"id {kind}, n_words bigint, n_removed bigint, kept_text string", min_words=min_words, rejoin=rejoin)
-    return cut.withColumnRenamed("id", id_column)
+    ).select("id", "text", "marks", *(f"rest_{i}" for i in range(len(carried))))
+    schema = f"id {kind}, n_words bigint, n_removed bigint, kept_text string" + "".join(
+        f", rest_{i} {df.schema[name].dataType.simpleString()}" for i, name in enumerate(carried))
+    cut = arrow_map(marked, _cut, schema, min_words=min_words, rejoin=rejoin)
+    return cut.toDF(id_column, "n_words", "n_removed", "kept_text", *carried)
