@@ -205,7 +205,8 @@ class PieceCodec(dict):
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.spelling.__getitem__, ids))
-        return data[data[:1] == b" ":].decode("utf-8", "replace")
+        first = next((i for i in ids if self.spelling[i]), self.machine.unknown)
+        return data[self.machine.text_of[first].startswith(SPACE):].decode("utf-8", "replace")
 
 
 def codec(path: str) -> PieceCodec:

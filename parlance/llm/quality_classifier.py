@@ -5,7 +5,7 @@ text into grades: P(grade >= k) = 1 / (1 + exp(t_k - s)). The sum of these tail
 tail at a chosen grade decides selection.
 
 * Ratings are sampled by a hash of their id, up to about `sample_per_grade` for each grade (a documented bound, 6,000 by
-  default), with weights that undo the grades' different numbers.
+  default), so that grades keep their shares unless one exceeds it.
 * Spark counts in how many sampled texts of each grade a hash bucket occurs; the `buckets_kept` buckets whose counts differ most
   between grades (chi-squared) enter the model. The driver then holds at most sample size times kept buckets numbers.
 * Scoring is one pass without a shuffle: the weights (a fixed number of buckets) travel with the tasks.
@@ -36,10 +36,10 @@ HASH_BUCKETS = 1 << 18
 SAMPLE_PER_GRADE = 6000
 BUCKETS_KEPT = 512
 LEAST_TEXTS = 3
-PENALTY = 0.03
+PENALTY = 0.01
 STEPS = 400
 RATE = 0.05
-LEAST_TAIL = 0.3
+LEAST_TAIL = 0.4
 WORD_BYTES = kernels.byte_table(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 _SYMBOLS = kernels.byte_table(b"#*$%&|<>{}[]=_~^\\@+/")
 _SHOUTS = kernels.byte_table(b"!?")
@@ -115,9 +115,9 @@ def fit_thresholds_and_weights(
     grades: np.ndarray, bounds: np.ndarray, buckets: np.ndarray, n_buckets: int, n_grades: int,
     penalty: float = PENALTY, steps: int = STEPS, rate: float = RATE,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum penalised likelihood by Adam; grades weigh equally. Thresholds are a first one and positive gaps."""
+    """Maximum penalised likelihood by Adam; texts weigh equally. Thresholds are a first one and positive gaps."""
     rows = np.repeat(np.arange(len(grades)), np.diff(bounds))
-    importance = 1 / np.maximum(np.bincount(grades, minlength=n_grades), 1)[grades] / n_grades
+    importance = np.full(len(grades), 1 / max(len(grades), 1))
     weights = np.zeros(n_buckets)
     ends = np.zeros(n_grades - 1)  # the first threshold, then logarithms of gaps
     ends[0] = -0.5 * (n_grades - 2)
@@ -174,7 +174,7 @@ def fit(
     gain = F.lit(0.0)
     for value, n in sizes.items():
         share = n / total
-        seen = F.coalesce(F.get(F.filter("by_grade", lambda x, value=value: x["grade"] == value), F.lit(0))["n"], F.lit(0))
+        seen = F.coalesce(F.element_at(F.map_from_entries("by_grade"), F.lit(value)), F.lit(0))
         gain = gain + (seen - F.col("all") * share) ** 2 / (F.col("all") * share)
     chosen = sums.filter(F.col("all") >= LEAST_TEXTS).select("bucket", gain.alias("gain")).orderBy(
         F.desc("gain"), "bucket").limit(buckets_kept)
