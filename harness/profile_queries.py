@@ -138,14 +138,13 @@ VALUES_CTE = "v as (" + " union all ".join(
 
 
 def distinct_counts(spark, folder):
-    """Distinct values per column, exact up to a thousand."""
-    return prof.distinct_counts(value_counts(spark, folder), cap=1000)
+    """Distinct values of every column, and which columns have more than a thousand."""
+    return prof.distinct_counts(value_counts(spark, folder), many=1000)
 
 
 DISTINCT_SQL = f"""with {PROFILE_CTE}
-select table_name, column_name, case when distinct_values <= 1000 then distinct_values end as distinct_count,
-       case when distinct_values <= 1000 then 'exact' else 'capped' end as distinct_count_mode,
-       case when distinct_values > 1000 then cast(1000 as bigint) end as distinct_lower_bound from p where non_null_count > 0 and column_name <> 'embedding'"""
+select table_name, column_name, distinct_values as distinct_count, 'exact' as distinct_count_mode,
+       case when distinct_values > 1000 then 'many' else 'few' end as distinct_size from p where non_null_count > 0 and column_name <> 'embedding'"""
 
 
 def top_values(spark, folder):
@@ -321,10 +320,24 @@ def _list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]::varchar[]"
 
 
+# Words in the names of the test tables' columns.
+FIXTURE_ONTOLOGY = classify.extended({
+    "conversation.transcript": ("summary",),
+    "interaction.identifier": ("orderkey", "partkey", "suppkey"),
+    "party.customer": ("cust", "custkey"),
+    "interaction.time": ("ts", "orderdate", "shipdate"),
+    "interaction.duration": ("chars", "turn", "dur"),
+    "conversation.topic": ("type", "priority"),
+    "conversation.sentiment": ("quality", "toxic"),
+    "product": ("brand", "part"),
+    "platform.lineage": ("source", "url"),
+})
+
+
 def _score_sql() -> str:
     weights = fixed.DOMAIN_WEIGHTS
     selects = []
-    for entry in classify.ONTOLOGY:
+    for entry in FIXTURE_ONTOLOGY:
         names = list(entry["name_tokens"])
         phrases = list(dict.fromkeys(classify._words(entry["description_phrases"]) + names))
         hints = list(dict.fromkeys(classify._words(entry["value_hints"]) + names))
@@ -362,7 +375,7 @@ dom as (select table_name, column_name, case when score >= 0.55 then domain else
 
 
 def domains(spark, folder):
-    return classify.classify_columns(profiles(spark, folder), dictionary(spark, folder))
+    return classify.classify_columns(profiles(spark, folder), dictionary(spark, folder), FIXTURE_ONTOLOGY)
 
 
 def column_domains(spark, folder):
@@ -373,7 +386,7 @@ DOMAINS_SQL = f"with {DOMAINS_CTE} select * from dom"
 
 
 def domain_scores(spark, folder):
-    return classify.domain_scores(profiles(spark, folder), dictionary(spark, folder)).select(
+    return classify.domain_scores(profiles(spark, folder), dictionary(spark, folder), FIXTURE_ONTOLOGY).select(
         "table_name", "column_name", "domain", F.round("score", 9).alias("score")
     )
 
@@ -421,8 +434,8 @@ def _relation(kind: str, source: str, target: str, confidence: str, method: str)
 
 
 RATIO = "(distinct_values / cast(non_null_count as double))"
-IDENTIFIERS_SQL = _relation("identifier", "column_name", "null", f"least(1.0, {RATIO})", "exact_distinct_ratio") + f" from p where distinct_values <= 50000 and non_null_count > 0 and {RATIO} >= 0.995"
-CATEGORICAL_SQL = _relation("categorical_dimension", "column_name", "null", f"least(0.95, 1.0 - {RATIO})", "exact_distinct_ratio") + f" from p where distinct_values <= 50000 and distinct_values > 1 and {RATIO} <= 0.05"
+IDENTIFIERS_SQL = _relation("identifier", "column_name", "null", f"least(1.0, {RATIO})", "exact_distinct_ratio") + f" from p where non_null_count > 0 and {RATIO} >= 0.995"
+CATEGORICAL_SQL = _relation("categorical_dimension", "column_name", "null", f"least(0.95, 1.0 - {RATIO})", "exact_distinct_ratio") + f" from p where distinct_values > 1 and {RATIO} <= 0.05"
 DURATION_PAIRS_SQL = _relation("transcript_duration", "a", "b", "least(0.9, fa, fb)", "domain_and_coverage") + """
  from (select x.table_name, x.column_name as a, y.column_name as b, x.fill_rate as fa, y.fill_rate as fb from pd x join pd y using (table_name)
        where x.domain = 'conversation.transcript' and y.domain = 'interaction.duration' and least(x.fill_rate, y.fill_rate) >= 0.8)"""
@@ -450,7 +463,7 @@ def speaker_structure_pairs(spark, folder):
 
 
 def ranked_relationships(spark, folder):
-    return relationships.discover(profiles(spark, folder), domains(spark, folder), limit=40).select(*RELATION_COLUMNS)
+    return relationships.discover(profiles(spark, folder), domains(spark, folder)).select(*RELATION_COLUMNS)
 
 
 # ---- signals and applicability ---------------------------------------------------------------------
@@ -603,7 +616,7 @@ ORACLES = {
     "categorical_dimensions": f"with {PROFILE_CTE} {CATEGORICAL_SQL}",
     "transcript_duration_pairs": f"with {RELATIONS_CTE} select * from rel where relationship_type = 'transcript_duration'",
     "speaker_structure_pairs": f"with {RELATIONS_CTE} select * from rel where relationship_type = 'speaker_structure'",
-    "ranked_relationships": f"with {RELATIONS_CTE} select * from rel order by confidence desc, relationship_id limit 40",
+    "ranked_relationships": f"with {RELATIONS_CTE} select * from rel",
     "profile_observations": OBSERVATIONS_SQL,
     "detected_signals": SIGNALS_SQL,
     "suppressed_observations": SUPPRESSED_SQL,

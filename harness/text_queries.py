@@ -254,6 +254,15 @@ from e left join words on token = word group by 1
 """
 
 
+def unknown_words_of_repeated_keys(spark, folder):
+    """Counts by row under keys that repeat and are sometimes null."""
+    words = english_words(spark, folder)
+    rows = calls_features(spark, folder, with_tokens=True).withColumn(
+        "shared_key", F.when(F.col("call_id") % 5 > 0, F.col("call_id") % 10))
+    counted = vocabulary.with_unknown_words(rows, "tokens", words, vocabulary.vocabulary_size(words))
+    return counted.select("call_id", "shared_key", "evaluated_words", "unknown_words")
+
+
 def unknown_words_by_salted_join(spark, folder):
     """The same counts by the join used for vocabularies too large to broadcast."""
     words = english_words(spark, folder)
@@ -343,6 +352,7 @@ QUERIES = {
     "unknown_words": unknown_words,
     "unknown_words_by_salted_join": unknown_words_by_salted_join,
     "glossary_words": glossary_words,
+    "unknown_words_of_repeated_keys": unknown_words_of_repeated_keys,
     "redacted_texts": redacted_texts,
     "name_words": name_words,
     "row_hashes": row_hashes,
@@ -361,6 +371,7 @@ ORACLES = {
     "unknown_words": UNKNOWN_SQL,
     "unknown_words_by_salted_join": UNKNOWN_SQL,
     "glossary_words": GLOSSARY_SQL,
+    "unknown_words_of_repeated_keys": f"select call_id, case when call_id % 5 > 0 then call_id % 10 end as shared_key, evaluated_words, unknown_words from ({UNKNOWN_SQL})",
     "redacted_texts": REDACTED_SQL,
     "name_words": NAME_WORDS_SQL,
     "row_hashes": HASHES_SQL,

@@ -1,4 +1,4 @@
-"""Distances between two category distributions held as count maps."""
+"""Distances between two category distributions, as terms to add up over categories."""
 
 from __future__ import annotations
 
@@ -8,43 +8,21 @@ from pyspark.sql import functions as F
 from parlance import fixed_values as fixed
 
 
-def _total(counts: Column) -> Column:
-    summed = F.aggregate(F.map_values(counts), F.lit(0).cast("bigint"), lambda total, count: total + count)
-    return F.greatest(summed, F.lit(1)).cast("double")
+def smoothed_share(count: Column, total: Column, categories: Column, epsilon: float = fixed.DRIFT_EPSILON) -> Column:
+    """Share of a category in a total of at least one, smoothed over all categories of both distributions."""
+    whole = F.greatest(total, F.lit(1)).cast("double") + categories * F.lit(epsilon)
+    return (count.cast("double") + F.lit(epsilon)) / whole
 
 
-def paired_shares(previous: Column, current: Column, epsilon: float = fixed.DRIFT_EPSILON) -> Column:
-    """Smoothed shares (p, q) per category of the union, in category order."""
-    categories = F.array_sort(F.array_union(F.map_keys(previous), F.map_keys(current)))
-    width = F.size(categories) * F.lit(epsilon)
+def jensen_shannon_term(p: Column, q: Column) -> Column:
+    """A category's part of the divergence, with natural logarithm."""
+    middle = (p + q) / 2.0
+    return 0.5 * (p * F.log(p / middle) + q * F.log(q / middle))
 
-    def share(counts: Column, category: Column) -> Column:
-        count = F.coalesce(F.try_element_at(counts, category), F.lit(0)).cast("double")
-        return (count + F.lit(epsilon)) / (_total(counts) + width)
 
-    return F.transform(
-        categories,
-        lambda category: F.struct(share(previous, category).alias("p"), share(current, category).alias("q")),
-    )
+def population_stability_term(p: Column, q: Column) -> Column:
+    return (q - p) * F.log(q / p)
 
 
-def _summed(pairs: Column, term) -> Column:
-    return F.aggregate(pairs, F.lit(0.0), lambda total, pair: total + term(pair["p"], pair["q"]))
-
-
-def jensen_shannon(pairs: Column) -> Column:
-    """Divergence with natural logarithm."""
-    left = _summed(pairs, lambda p, q: p * F.log(p / ((p + q) / 2.0)))
-    right = _summed(pairs, lambda p, q: q * F.log(q / ((p + q) / 2.0)))
-    return F.lit(0.5) * left + F.lit(0.5) * right
-
-
-def population_stability(pairs: Column) -> Column:
-    return _summed(pairs, lambda p, q: (q - p) * F.log(q / p))
-
-
-def maximum_cohen_h(pairs: Column) -> Column:
-    gaps = F.transform(
-        pairs, lambda pair: F.abs(F.lit(2.0) * F.asin(F.sqrt(pair["q"])) - F.lit(2.0) * F.asin(F.sqrt(pair["p"])))
-    )
-    return F.coalesce(F.array_max(gaps), F.lit(0.0))
+def cohen_h(p: Column, q: Column) -> Column:
+    return F.abs(F.lit(2.0) * F.asin(F.sqrt(q)) - F.lit(2.0) * F.asin(F.sqrt(p)))

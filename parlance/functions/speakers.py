@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -16,7 +17,7 @@ def tag_pattern(
     separators: Sequence[str] = fixed.SPEAKER_SEPARATORS,
 ) -> str:
     """Known label at the start or after whitespace, optional brackets, then a separator."""
-    longest_first = sorted((label for group in labels.values() for label in group), key=len, reverse=True)
+    longest_first = sorted((re.escape(label) for group in labels.values() for label in group), key=len, reverse=True)
     separator = "[" + "".join("\\" + mark for mark in separators) + "]"
     return rf"(?iU)(?<!\S)(?:\[\s*)?({'|'.join(longest_first)})(?:\s*\])?\s*{separator}\s*"
 

@@ -123,12 +123,15 @@ def stratified_sample(
 
 
 def within_budget(samples: DataFrame, budget: int = fixed.SAMPLE_CHARACTER_BUDGET) -> DataFrame:
-    """The leading samples whose texts together fit the character budget.
+    """The leading samples whose texts together fit the character budget; a first one that alone exceeds it is cut.
 
     Samples number at most a few dozen, which makes the single ordering safe.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy("sample_id").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(F.lit(0)).orderBy("sample_id")
+    first = F.row_number().over(order) == 1
+    shortened = samples.withColumn("sample", F.when(first, F.substring("sample", 1, budget)).otherwise(F.col("sample")))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        samples.withColumn("characters_so_far", F.sum(F.length("sample")).over(order))
+        shortened.withColumn("characters_so_far", F.sum(F.length("sample")).over(so_far))
         .where(F.col("characters_so_far") <= budget)
     )

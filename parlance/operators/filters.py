@@ -60,9 +60,11 @@ def _predicate(df: DataFrame, item: Filter) -> Column:
     if len(item.values) > fixed.MAXIMUM_FILTER_VALUES:
         raise ValueError("too many values in one filter")
     column, data_type = F.col(item.column), df.schema[item.column].dataType
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        # NaN counts as missing everywhere.
-        missing = column.isNull() | F.isnan(column)
+    unusable = F.isnan(column) | (F.abs(column) == F.lit(float("inf"))) if isinstance(
+        data_type, (T.DoubleType, T.FloatType)) else None
+    if unusable is not None:
+        # NaN and the infinities count as missing everywhere.
+        missing = column.isNull() | unusable
     else:
         missing = column.isNull()
     if item.operator == "is_null":
@@ -90,8 +92,7 @@ def _predicate(df: DataFrame, item: Filter) -> Column:
     else:
         holds = ORDERED[item.operator](column, usable[0])
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        # Spark orders NaN above every number.
-        holds = holds & ~F.isnan(column)
+        holds = holds & ~unusable
     return holds
 
 

@@ -165,6 +165,7 @@ def roll_up(partials: DataFrame, grouping: Grouping, merges: Mapping[str, str])
     sets = [[F.col(key) for key in keys]] if grouping.keys else []
     if grouping.include_overall:
         sets.append([])
+        partials = partials.unionByName(_nothing(partials, merges))
     rolled = partials.groupingSets(sets, *keys).agg(
         (F.grouping_id() > 0).alias("is_overall") if grouping.include_overall else F.lit(False).alias("is_overall"),
         *aggregates,
@@ -172,6 +173,14 @@ def roll_up(partials: DataFrame, grouping: Grouping, merges: Mapping[str, str])
     return rolled.where(F.col("is_overall") | F.col(IN_GROUP)).drop(IN_GROUP)
 
 
+def _nothing(partials: DataFrame, merges: Mapping[str, str]) -> DataFrame:
+    """A state of no rows, outside every group: it gives an overall result to a frame without rows."""
+    values = {IN_GROUP: False} | {name: 0 for name, merge in merges.items() if merge == "sum"}
+    return partials.sparkSession.range(1).select(*[
+        F.lit(values.get(field.name)).cast(field.dataType).alias(field.name) for field in partials.schema.fields
+    ])
+
+
 def measure(
     df: DataFrame, grouping: Grouping, states: Mapping[str, State], keyed: bool = False, limited: bool = False
 ) -> DataFrame:

@@ -55,9 +55,11 @@ def repeated_failures(evidence: DataFrame, dims: Sequence[str], minimum_periods:
     )
 
 
-def failure_patterns(evidence: DataFrame, dims: Sequence[str], limit: int = fixed.FACTS_KEPT) -> DataFrame:
+def failure_patterns(evidence: DataFrame, dims: Sequence[str], limit: int | None = None) -> DataFrame:
+    """All patterns of both kinds; with a limit, the first ones, co-occurrences before repetitions."""
     both = cooccurring_failures(evidence, dims).unionByName(repeated_failures(evidence, dims))
-    return both.orderBy("pattern_type", "rule_ids", "scope_id", "time_periods").limit(limit)
+    ordered = both.orderBy("pattern_type", "rule_ids", "scope_id", "time_periods")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def root_cause_candidates(patterns: DataFrame, limit: int = fixed.ROOT_CAUSES_KEPT) -> DataFrame:

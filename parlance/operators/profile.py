@@ -25,6 +25,11 @@ NUMERIC = ("integer", "float")
 TEMPORAL = ("date", "datetime")
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_missing(column: Column, data_type: T.DataType, spellings: Sequence[str] = fixed.PROFILE_NULL_LIKE) -> Column:
     if isinstance(data_type, T.StringType):
         return tx.is_null_like(column, spellings)
@@ -40,7 +45,8 @@ def _statistics(item: T.StructField, characters: int | None) -> str:
     JVM in one call per column.
     """
     kind = logical_type(item.dataType)
-    column = f"`{item.name}`"
+    column = "`" + item.name.replace("`", "``") + "`"
+    label = item.name.replace("\\", "\\\\").replace("'", "\\'")
     missing = f"{column} is null"
     if kind == "string":
         missing = f"coalesce({column} rlike r'{tx.null_like_pattern(fixed.PROFILE_NULL_LIKE)}', true)"
@@ -81,7 +87,7 @@ def _statistics(item: T.StructField, characters: int | None) -> str:
         else "cast(array() as array<string>)"
     )
     return f"""named_struct(
-        'column_name', '{item.name}',
+        'column_name', '{label}',
         'source_type', '{item.dataType.simpleString()}',
         'inferred_type', if(count({kept}) = 0, 'unknown', '{kind}'),
         'type_confidence', if(count({kept}) = 0, 0D, 1D),
@@ -116,8 +122,8 @@ def value_counts(df: DataFrame, table: str) -> DataFrame:
         F.struct(
             F.lit(item.name).alias("column_name"),
             F.when(
-                ~is_missing(F.col(f"`{item.name}`"), item.dataType),
-                hashing.value_hash(F.col(f"`{item.name}`"), logical_type(item.dataType)),
+                ~is_missing(quoted(item.name), item.dataType),
+                hashing.value_hash(quoted(item.name), logical_type(item.dataType)),
             ).alias("value_hash"),
         )
         for item in df.schema.fields
@@ -129,16 +135,15 @@ def value_counts(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def distinct_counts(counts: DataFrame, cap: int = fixed.PROFILE_DISTINCT_CAP) -> DataFrame:
-    """Distinct values per column: exact up to the cap, else the cap as a lower bound."""
-    per_column = counts.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
-    exact = F.col("distinct_values") <= cap
+def distinct_counts(counts: DataFrame, many: int = fixed.PROFILE_DISTINCT_CAP) -> DataFrame:
+    """Distinct values per column, always exact; `distinct_size` tells columns of more than so many values."""
+    per_column = counts.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
     return per_column.select(
         "table_name",
         "column_name",
-        F.when(exact, F.col("distinct_values")).alias("distinct_count"),
-        F.when(exact, "exact").otherwise("capped").alias("distinct_count_mode"),
-        F.when(~exact, F.lit(cap).cast("bigint")).alias("distinct_lower_bound"),
+        "distinct_count",
+        F.lit("exact").alias("distinct_count_mode"),
+        F.when(F.col("distinct_count") > many, "many").otherwise("few").alias("distinct_size"),
     )
 
 
@@ -181,7 +186,7 @@ def quantiles(
     schema = "table_name string, column_name string, probability double, quantile double"
     if not numeric:
         return df.sparkSession.createDataFrame([], schema)
-    values = {name: tx.safe_scalar(F.col(f"`{name}`").cast("double")) for name in numeric}
+    values = {name: tx.safe_scalar(quoted(name).cast("double")) for name in numeric}
     if distinct or exact:
         entries = [F.struct(F.lit(name).alias("column_name"), value.alias("v")) for name, value in values.items()]
         each = df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull())
@@ -247,7 +252,7 @@ def text_type_shares(df: DataFrame, table: str) -> DataFrame:
     texts = [item for item in df.schema.fields if isinstance(item.dataType, T.StringType)]
     structs = []
     for item in texts:
-        column = F.col(f"`{item.name}`")
+        column = quoted(item.name)
         kept = F.when(~is_missing(column, item.dataType), column)
         for kind, reads in TEXT_READINGS.items():
             share = F.try_divide(F.count_if(reads(kept)).cast("double"), F.count(kept).cast("double"))
@@ -273,6 +278,7 @@ def profile(df: DataFrame, table: str, characters: int | None = None) -> DataFra
             {
                 "distinct_count": F.when(F.col("non_null_count") == 0, F.lit(0)).otherwise(F.col("distinct_count")),
                 "distinct_count_mode": F.coalesce("distinct_count_mode", F.lit("exact")),
+                "distinct_size": F.coalesce("distinct_size", F.lit("few")),
                 "top_values": F.coalesce("top_values", F.array()),
                 "safe_samples": F.coalesce("safe_samples", F.array()),
             }

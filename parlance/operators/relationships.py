@@ -74,12 +74,13 @@ def speaker_structure_pairs(profiles: DataFrame, domains: DataFrame) -> DataFram
     )
 
 
-def rank_relationships(candidates: DataFrame, limit: int = fixed.RELATIONSHIPS_KEPT) -> DataFrame:
-    """The most confident relationships, each once."""
-    return candidates.dropDuplicates(["relationship_id"]).orderBy(F.desc("confidence"), "relationship_id").limit(limit)
+def rank_relationships(candidates: DataFrame, limit: int | None = None) -> DataFrame:
+    """Relationships, each once, the most confident first; all of them unless a limit is asked for."""
+    ranked = candidates.dropDuplicates(["relationship_id"]).orderBy(F.desc("confidence"), "relationship_id")
+    return ranked if limit is None else ranked.limit(limit)
 
 
-def discover(profiles: DataFrame, domains: DataFrame, limit: int = fixed.RELATIONSHIPS_KEPT) -> DataFrame:
+def discover(profiles: DataFrame, domains: DataFrame, limit: int | None = None) -> DataFrame:
     found = identifier_candidates(profiles).unionByName(categorical_dimensions(profiles))
     paired = transcript_duration_pairs(profiles, domains).unionByName(speaker_structure_pairs(profiles, domains))
     return rank_relationships(found.unionByName(paired), limit)

@@ -7,6 +7,7 @@ before every shuffle, and only the capped result of a group becomes a map.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,13 @@ RULE_ID = "topic_distribution"
 Ontology = Sequence[tuple[int, str, Sequence[str]]]
 
 
+class TopicTables(NamedTuple):
+    """States of every group with a capped category map, and the uncapped counts by group and category."""
+
+    states: DataFrame
+    counts: DataFrame
+
+
 def preferred_topic_column(targets: Sequence[str], aliases: Sequence[str]) -> str:
     """First alias found among the targets, else the first target."""
     by_name = {name.casefold(): name for name in targets}
@@ -74,8 +82,8 @@ def topic_states(
     fallback: str = fixed.TOPIC_FALLBACK,
     delimiters: str = fixed.TOPIC_DELIMITERS,
     limit: int = fixed.CATEGORIES_PER_GROUP,
-) -> DataFrame:
-    """Counters and the capped category map of every group."""
+) -> TopicTables:
+    """Counters and the capped category map of every group, and all categories as rows."""
     cells = topic_cells(grp.limit_groups(grp.group_keys(df, grouping), grouping), topic, grouping)
     eligible = F.when(F.col("filled"), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("bigint")
@@ -83,50 +91,73 @@ def topic_states(
     states = {f"{RULE_ID}__{name}": State("sum", column) for name, column in counts.items()}
     counters = grp.measure(cells, grouping, states, keyed=True, limited=True)
     keys = ["is_overall", *grouping.keys]
-    capped = grp.category_counts(
-        topic_counts(cells, grouping, ontology, fallback, delimiters), keys, "category", "topic_count", limit
-    )
-    tracked = F.col("category") != fixed.OTHER_VALUE
+    counted = topic_counts(cells, grouping, ontology, fallback, delimiters)
+    capped = grp.category_counts(counted, keys, "category", "topic_count", limit)
+    distinct = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct_topics")).toDF(
+        *[f"distinct_{key}" for key in keys], "distinct_topics")
     entry = F.struct(F.col("category"), F.col("topic_count").cast("bigint"))
     distribution = capped.groupBy(*keys).agg(
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("distribution"),
         F.max(F.when(F.col("position") <= limit, F.col("topic_count"))).alias("dominant_count"),
-        F.count(F.when(tracked | (F.col("position") <= limit), 1)).alias("tracked"),
-        F.max((F.col("position") > limit).cast("int")).alias("overflowed"),
     )
     same = [counters[key].eqNullSafe(distribution[key]) for key in keys]
-    return counters.join(distribution, same, "left").select(
+    same_distinct = [counters[key].eqNullSafe(distinct[f"distinct_{key}"]) for key in keys]
+    states_of = counters.join(distribution, same, "left").join(distinct, same_distinct, "left").select(
         *[counters[key] for key in keys],
         *[counters[name] for name in states],
         F.coalesce("distribution", F.create_map().cast("map<string,bigint>")).alias("distribution"),
         F.coalesce("dominant_count", F.lit(0)).alias("dominant_count"),
-        (F.coalesce("tracked", F.lit(0)) + F.coalesce("overflowed", F.lit(0))).alias("distinct_lower_bound"),
+        F.coalesce("distinct_topics", F.lit(0)).alias("distinct_lower_bound"),
     )
+    return TopicTables(states_of, counted)
 
 
-def topic_drift(states: DataFrame, grouping: Grouping) -> DataFrame:
+def topic_drift(tables: TopicTables, grouping: Grouping, epsilon: float = fixed.DRIFT_EPSILON) -> DataFrame:
     """Each period's distance from the period observed before it, per dimension tuple.
 
-    The buckets for unknown and folded times are no periods and take no part.
+    Counts of the two periods meet as rows, one per category, so no group's categories are gathered or cut off. The
+    buckets for unknown and folded times are no periods and take no part.
     """
+    states, counts = tables
     dims = list(grouping.dimensions)
+    keys = [*dims, grp.PERIOD]
     # Dimensions are text; without any, all periods form one short series.
-    partition = [F.col(name) for name in dims] or [F.col("is_overall")]
-    order = Window.partitionBy(*partition).orderBy(grp.PERIOD)
+    order = Window.partitionBy(*([F.col(name) for name in dims] or [F.col("is_overall")])).orderBy(grp.PERIOD)
     timed = states.where(~F.col("is_overall") & ~F.col(grp.PERIOD).isin(grouping.unknown_time, fixed.OTHER_TIME))
-    paired = (
-        timed.withColumn("previous_period", F.lag(grp.PERIOD).over(order))
-        .withColumn("previous", F.lag("distribution").over(order))
-        .where(F.col("previous_period").isNotNull())
-        .withColumn("shares", drift.paired_shares(F.col("previous"), F.col("distribution")))
+    paired = timed.withColumn("previous_period", F.lag(grp.PERIOD).over(order)).where(F.col("previous_period").isNotNull())
+    pairs = paired.select(*[F.col(name).alias(f"pair_{name}") for name in keys], "previous_period")
+    grouped = counts.where(~F.col("is_overall"))
+
+    def side(period: str, name: str) -> DataFrame:
+        """Counts of one side of every pair, under the keys of its later period."""
+        same = [grouped[dim].eqNullSafe(pairs[f"pair_{dim}"]) for dim in dims] + [grouped[grp.PERIOD] == pairs[period]]
+        zero = F.lit(0).cast("bigint")
+        found = {side: F.col("topic_count") if side == name else zero for side in ("before", "after")}
+        return grouped.join(pairs, same).select(
+            *[F.col(f"pair_{key}").alias(key) for key in keys], "category", *[value.alias(side) for side, value in found.items()]
+        )
+
+    met = side("previous_period", "before").union(side(f"pair_{grp.PERIOD}", "after")).groupBy(*keys, "category").agg(
+        F.sum("before").alias("before"), F.sum("after").alias("after"))
+    totals = met.groupBy(*keys).agg(
+        F.sum("before").alias("all_before"), F.sum("after").alias("all_after"), F.count(F.lit(1)).alias("categories")
+    ).toDF(*[f"total_{key}" for key in keys], "all_before", "all_after", "categories")
+    shares = met.join(totals, [met[key].eqNullSafe(totals[f"total_{key}"]) for key in keys]).select(
+        *keys,
+        *[drift.smoothed_share(F.col(name), F.col(f"all_{name}"), F.col("categories"), epsilon).alias(share)
+          for name, share in (("before", "p"), ("after", "q"))],
+    )
+    p, q = F.col("p"), F.col("q")
+    distances = shares.groupBy(*keys).agg(
+        F.sum(drift.jensen_shannon_term(p, q)).alias("jensen_shannon_divergence"),
+        F.sum(drift.population_stability_term(p, q)).alias("population_stability_index"),
+        F.max(drift.cohen_h(p, q)).alias("maximum_cohen_h"),
     )
-    shares = F.col("shares")
-    return paired.select(
-        *states.columns,
-        "previous_period",
-        drift.jensen_shannon(shares).alias("jensen_shannon_divergence"),
-        drift.population_stability(shares).alias("population_stability_index"),
-        drift.maximum_cohen_h(shares).alias("maximum_cohen_h"),
+    measured = ("jensen_shannon_divergence", "population_stability_index", "maximum_cohen_h")
+    same = [paired[key].eqNullSafe(distances[key]) for key in keys]
+    return paired.join(distances, same, "left").select(
+        *[paired[name] for name in states.columns], "previous_period",
+        *[F.coalesce(name, F.lit(0.0)).alias(name) for name in measured],
     )
 
 
@@ -158,7 +189,7 @@ def _drift_metrics():
 
 
 def topic_metrics(
-    states: DataFrame,
+    tables: TopicTables,
     grouping: Grouping,
     maximum_share: float = fixed.DOMINANT_TOPIC_MAXIMUM,
     minimum_distinct: int = fixed.MINIMUM_DISTINCT_TOPICS,
@@ -166,10 +197,10 @@ def topic_metrics(
 ) -> DataFrame:
     """Distribution metrics of every group and, for timed groups, drift metrics."""
     mixed = Rule(RULE_ID, F.lit(True), None, lambda state: _distribution_metrics(maximum_share, minimum_distinct))
-    table = base.metric_table(states, [mixed], grouping, decimals)
+    table = base.metric_table(tables.states, [mixed], grouping, decimals)
     if grp.PERIOD not in grouping.keys:
         return table
     drifting = Rule(RULE_ID, F.lit(True), None, lambda state: _drift_metrics())
-    return table.unionByName(base.metric_table(topic_drift(states, grouping), [drifting], grouping, decimals))
+    return table.unionByName(base.metric_table(topic_drift(tables, grouping), [drifting], grouping, decimals))
 
 

@@ -134,9 +134,11 @@ def rank_signals(banded: DataFrame) -> DataFrame:
 
 
 def _message() -> Column:
-    # printf takes its format from the policy row.
+    # printf takes its format from the policy row; shares are shown in percent, words per minute as they are.
+    scale = F.when(F.col("metric_name").endswith("_per_minute"), 1.0).otherwise(100.0)
     return F.call_function(
-        "format_string", F.col("message"), F.col("column_name"), F.col("value") * 100.0, F.col("low") * 100.0
+        "format_string", F.col("message"), F.col("column_name"), F.col("value") * scale, F.col("low") * scale,
+        F.coalesce("high", F.lit(0.0)) * scale,
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
+from parlance.sources.storage import materialize
 
 BROADCAST_WORDS = 1_000_000
 SALTS = 64
@@ -58,5 +59,16 @@ def unknown_word_counts(
     )
 
 
+def with_unknown_words(rows: DataFrame, tokens: str, vocabulary: DataFrame, vocabulary_size: int) -> DataFrame:
+    """Every row with its evaluated and unknown words; the tokens go.
+
+    Rows get a number of their own that is stored with them, so keys of the caller may repeat or be null.
+    """
+    number = "_row_number"
+    stored = materialize(rows.withColumn(number, F.monotonically_increasing_id()), "numbered-rows")
+    counted = unknown_word_counts(stored, [number], tokens, vocabulary, vocabulary_size)
+    return stored.drop(tokens).join(counted, number).drop(number)
+
+
 def vocabulary_size(vocabulary: DataFrame) -> int:
     return vocabulary.count()

@@ -73,13 +73,11 @@ def transcript_features(
     """Features of all transcript rules beside the columns to keep, written once for all branches."""
     featured = text_features(df, columns.transcript, lexicon=settings.lexicon, with_tokens=words is not None)
     added = [name for name in featured.columns if name not in df.columns]
-    stored = materialize(featured.select(*dict.fromkeys(keep), *added), "features")
+    rows = featured.select(*dict.fromkeys(keep), *added)
     if words is None:
         none = {name: F.lit(0).cast("bigint") for name in ("evaluated_words", "unknown_words")}
-        return stored.withColumns(none)
-    # The tokens of a row are split, matched and counted under the row's key.
-    counted = vocabulary.unknown_word_counts(stored, [columns.row_key], "tokens", words, word_count)
-    return stored.drop("tokens").join(counted, columns.row_key, "left")
+        return materialize(rows, "features").withColumns(none)
+    return vocabulary.with_unknown_words(rows, "tokens", words, word_count)
 
 
 def assess(
@@ -113,12 +111,14 @@ def assess(
         rules.append(transcript_rules.lexicon_rule(settings.lexicon))
     if only:
         rules = base.select_rules(rules, only)
-    keyed = grp.group_keys(features, grouping)
-    states = grp.measure(keyed, grouping, base.rule_states(rules), keyed=True)
+    # Groups are limited once, so that evidence and patterns name the groups that metrics have.
+    keyed = grp.limit_groups(grp.group_keys(features, grouping), grouping)
+    states = grp.measure(keyed, grouping, base.rule_states(rules), keyed=True, limited=True)
     tables = [base.metric_table(states, rules, grouping, settings.decimals)]
     requested = [rule.rule_id for rule in rules]
     if columns.topic and (not only or topics.RULE_ID in {base.measured_name(name) for name in only}):
-        mixed = materialize(topics.topic_states(rows, columns.topic, grouping, settings.ontology), "topic-states")
+        mixed = topics.topic_states(rows, columns.topic, grouping, settings.ontology)
+        mixed = topics.TopicTables(materialize(mixed.states, "topic-states"), materialize(mixed.counts, "topic-counts"))
         tables.append(topics.topic_metrics(mixed, grouping, decimals=settings.decimals))
         requested.append(topics.RULE_ID)
     metrics = materialize(runs.union_results(tables), "metrics")

@@ -11,23 +11,47 @@ from pyspark.sql import types as T
 from parlance import fixed_values as fixed
 
 FORMATS = ("parquet", "csv", "json")
+# Columns of the library's own tables that its operators fill with statistics, hashes or names of columns.
+OWN_COLUMNS = {
+    "profile": ("text", "top_values", "value_hash"),
+    "domains": ("matched_features",),
+    "applicable_rules": ("matched_domains",),
+    "signals": ("observed_value", "signal_id"),
+    "observations": ("value",),
+    "metrics": ("value", "value_map"),
+}
 
 
 class RedactionError(ValueError):
     """An output holds something it must not."""
 
 
-def assert_redacted(df: DataFrame, hashed: tuple[str, ...] = (), fingerprints: tuple[str, ...] = ()) -> DataFrame:
+def _field_names(kind: T.DataType, prefix: str) -> list[tuple[str, str]]:
+    """(path, name) of every field, nested ones included."""
+    if isinstance(kind, T.StructType):
+        return [
+            found
+            for item in kind.fields
+            for found in ((f"{prefix}{item.name}", item.name), *_field_names(item.dataType, f"{prefix}{item.name}."))
+        ]
+    if isinstance(kind, T.ArrayType):
+        return _field_names(kind.elementType, prefix)
+    return _field_names(kind.valueType, prefix) if isinstance(kind, T.MapType) else []
+
+
+def assert_redacted(
+    df: DataFrame, hashed: tuple[str, ...] = (), fingerprints: tuple[str, ...] = (), known: tuple[str, ...] = ()
+) -> DataFrame:
     """Return the frame if it is safe to write.
 
-    Column names must not be those of raw content, ``hashed`` columns must hold
-    value hashes and ``fingerprints`` salted row references.
+    Field names, nested ones included, must not be those of raw content; ``known`` names are statistics of the library.
+    ``hashed`` columns must hold value hashes and ``fingerprints`` salted row references.
     """
     import re
 
-    metric_columns = {"value", "value_map", *hashed, *fingerprints}
+    allowed = {"value", "value_map", *hashed, *fingerprints, *known}
     forbidden = [
-        name for name in df.columns if name not in metric_columns and re.search(fixed.FORBIDDEN_FIELD_NAMES, name)
+        path for path, name in _field_names(df.schema, "") if name not in allowed and re.search(fixed.FORBIDDEN_FIELD_NAMES, name)
     ]
     if forbidden:
         raise RedactionError(f"columns {forbidden} may hold raw values")
@@ -77,4 +101,5 @@ def write_profile_tables(tables: Mapping[str, DataFrame], path: str, form: str =
     """Profile, dictionary, domains, relationships, signals and applicable rules, each on its own."""
     for name, table in tables.items():
         hashed = tuple(column for column in ("value_hash", "sample_hash") if column in table.columns)
-        _write(assert_redacted(table, hashed=hashed), f"{path.rstrip('/')}/{name}", form)
+        checked = assert_redacted(table, hashed=hashed, known=OWN_COLUMNS.get(name, ()))
+        _write(checked, f"{path.rstrip('/')}/{name}", form)

@@ -148,6 +148,30 @@ def test_drift(spark):
     assert {row["time_period"]: row["outcome"] for row in table} == {"2024-03": "failed", "2024-04": "passed", "2024-05": "failed"}
 
 
+def test_drift_sees_all_categories(spark):
+    """Two nearly equal years of 150 topics, of which each result map keeps ten."""
+    data = [(f"{year}-06-01", f"t{i:03d}") for year in (2023, 2024) for i in range(150) for _ in range(3 + (i * 7 + year) % 2)]
+    df = spark.createDataFrame(data, "day string, topic string")
+    grouping = Grouping("day", "year")
+    tables = topics.topic_states(df, "topic", grouping, limit=10)
+    row = topics.topic_drift(tables, grouping).collect()[0]
+    mixes = [{}, {}]
+    for day, name in data:
+        mixes[day.startswith("2024")][name] = mixes[day.startswith("2024")].get(name, 0) + 1
+    wanted = drift(*mixes)
+    assert row["jensen_shannon_divergence"] == pytest.approx(wanted[0], abs=1e-9)
+    assert row["population_stability_index"] == pytest.approx(wanted[1], abs=1e-9)
+    assert row["maximum_cohen_h"] == pytest.approx(wanted[2], abs=1e-9)
+    assert {r["distinct_lower_bound"] for r in tables.states.collect()} == {150}
+
+
+def test_no_rows_still_have_an_overall_result(spark):
+    df = spark.createDataFrame([], "day string, topic string")
+    tables = topics.topic_states(df, "topic", Grouping("day", "month"))
+    row = tables.states.collect()[0]
+    assert row["is_overall"] and row["time_period"] is None and row["topic_distribution__row_count"] == 0
+
+
 def test_topic_share_can_exceed_one(spark):
     df = spark.createDataFrame([("card; card",), ("fee",), (" ",)], "topic string")
     states = topics.topic_states(df, "topic", ALL)

@@ -165,6 +165,21 @@ def test_profile_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a")).count() == 3
 
 
+def test_own_tables_are_written(spark, tmp_path):
+    from parlance.operators import signals
+    from parlance.operators.applicability import Selector
+    from parlance.plans import assessment
+
+    df = spark.createDataFrame([("Agent: hi", 1.0, "x"), ("Customer: yo", 2.0, None)], "transcript string, duration double, topic string")
+    tables = assessment.understand({"calls": df}, signals.policy_table(spark), [Selector("pii_detection", required_domains=("conversation.transcript",))])
+    sinks.write_profile_tables(tables, str(tmp_path))
+    for name, table in tables.items():
+        assert spark.read.parquet(str(tmp_path / name)).count() == table.count()
+    hidden = spark.createDataFrame([(("raw",),)], "outer struct<transcript: string>")
+    with pytest.raises(sinks.RedactionError):
+        sinks.assert_redacted(hidden)
+
+
 def test_materialize_cuts_lineage(spark):
     stored = storage.materialize(spark.range(10).select(F.rand().alias("x")), "t")
     assert stored.collect() == stored.collect()
