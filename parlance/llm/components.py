@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from parlance.llm.tables import stored
 
 
-def _mark(links: DataFrame) -> tuple[int, int]:
-    row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
-    return row["n"], int(row["sum"] or 0)
+def _is_star(links: DataFrame) -> bool:
+    """Whether every node has one root and no root is itself below another."""
+    row = links.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()
+    if row["most"] is None:
+        return True
+    return row["most"] == 1 and links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def _star_pass(links: DataFrame) -> DataFrame:
@@ -34,12 +37,6 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.filter("a is not null and b is not null and a != b")
     links = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = _mark(links)
-    while mark[0]:
-        moved = stored(_star_pass(links), "links")
-        now = _mark(moved)
-        links = moved
-        if now == mark:
-            break
-        mark = now
+    while not _is_star(links):
+        links = stored(_star_pass(links), "links")
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

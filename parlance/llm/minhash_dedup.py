@@ -4,12 +4,14 @@
    samples and an odd sketch: a bitmap in which every sample flips one bit, so that the population count of two sketches'
    XOR estimates how many samples differ, most precisely where few do.
 2. Documents with equal sets form a class; only its smallest id goes on, however many copies there are.
-3. Classes that share a band key share a bucket. No bucket is expanded into pairs: in each round some of its members
-   become centres and are compared with every member that is not yet in the same component. Compared centres leave the bucket;
-   buckets whose members all lie in one component are finished. Rounds go on, with more centres each, until no bucket is
-   left, so every pair that shares a bucket is compared or already joined by confirmed links: nothing is capped, and a
-   bucket of n mutual copies costs about n comparisons.
-4. Pairs whose sketches agree are confirmed on the full sets; `components` joins confirmed links.
+3. Classes that share a band key share a bucket. First every member is compared with the least id of its bucket: that joins
+   large groups of mutual copies at a cost that follows their size.
+4. Buckets that then hold several groups are compared within, in blocks: members of the largest group with all others,
+   and the others with each other. A block holds a bounded number of members and bytes. A task compares their sketches and
+   passes on the members that have a candidate; another fetches their full sets, compares those of pairs that are not yet
+   joined and meet in no earlier band, and reports only links that join groups.
+   So every pair that shares a bucket is compared or already joined by confirmed links; nothing is capped or dropped.
+5. `components` joins the confirmed links.
 
 A pair at the threshold of 0.8 shares none of 24 bands of 4 with probability 3e-6, and is screened out with less than that.
 
@@ -26,19 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from parlance.llm import kernels
 from parlance.llm.components import components
-from parlance.llm.tables import arrow_map, stored
+from parlance.llm.tables import arrow_map, filtered_scans, stored
 
 SAMPLES = 128
 BANDS = 24
 BAND_ROWS = 4
 SKETCH_BITS = 512
 # How far below the threshold a sketch may estimate a pair that is still confirmed on full sets.
-SLACK = 0.27
-MORE_CENTRES = 6
+SLACK = 0.22
+BLOCK_MEMBERS = 1024
+BLOCK_BYTES = 1 << 24
 _CHUNK = 512
 
 _random = np.random.Generator(np.random.PCG64(20240229))
@@ -131,6 +133,96 @@ def _full_sets(batches, length: int):
             )
 
 
+class _Members:
+    """The rows of a block as arrays."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(rows).combine_chunks()
+        column = {name: table.column(name) for name in table.column_names}
+        self.ids = column["rep"].to_pylist()
+        self.groups = np.unique(np.array(column["label"].to_pylist()), return_inverse=True)[1]
+        self.sizes = column["n_shingles"].to_numpy()
+        self.core = column["core"].to_numpy()
+        self.with_core = bool(column["with_core"][0].as_py())
+        self.place = int(column["place"][0].as_py())
+        self.sketches = np.array(column["sketch"].to_pylist(), dtype=np.int64).view(np.uint64)
+        self.bands = np.array(column["bands"].to_pylist(), dtype=np.int64)
+        if "shingles" in column:
+            self.sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in column["shingles"].combine_chunks()]
+
+    def candidates(self, i: int, groups: np.ndarray, percent: int, most_bits: int) -> np.ndarray:
+        """Later members of other groups that may be similar, by size and sketch, and meet this one in no earlier band."""
+        rest = slice(i + 1, None)
+        open_pairs = groups[rest] != groups[i]
+        if self.with_core:
+            open_pairs &= self.core[rest] != self.core[i]
+        sizes = self.sizes[rest]
+        open_pairs &= 100 * np.minimum(sizes, self.sizes[i]) >= percent * np.maximum(sizes, self.sizes[i])
+        near = np.flatnonzero(open_pairs) + i + 1
+        differing = np.bitwise_count(self.sketches[near] ^ self.sketches[i]).sum(axis=1, dtype=np.int64)
+        near = near[differing <= most_bits]
+        return near[~(self.bands[near, : self.place] == self.bands[i, : self.place]).any(axis=1)]
+
+
+def joining_links(members: _Members, percent: int, most_bits: int) -> list[tuple[object, object]]:
+    """Links between similar members of different groups, one for each time that groups are joined."""
+    found = []
+    groups = members.groups.copy()
+    for i in range(len(groups) - 1):
+        near = members.candidates(i, groups, percent, most_bits)
+        if not len(near):
+            continue
+        own = members.sets[i]
+        flat = np.concatenate([members.sets[j] for j in near])
+        bounds = np.concatenate([[0], np.cumsum(members.sizes[near])[:-1]])
+        hits = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        shared = np.add.reduceat(hits.astype(np.int64), bounds)
+        linked = near[100 * shared >= percent * (members.sizes[near] + members.sizes[i] - shared)]
+        for j in linked:
+            if groups[j] != groups[i]:
+                found.append((members.ids[i], members.ids[j]))
+                groups[groups == groups[j]] = groups[i]
+    return found
+
+
+def _by_block(batches):
+    """The rows of each block; they come sorted by block."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist() + [len(keys)]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if keys[begin] != current and held:
+                yield held
+                held = []
+            current = keys[begin]
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield held
+
+
+def _screen_blocks(batches, percent: int, most_bits: int):
+    """Of each block, the members that have a candidate."""
+    for rows in _by_block(batches):
+        members = _Members(rows)
+        wanted = np.zeros(len(members.ids), dtype=bool)
+        for i in range(len(wanted) - 1):
+            near = members.candidates(i, members.groups, percent, most_bits)
+            wanted[near] = True
+            wanted[i] |= len(near) > 0
+        if wanted.any():
+            yield from pa.Table.from_batches(rows).filter(pa.array(wanted)).combine_chunks().to_batches()
+
+
+def _compare_blocks(batches, percent: int, most_bits: int):
+    for rows in _by_block(batches):
+        links = joining_links(_Members(rows), percent, most_bits)
+        if links:
+            kind = rows[0].schema.field("rep").type
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in zip(*links, strict=True)], ["a", "b"])
+
+
 def _shared(batches):
     for batch in batches:
         left, right = batch.column("left_set"), batch.column("right_set")
@@ -177,6 +269,59 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return counted.filter(100 * F.col("shared") >= percent * F.col("united")).select("a", "b")
 
 
+def _links_within_buckets(todo: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join groups inside buckets that hold several, after members were linked with their buckets' centres."""
+    nearest = links.groupBy("a").agg(F.min("b").alias("b"))
+    onward = nearest.select(F.col("a").alias("b"), F.col("b").alias("further"))
+    groups = nearest.join(onward, "b", "left").select(F.col("a").alias("rep"), F.coalesce("further", "b").alias("label"))
+    placed = todo.join(groups, "rep", "left").select("band", "place", "rep", F.coalesce("label", "rep").alias("label"))
+    sizes = placed.join(classes.select("rep", "n_shingles"), "rep").groupBy("band", "label").agg(
+        F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+    whole = sizes.groupBy("band").agg(
+        F.max(F.struct("members", "shingles", "label")).alias("core"), F.sum("members").alias("members"),
+        F.sum("shingles").alias("shingles"), F.count("*").alias("groups"),
+    ).filter("groups > 1")
+
+    def parts(members, shingles):
+        return F.greatest(
+            F.ceil(members / F.lit(BLOCK_MEMBERS)), F.ceil(shingles * 8 / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+
+    mixed = stored(whole.select(
+        "band", F.col("core.label").alias("core_label"), parts(F.col("core.members"), F.col("core.shingles")).alias("core_parts"),
+        parts(F.col("members") - F.col("core.members"), F.col("shingles") - F.col("core.shingles")).alias("other_parts"),
+    ), "mixed-buckets")
+    members = placed.join(mixed, "band").withColumn("core", F.col("label") == F.col("core_label"))
+    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.when(F.col("core"), F.col("core_parts")).otherwise(F.col("other_parts"))).cast("int")
+
+    def numbers(count):
+        return F.sequence(F.lit(0), F.col(count) - 1)
+
+    def with_core(core, other):
+        return F.struct(F.lit(True).alias("with_core"), core.alias("x"), other.alias("y"))
+
+    rest = F.transform(numbers("other_parts"), lambda j: F.struct(
+        F.lit(False).alias("with_core"), F.least("own", j).alias("x"), F.greatest("own", j).alias("y")))
+    blocks = F.when(F.col("core"), F.transform(numbers("other_parts"), lambda j: with_core(F.col("own"), j))).otherwise(
+        F.concat(F.transform(numbers("core_parts"), lambda j: with_core(j, F.col("own"))), rest))
+    rows = members.withColumn("own", own).select("band", "place", "rep", "label", "core", F.explode(blocks).alias("block"))
+    kind = classes.schema["rep"].dataType.simpleString()
+    filled = rows.join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep").select(
+        F.xxhash64("band", "block").alias("block"), "place", "rep", "label", "core", "block.with_core", "n_shingles", "sketch", "bands",
+    )
+    options = {"percent": percent, "most_bits": _most_bits(percent / 100 - SLACK)}
+    screened = stored(
+        arrow_map(
+            filled.repartition("block").sortWithinPartitions("block"), _screen_blocks,
+            f"block bigint, place int, rep {kind}, label {kind}, core boolean, with_core boolean, n_shingles bigint, "
+            "sketch array<bigint>, bands array<bigint>", **options,
+        ),
+        "screened-members",
+    )
+    complete = screened.join(sets.withColumnRenamed("id", "rep"), "rep").select(*screened.columns, "shingles")
+    return arrow_map(
+        complete.repartition("block").sortWithinPartitions("block"), _compare_blocks, f"a {kind}, b {kind}", **options)
+
+
 def near_duplicates(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -197,54 +342,23 @@ def near_duplicates(
         signed.withColumnRenamed("id", "rep").join(leaders, ["rep", "set_a", "set_b"]).dropDuplicates(["rep"]), "classes"
     )
 
-    buckets = classes.select("rep", F.explode("bands").alias("band"))
+    buckets = classes.select("rep", F.posexplode("bands").alias("place", "band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre != last")
-    todo = stored(buckets.join(shared.select("band"), "band"), "buckets")
-    labels = stored(todo.select("rep").distinct().withColumn("label", F.col("rep")), "labels")
-    wanted = classes.join(labels.select("rep"), "rep", "left_semi").select(F.col("rep").alias("id"), "set_a", "set_b")
-    sets = stored(
-        arrow_map(
-            texts.join(wanted.select("id"), "id", "left_semi"), _full_sets,
-            f"id {kind}, set_a bigint, set_b bigint, shingles binary", length=shingle_words,
-        ).join(wanted, ["id", "set_a", "set_b"]).dropDuplicates(["id"]).select("id", "shingles"),
-        "shingle-sets",
-    )
-
-    rounds = 0
-    while not todo.isEmpty():
-        if rounds == 0:
-            centres = todo.groupBy("band").agg(F.min("rep").alias("centre"))
-        else:
-            ranked = Window.partitionBy("band").orderBy(F.xxhash64("rep", F.lit(rounds)), "rep")
-            centres = (
-                todo.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= MORE_CENTRES**rounds)
-                .select("band", F.col("rep").alias("centre"))
-            )
-        centres = stored(centres, "centres")
-        placed = todo.join(labels, "rep")
-        met = placed.join(
-            centres.join(labels.select(F.col("rep").alias("centre"), F.col("label").alias("centre_label")), "centre"), "band"
-        ).filter("label != centre_label")
-        pairs = met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        links = stored(_confirmed(pairs, classes, sets, percent), "links")
-        names = {side: labels.select(F.col("rep").alias(side), F.col("label").alias(f"{side}_label")) for side in "ab"}
-        merged = components(
-            links.join(names["a"], "a").join(names["b"], "b").select(
-                F.col("a_label").alias("a"), F.col("b_label").alias("b"))
-        )
-        labels = stored(
-            labels.join(merged, labels["label"] == merged["node"], "left").select(
-                "rep", F.coalesce("root", "label").alias("label")),
-            "labels",
+    todo = stored(buckets.join(shared.select("band", "centre"), "band"), "buckets")
+    wanted = classes.join(todo.select("rep").distinct(), "rep", "left_semi")
+    wanted = stored(wanted.select(F.col("rep").alias("id"), "set_a", "set_b", "n_shingles"), "bucket-members").filter("n_shingles > 0")
+    with filtered_scans(df.sparkSession):
+        sets = stored(
+            arrow_map(
+                texts.join(wanted.select("id"), "id", "left_semi"), _full_sets,
+                f"id {kind}, set_a bigint, set_b bigint, shingles binary", length=shingle_words,
+            ).join(wanted.drop("n_shingles"), ["id", "set_a", "set_b"]).dropDuplicates(["id"]).select("id", "shingles"),
+            "shingle-sets",
         )
-        rest = todo.join(centres.withColumnRenamed("centre", "rep"), ["band", "rep"], "left_anti")
-        split = (
-            rest.join(labels, "rep").groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-            .filter("least != most")
-        )
-        todo = stored(rest.join(split.select("band"), "band"), "buckets")
-        rounds += 1
-
+    pairs = todo.filter("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    links = stored(_confirmed(pairs, classes, sets, percent), "links")
+    links = stored(links.union(_links_within_buckets(todo, links, classes, sets, percent)), "links")
+    labels = components(links).select(F.col("node").alias("rep"), F.col("root").alias("label"))
     named = leaders.join(labels, "rep", "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("root"))
     found = documents.join(named, ["set_a", "set_b"], "left").select(
         F.col("id").alias(id_column), "n_shingles", F.coalesce("root", "id").alias("component_id"))

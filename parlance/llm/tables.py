@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+@contextmanager
+def filtered_scans(spark: SparkSession):
+    """Let Spark put a Bloom filter of a join's selective side before the shuffle of the other side, at any size.
+
+    The filter's bits are bounded by Spark (a megabyte by default); where the keys are too many for it, more rows pass and
+    are dropped by the join. Holds for frames that are written inside.
+    """
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {f"{prefix}applicationSideScanSizeThreshold": "0", f"{prefix}creationSideThreshold": str(1 << 40)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def output_folder(spark: SparkSession, name: str) -> str:
     return new_path(spark, name)
 
