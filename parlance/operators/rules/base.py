@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +72,20 @@ def threshold_outcome(value: Column, maximum: float) -> Column:
     return F.when(value.isNull(), NOT_EVALUATED).when(value <= maximum, PASSED).otherwise(FAILED)
 
 
+def separate_failing(df: DataFrame, rules: Sequence[Rule], grouping: Grouping) -> tuple[list[Rule], list[str]]:
+    """Rules that can be planned over these rows, and the names of those that cannot; plans only, no job runs."""
+    usable, failing = [], []
+    for rule in rules:
+        try:
+            states = grp.measure(df, grouping, rule_states([rule]), keyed=True, limited=True)
+            metric_table(states, [rule], grouping)
+        except AnalysisException:
+            failing.append(rule.rule_id)
+        else:
+            usable.append(rule)
+    return usable, failing
+
+
 def rule_states(rules: Sequence[Rule]) -> dict[str, State]:
     """States of several rules side by side, so that one aggregation computes all."""
     states = {"row_count": State("sum", F.lit(1).cast("bigint"))}

@@ -55,12 +55,13 @@ def run_status(statuses: DataFrame, warnings: int = 0) -> DataFrame:
     )
 
 
-def rule_statuses(metrics: DataFrame, requested: Sequence[str]) -> DataFrame:
-    """Completed for every requested rule that produced metrics, skipped otherwise."""
+def rule_statuses(metrics: DataFrame, requested: Sequence[str], failing: Sequence[str] = ()) -> DataFrame:
+    """Completed for every requested rule that produced metrics, failed for those that could not run, skipped otherwise."""
     asked = metrics.sparkSession.createDataFrame([(name,) for name in requested], "rule_id string")
     produced = metrics.select("rule_id").distinct().withColumn("ran", F.lit(True))
     return asked.join(produced, "rule_id", "left").select(
-        "rule_id", F.when(F.col("ran"), COMPLETED).otherwise(SKIPPED).alias("status")
+        "rule_id", F.when(F.col("ran"), COMPLETED).when(F.col("rule_id").isin(*failing), FAILED)
+        .otherwise(SKIPPED).alias("status")
     )
 
 

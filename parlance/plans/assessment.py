@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,9 @@ class Settings:
     duration_unit: str = "milliseconds"
     decimals: int | None = fixed.RESULT_DECIMALS
     allow_partial: bool = False
+    # Arguments of rule constructors by rule, such as thresholds, and rules of the caller's own.
+    rule_options: Mapping[str, Mapping[str, object]] = field(default_factory=dict)
+    own_rules: Sequence[base.Rule] = ()
 
 
 def understand(
@@ -99,27 +102,33 @@ def assess(
     grouped_by = [grouping.time_column, *grouping.dimensions.values(), columns.duration]
     keep = [columns.row_key, *[name for name in grouped_by if name], *filled]
     features = transcript_features(marked, columns, settings, words, word_count, keep)
+    options = {name: dict(chosen) for name, chosen in settings.rule_options.items()}
     rules = [
-        fill_rate.fill_rate_from_cells(targets),
-        transcript_rules.speaker_tag_rule(),
-        transcript_rules.pii_rule(),
-        transcript_rules.spelling_rule(word_count),
+        fill_rate.fill_rate_from_cells(targets, **options.pop("fill_rate", {})),
+        transcript_rules.speaker_tag_rule(**options.pop("agent_speaker_tag_validation", {})),
+        transcript_rules.pii_rule(**options.pop("pii_detection", {})),
+        transcript_rules.spelling_rule(word_count, **options.pop("non_english_spelling", {})),
     ]
+    speech, lexicon, mixing = (options.pop(name, {}) for name in ("speech_per_duration_rate", "mistranslated_rate", topics.RULE_ID))
+    if options:
+        raise ValueError(f"options for unknown rules {sorted(options)}")
     if columns.duration:
-        rules.append(transcript_rules.speech_rate_rule(columns.duration, settings.duration_unit))
+        rules.append(transcript_rules.speech_rate_rule(columns.duration, settings.duration_unit, **speech))
     if settings.lexicon:
-        rules.append(transcript_rules.lexicon_rule(settings.lexicon))
+        rules.append(transcript_rules.lexicon_rule(settings.lexicon, **lexicon))
+    rules.extend(settings.own_rules)
     if only:
         rules = base.select_rules(rules, only)
     # Groups are limited once, so that evidence and patterns name the groups that metrics have.
     keyed = grp.limit_groups(grp.group_keys(features, grouping), grouping)
+    requested = [rule.rule_id for rule in rules]
+    rules, failing_rules = base.separate_failing(keyed, rules, grouping)
     states = grp.measure(keyed, grouping, base.rule_states(rules), keyed=True, limited=True)
     tables = [base.metric_table(states, rules, grouping, settings.decimals)]
-    requested = [rule.rule_id for rule in rules]
     if columns.topic and (not only or topics.RULE_ID in {base.measured_name(name) for name in only}):
         mixed = topics.topic_states(rows, columns.topic, grouping, settings.ontology)
         mixed = topics.TopicTables(materialize(mixed.states, "topic-states"), materialize(mixed.counts, "topic-counts"))
-        tables.append(topics.topic_metrics(mixed, grouping, decimals=settings.decimals))
+        tables.append(topics.topic_metrics(mixed, grouping, decimals=settings.decimals, **mixing))
         requested.append(topics.RULE_ID)
     metrics = materialize(runs.union_results(tables), "metrics")
     failing = materialize(evidence.failures(keyed, rules, grouping, columns.row_key), "failures")
@@ -130,7 +139,7 @@ def assess(
         scoring.score_metrics(scoring.primary_metrics(metrics), availability, settings.allow_partial), "scores"
     )
     by_rule = scoring.rule_scores(scored)
-    statuses = runs.rule_statuses(metrics, requested)
+    statuses = runs.rule_statuses(metrics, requested, failing_rules)
     timed = summary if grp.PERIOD in summary.columns else summary.withColumn(grp.PERIOD, F.lit(None).cast("string"))
     found = patterns.failure_patterns(timed, list(grouping.dimensions))
     facts, dropped = patterns.fact_table(metrics, timed, list(grouping.dimensions))

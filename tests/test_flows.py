@@ -96,6 +96,22 @@ def test_chosen_rules(spark):
         base.measured_name("nothing")
 
 
+def test_options_own_and_failing_rules(spark):
+    calls = tb.calls(spark, FOLDER)
+    columns = assessment.TranscriptColumns("call_id", "transcript", targets=("lang",))
+    own = base.Rule("long_text", F.col("text_present"), F.col("token_count") > 20, lambda state: [
+        base.Metric("long_share", state("passed_count") / state("eligible_count"), "ratio")])
+    broken = base.Rule("broken", F.col("no_such_column") > 0, None, lambda state: [])
+    settings = assessment.Settings(
+        "documents", b"salt", rule_options={"pii_detection": {"maximum_record_rate": 1.0}}, own_rules=(own, broken))
+    made = assessment.assess(calls, columns, Grouping(), settings)
+    metrics = {row["metric_name"]: row for row in made["metrics"].where("is_overall").collect()}
+    assert metrics["pii_record_rate"]["outcome"] == "passed" and 0 < metrics["long_share"]["value"] <= 1
+    assert made["run_status"].first()[0] == "partial" and made["run_summary"].first()["rules_failed"] == 1
+    with pytest.raises(ValueError):
+        assessment.assess(calls, columns, Grouping(), assessment.Settings("d", b"s", rule_options={"x": {}}))
+
+
 def test_understanding(spark):
     tables = {name: tb.load(spark, FOLDER, name) for name in ("orders", "conversations")}
     made = assessment.understand(tables, signals.policy_table(spark), [Selector("fill_rate", column_name_patterns=("key$",))])
