@@ -7,7 +7,8 @@ only about 2 / (window_words - k + 2) fingerprints a word. Fingerprints of docum
 windows; each match fixes where the whole window would start, and there it is compared word by word. Items shorter than a
 window have fingerprints of their own length, which are sought at every word.
 
-Documents are scanned once for fingerprints and once more, joined with their candidates, for the comparison. The item side
+Documents are scanned once for fingerprints and once more, joined with their candidates, for the comparison; a Bloom
+filter of the candidates' ids keeps most others out of that join's shuffle. The item side
 is not hinted: Spark broadcasts it if it is small and sorts both sides if not, splitting hot keys.
 
 Cases: a null or empty text has no words and no hits; an item without words has no windows; a document shorter than an item's
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.tables import stored
+from parlance.llm.tables import filtered_scans, stored
 
 WINDOW_WORDS = 10
 GRAM_WORDS = 5
@@ -135,17 +136,18 @@ def contamination(
     def same(left: DataFrame, right: DataFrame) -> Column:
         return left["id"].eqNullSafe(right["key"]) & (left["version"] == right["key_version"])
 
-    named = asked.select(F.col("id").alias("key"), F.col("version").alias("key_version"), "asked")
+    named = asked.filter(F.size("asked") > 0).select(F.col("id").alias("key"), F.col("version").alias("key_version"), "asked")
     extended = texts.join(named, same(texts, named)).select("id", "version", item_words(F.col("text")).alias("words"), "asked").select(
         "id", "version", F.filter("asked", lambda c: F.array_join(
             F.slice("words", c["start"] + 1, c["length"]), " ") == c["window"]).alias("hits"),
     ).filter(F.size("hits") > 0)
     covered = F.array_distinct(F.flatten(F.transform(
         "hits", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1))))
-    hits = stored(extended.select(
-        "id", "version", F.size(covered).cast("bigint").alias("n_hit"),
-        F.array_distinct(F.transform("hits", lambda c: c["window"])).alias("windows"),
-    ).distinct(), "hits")
+    with filtered_scans(documents.sparkSession):
+        hits = stored(extended.select(
+            "id", "version", F.size(covered).cast("bigint").alias("n_hit"),
+            F.array_distinct(F.transform("hits", lambda c: c["window"])).alias("windows"),
+        ).distinct(), "hits")
     items_of = (
         hits.select("id", "version", "n_hit", F.explode("windows").alias("window"))
         .join(windows.select("item", "window"), "window").groupBy("id", "version")
