@@ -25,7 +25,8 @@ REPEATED_WORDS = 35
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), rated_grade())
-    return quality_classifier.score(docs, model, GOOD).filter("kept").select(*docs.columns)
+    names = ("_quality_score", "_quality_grade", "_quality_tail", "_quality_kept")
+    return quality_classifier.score(docs, model, GOOD, names=names).filter("_quality_kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,13 +194,12 @@ def fit(
 
 def score(
     df: DataFrame, model: OrdinalModel | None, least_grade: int, least_tail: float = LEAST_TAIL, text_column: str = "text",
+    names: tuple[str, ...] = ("score", "expected_grade", "tail_probability", "kept"),
 ) -> DataFrame:
     """Add score, expected_grade, tail_probability (of `least_grade` or better) and kept (tail of `least_tail` or more)."""
-    added = (("score", T.DoubleType()), ("expected_grade", T.DoubleType()), ("tail_probability", T.DoubleType()),
-             ("kept", T.BooleanType()))
-    names = [name for name, _ in added]
+    added = tuple(zip(names, (T.DoubleType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True))
     if model is None:
-        values = dict.fromkeys(names, F.lit(None).cast("double")) | {"kept": F.lit(True)}
+        values = dict.fromkeys(names, F.lit(None).cast("double")) | {names[-1]: F.lit(True)}
         return df.withColumns(values)
     least_grade = min(least_grade, len(model.thresholds))
 

@@ -121,8 +121,10 @@ def test_run_and_awkward_rows(spark, tmp_path):
     one = docs.limit(1)
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{FOLDER}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
-    docs.union(extra).union(one).write.parquet(f"{tmp_path}/documents.parquet")
+    clashing = {name: F.lit("mine") for name in ("kept", "score", "marks", "bands", "item_id", "words", "key")}
+    docs.union(extra).union(one).withColumns(clashing).write.parquet(f"{tmp_path}/documents.parquet")
     found = corpus_pipeline.run(spark, str(tmp_path))
+    assert all(found.filter(F.col(name) != "mine").isEmpty() for name in clashing)
     rows = found.select("doc_id", F.size("piece_ids").alias("n")).collect()
     keys = [row["doc_id"] for row in rows]
     assert len(keys) == len(set(keys)) and None not in keys and not {900001, 900002, 900003} & set(keys)
