@@ -487,6 +487,39 @@ select * from summed where characters_so_far <= 6000
 """
 
 
+def own_rule_beside_built_in(spark, folder):
+    """A caller's own rule and a built-in one with another threshold, in one pass; one that cannot run is left aside."""
+    own = base.Rule("long_transcript", F.col("text_present"), F.col("token_count") > 100, lambda state: [
+        base.Metric("long_share", F.coalesce(F.try_divide(
+            state("passed_count").cast("double"), state("eligible_count").cast("double")), F.lit(0.0)), "ratio")])
+    broken = base.Rule("broken", F.col("no_such_column") > 0, None, lambda state: [])
+    keyed = grp.limit_groups(grp.group_keys(tq.calls_features(spark, folder), BY_CALL_MONTH), BY_CALL_MONTH)
+    rules, failing = base.separate_failing(keyed, [own, tr.pii_rule(maximum_record_rate=0.5), broken], BY_CALL_MONTH)
+    states = grp.measure(keyed, BY_CALL_MONTH, base.rule_states(rules), keyed=True, limited=True)
+    table = base.metric_table(states, rules, BY_CALL_MONTH, None).where(F.col("metric_name").isin("long_share", "pii_record_rate"))
+    return flat(table, ["lang"]).select(
+        "rule_id", "is_overall", "time_period", "lang", "eligible_count", "passed_count", F.round("value", 9).alias("value"),
+        F.when(F.col("metric_name") == "pii_record_rate", F.col("outcome")).alias("outcome"), F.lit(",".join(failing)).alias("failed_rules"))
+
+
+OWN_RULE_SQL = f"""
+with {FEATURES_SQL},
+judged as (
+  select 'long_transcript' as rule_id, time_period, lang, text_present as eligible, token_count > 100 as passed from feat
+  union all select 'pii_detection', time_period, lang, text_present, {PII_TOTAL} = 0 from feat),
+grouped as (
+  select rule_id, grouping(time_period) = 1 as is_overall, time_period, lang, count_if(eligible) as eligible_count,
+         count_if(eligible and passed) as passed_count
+  from judged group by grouping sets ((rule_id), (rule_id, time_period, lang)))
+select rule_id, is_overall, time_period, lang, cast(eligible_count as bigint) as eligible_count, cast(passed_count as bigint) as passed_count,
+       round(case when eligible_count = 0 then 0.0 when rule_id = 'pii_detection' then (eligible_count - passed_count) / cast(eligible_count as double)
+             else passed_count / cast(eligible_count as double) end, 9) as value,
+       case when rule_id <> 'pii_detection' then null
+            when (eligible_count - passed_count) / cast(eligible_count as double) <= 0.5 then 'passed' else 'failed' end as outcome, 'broken' as failed_rules
+from grouped where rule_id <> 'pii_detection' or eligible_count > 0
+"""
+
+
 # ---- unions and incremental results -----------------------------------------------------------
 
 
@@ -539,6 +572,7 @@ QUERIES = {
     "topic_distribution_rule": topic_distribution,
     "raw_topic_distribution": raw_topic_distribution,
     "topic_drift": topic_drift,
+    "own_rule_beside_built_in": own_rule_beside_built_in,
     "topic_drift_of_many_categories": topic_drift_of_many_categories,
     "failing_rows": failing_rows,
     "evidence_records": evidence_records,
@@ -558,6 +592,7 @@ ORACLES = {
     "topic_distribution_rule": TOPIC_SQL,
     "raw_topic_distribution": RAW_TOPIC_SQL,
     "topic_drift": TOPIC_DRIFT_SQL,
+    "own_rule_beside_built_in": OWN_RULE_SQL,
     "topic_drift_of_many_categories": MANY_CATEGORIES_SQL,
     "failing_rows": FAILING_SQL,
     "evidence_records": EVIDENCE_SQL,

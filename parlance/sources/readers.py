@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -282,6 +283,23 @@ def rule_problems(rules: DataFrame) -> DataFrame:
     return repeated.unionByName(contested).unionByName(ungoverned).unionByName(circular).unionByName(typed)
 
 
+def rule_options(rules: DataFrame) -> dict[str, dict[str, object]]:
+    """Parameters of the active rules, as `Settings.rule_options` takes them. A rule table is configuration and small."""
+    active = rules.where(F.col("enabled") & (F.col("lifecycle") == "approved"))
+    each = active.select("rule_id", F.explode("parameters").alias("name", "definition")).where("definition.default is not null")
+    found: dict[str, dict[str, object]] = {}
+    for row in each.select("rule_id", "name", F.to_json("definition.default").alias("default")).collect():
+        found.setdefault(row["rule_id"], {})[row["name"]] = json.loads(row["default"])
+    return found
+
+
+def lexicon_of(terms: DataFrame) -> dict[str, tuple[str, ...]]:
+    """Suspected forms by category from a look-up table, as lexicon rules take them; look-ups are configuration and small."""
+    forms = terms.select("category", F.explode("suspected_forms").alias("form")).distinct()
+    rows = forms.groupBy("category").agg(F.array_sort(F.collect_list("form")).alias("forms")).orderBy("category").collect()
+    return {row["category"]: tuple(row["forms"]) for row in rows}
+
+
 LOOKUP_SCHEMAS: Mapping[str, str] = {
     "pii_patterns": "category string, pattern string, validator string, enabled boolean",
     "speaker_labels": "role string, labels array<string>",

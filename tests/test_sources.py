@@ -128,6 +128,15 @@ def test_good_parameters(spark, tmp_path):
     assert readers.read_rules(spark, write_rules(tmp_path, {"parameters": parameters})).count() == 1
 
 
+def test_tables_become_options(spark, tmp_path):
+    parameters = {"maximum_record_rate": {"parameter_type": "number", "default": 0.5}, "categories": {"parameter_type": "string_list", "default": ["email"]},
+                  "unset": {"parameter_type": "number"}}
+    rules = readers.read_rules(spark, write_rules(tmp_path, {"rule_id": "pii_detection", "parameters": parameters}, {"rule_id": "off", "enabled": False, "parameters": parameters}))
+    assert readers.rule_options(rules) == {"pii_detection": {"maximum_record_rate": 0.5, "categories": ["email"]}}
+    terms = spark.createDataFrame([("a", ["b", "c"], "x"), ("d", ["b"], "x"), ("e", [], "y")], "canonical_term string, suspected_forms array<string>, category string")
+    assert readers.lexicon_of(terms) == {"x": ("b", "c")}
+
+
 def test_lookup(spark, tmp_path):
     path = tmp_path / "lexicon.json"
     path.write_text('{"canonical_term": "a", "suspected_forms": ["b"], "category": "c"}\n{"canonical_term": "d", "suspected_forms": [], "category": "c", "enabled": false}\n')
