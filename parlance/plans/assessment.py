@@ -92,8 +92,14 @@ def assess(
     words: DataFrame | None = None,
     provenance_matches: bool = True,
     only: Sequence[str] = (),
+    guard: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All rules, or only those named, over one transcript table, then evidence, scores and patterns."""
+    """All rules, or only those named, over one transcript table, then evidence, scores and patterns.
+
+    With a grouping guard, dimensions and filters on sensitive or free-text columns are refused.
+    """
+    if guard is not None:
+        classify.enforce_guard(guard, [*grouping.dimensions.values(), *[item.column for item in filters]])
     rows = apply_filters(df, filters)
     targets = list(columns.targets) or [columns.transcript]
     word_count = vocabulary.vocabulary_size(words) if words is not None else 0

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from harness import tables as tb
 from parlance.operators import evidence as ev
 from parlance.operators import grouping as grp
-from parlance.operators import signals
+from parlance.operators import classify, signals
 from parlance.operators.applicability import Selector
 from parlance.operators.features import text_features
 from parlance.operators.filters import Filter, apply_filters
@@ -112,6 +112,17 @@ def test_options_own_and_failing_rules(spark):
         assessment.assess(calls, columns, Grouping(), assessment.Settings("d", b"s", rule_options={"x": {}}))
 
 
+def test_unsafe_columns_are_refused(spark):
+    guard = spark.createDataFrame([("lang", True), ("transcript", False)], "column_name string, allowed boolean")
+    calls = tb.calls(spark, FOLDER)
+    columns = assessment.TranscriptColumns("call_id", "transcript", targets=("lang",))
+    settings = assessment.Settings("documents", b"salt")
+    for grouping, filters in ((Grouping(dimensions={"t": "transcript"}), []), (Grouping(), [Filter("transcript", "is_not_null")])):
+        with pytest.raises(classify.UnsafeColumnError):
+            assessment.assess(calls, columns, grouping, settings, filters, guard=guard)
+    classify.enforce_guard(guard, ["lang", None])
+
+
 def test_understanding(spark):
     tables = {name: tb.load(spark, FOLDER, name) for name in ("orders", "conversations")}
     made = assessment.understand(tables, signals.policy_table(spark), [Selector("fill_rate", column_name_patterns=("key$",))])
