@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-CACHE_CHUNKS = 1_000_000
-CACHE_PAIRS = 2_000_000
+# Bounds of what a worker keeps: about 170 MB of chunks and 60 MB of pair weights.
+CACHE_CHUNKS = 700_000
+CACHE_PAIRS = 400_000
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE_MODEL = 2
@@ -107,7 +108,10 @@ class Transducer:
             self.reach[piece[0]] = max(self.reach.get(piece[0], 0), len(piece))
         joined = {c for piece in self.piece_of if len(piece) > 1 for c in piece}
         self.apart = "".join(c for c in map(chr, range(32)) if c not in joined)
-        self.weights: dict[tuple[int, int], float] = {}
+        # Marks that no piece joins to a letter before them: merging never crosses that border.
+        joined_marks = {b for piece in self.piece_of for a, b in zip(piece, piece[1:], strict=False) if "a" <= a <= "z"}
+        self.closing = frozenset(".,") - joined_marks
+        self.weights: dict[int, float] = {}
 
     def fallback(self, character: str) -> list[int]:
         found = [self.byte_of.get(byte) for byte in character.encode()]
@@ -129,14 +133,15 @@ class Transducer:
 
     def weight(self, before: int, piece: int) -> float:
         """Of an arc after another; -1 stands for the start or for a character spelt in bytes, which never merges."""
-        known = self.weights.get((before, piece))
+        key = (before + 1) * len(self.text_of) + piece
+        known = self.weights.get(key)
         if known is None:
             left = self.text_of[before] if before >= 0 else ""
             right = self.text_of[piece]
             known = 0.0 if self.merged(left + right) == [x for x in (left, right) if x] else inf
             if len(self.weights) >= CACHE_PAIRS:
                 self.weights.clear()
-            self.weights[before, piece] = known
+            self.weights[key] = known
         return known
 
     def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
@@ -191,7 +196,10 @@ class PieceCodec(dict):
         self.spelling[self.machine.unknown] = " ⁇ ".encode()
 
     def __missing__(self, chunk: str) -> bytes:
-        coded = np.array(self.machine.shortest_path(chunk), dtype="<i4").tobytes()
+        if len(chunk) > 1 and chunk[-1] in self.machine.closing and "a" <= chunk[-2] <= "z":
+            coded = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            coded = np.array(self.machine.shortest_path(chunk), dtype="<i4").tobytes()
         if len(self) >= self.limit:
             self.clear()
         self[chunk] = coded
