@@ -15,6 +15,7 @@ empty table writes no file and reads back empty. Other columns play no part.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,19 @@ CACHE_WORDS = 1_000_000
 _tokenizers: dict[str, WordCache] = {}
 
 
+def _words(text: bytes) -> list[bytes]:
+    """Runs between ASCII white space; other white space is left to the tokenizer.
+
+    A-Z are lower-cased here, as the tokenizer does, so that fewer words are learnt; not where a special token may stand.
+    """
+    return (text if b"<|" in text else text.lower()).split()
+
+
+def _is_closed(word: bytes) -> bool:
+    """Whether a full stop or comma follows a letter at the end; the tokenizer encodes such a mark apart."""
+    return len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122
+
+
 class WordCache(dict):
     """Ids of words as bytes. Words between white space never interact: the normaliser works inside words and turns
     white space into separators, which the pre-tokenizer drops. A full cache starts anew."""
@@ -46,17 +60,25 @@ class WordCache(dict):
         self.limit = limit
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
-    def learn(self, words: set[str]) -> None:
-        fresh = list(words)
-        for word, coded in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self[word] = np.array(coded.ids, dtype=self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_ascii_words(text) for text in texts]
-        unknown: set[str] = set()
-        for words in split:
-            unknown.update(words)
-        unknown.difference_update(self)
+    def pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encode words that are new; those closed by a mark are put together from word and mark."""
+        closed = [word for word in words if _is_closed(word)]
+        fresh = words.difference(closed)
+        fresh.update(part for word in closed for part in (word[:-1], word[-1:]) if part not in self)
+        plain = list(fresh)
+        coded = self.tokenizer.encode_batch([str(word, "utf-8") for word in plain], add_special_tokens=False)
+        for word, found in zip(plain, coded, strict=True):
+            self[word] = self.pack(found.ids)
+        for word in closed:
+            self[word] = self[word[:-1]] + self[word[-1:]]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts. Bytes split at ASCII white space only; other white space is left to the tokenizer."""
+        split = [_words(text) for text in texts]
+        unknown = {word for words in split for word in words if word not in self}
         if len(self) + len(unknown) > self.limit:
             self.clear()
             unknown.update(*split)
@@ -65,11 +87,6 @@ class WordCache(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
-def _ascii_words(text: str) -> list[str]:
-    """Runs between ASCII white space; other white space stays for the tokenizer to handle."""
-    return [str(word, "utf-8") for word in text.encode().split()]
-
-
 def word_cache(path: str) -> WordCache:
     """One cache per worker process and vocabulary."""
     if path not in _tokenizers:
@@ -150,7 +167,7 @@ def write_token_files(
             for begin in range(0, batch.num_rows, 200):
                 part = batch.slice(begin, 200)
                 starts, sizes = [], []
-                for coded in cache.encode([x or "" for x in part.column(1).to_pylist()]):
+                for coded in cache.encode([x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]):
                     writer.add(coded)
                     writer.add(end)
                     starts.append(total)

@@ -34,7 +34,7 @@ def test_query(spark):
 def test_awkward_texts(spark):
     texts = [
         None, "", " \n\t ", "Don't I'll", "a\x85b c\xa0d\x1ce", "<|startoftext|>x <|endoftext|>", "ΟΔΟΣ Σ İ", "é ́x",
-        "日本語 text 12 3.4", "\U0001f600\U0001f600 ok", '" ! "', "x" * 3000, "word " * 5000, "same", "same",
+        "日本語 text 12 3.4", "A.,b. C, ...D. e.\n f.' <|ENDOFTEXT|>, x.", "It's, ok.. Fine, é, E\u0301. İ. z,\x85q 1, a.", "\U0001f600\U0001f600 ok", '" ! "', "x" * 3000, "word " * 5000, "same", "same",
     ]
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("id", F.lit("extra")).repartition(3)
@@ -69,4 +69,4 @@ def test_a_full_cache_starts_anew(limit):
     texts = ["a b c d", "d e f", "a a a", "g"]
     want = [Tokenizer.from_file(VOCABULARY).encode(x, add_special_tokens=False).ids for x in texts]
     for _ in range(3):
-        assert [np.frombuffer(x, "<u2").tolist() for x in cache.encode(texts)] == want
+        assert [np.frombuffer(x, "<u2").tolist() for x in cache.encode([text.encode() for text in texts])] == want
