@@ -138,8 +138,9 @@ def contamination(
 
     named = asked.filter(F.size("asked") > 0).select(F.col("id").alias("key"), F.col("version").alias("key_version"), "asked")
     extended = texts.join(named, same(texts, named)).select("id", "version", item_words(F.col("text")).alias("words"), "asked").select(
-        "id", "version", F.filter("asked", lambda c: F.array_join(
-            F.slice("words", c["start"] + 1, c["length"]), " ") == c["window"]).alias("hits"),
+        # Both conditions use the words: used once, they would be split anew for every candidate.
+        "id", "version", F.filter("asked", lambda c: (c["start"] + c["length"] <= F.size("words")) & (F.array_join(
+            F.slice("words", c["start"] + 1, c["length"]), " ") == c["window"])).alias("hits"),
     ).filter(F.size("hits") > 0)
     covered = F.array_distinct(F.flatten(F.transform(
         "hits", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1))))
