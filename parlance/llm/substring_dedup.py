@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import kernels
-from parlance.llm.tables import arrow_map, stored
+from parlance.llm.tables import arrow_map, filtered_scans, stored
 
 ANCHOR_WORDS = 8
 SHARD_REGIONS = 512
@@ -212,25 +212,26 @@ def _match_shards(batches, min_words: int):
 def repeated_regions(occurrences: DataFrame, texts: DataFrame, min_words: int, shard_regions: int) -> DataFrame:
     """Rows id, version, first and mask: the windows of each region that are repeated."""
     keys = ["anchor", "region"]
-    often = occurrences.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    often = stored(occurrences.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors").filter("n > 1").select("anchor")
     held = stored(occurrences.join(often, "anchor"), "repeated-anchors")
     regions = held.groupBy(*keys).agg(
         F.count("*").alias("copies"), F.min(F.struct("id", "version", "first", "count")).alias("at"))
     regions = stored(regions, "regions")
     kinds = regions.groupBy("anchor").agg(F.count("*").alias("kinds"))
     mixed = regions.join(kinds.filter("kinds > 1"), "anchor").withColumn("hot", F.col("kinds") > shard_regions)
-    asked = mixed.groupBy("at.id", "at.version").agg(F.collect_list(F.struct(
+    asked = stored(mixed.groupBy("at.id", "at.version").agg(F.collect_list(F.struct(
         "anchor", "region", "copies", F.col("at.first").alias("first"), F.col("at.count").alias("count"), "hot",
-    )).alias("asked"))
+    )).alias("asked")), "asked-regions").filter(F.size("asked") > 0)
     filled = asked.join(
         texts.withColumnRenamed("id", "text_id").withColumnRenamed("version", "text_version"),
         F.col("id").eqNullSafe(F.col("text_id")) & (F.col("version") == F.col("text_version")),
     ).select("text", "asked")
-    pieces = stored(
-        arrow_map(filled, _contents, "shard bigint, anchor bigint, region bigint, window int, copies bigint, words binary",
-                  min_words=min_words).dropDuplicates(["anchor", "region", "window"]),
-        "regions",
-    )
+    with filtered_scans(texts.sparkSession):
+        pieces = stored(
+            arrow_map(filled, _contents, "shard bigint, anchor bigint, region bigint, window int, copies bigint, words binary",
+                      min_words=min_words).dropDuplicates(["anchor", "region", "window"]),
+            "regions",
+        )
     shards = pieces.filter("window < 0").select("shard", "anchor", "region", "copies", "words")
     masks = arrow_map(
         shards.repartition("shard").sortWithinPartitions("shard"), _match_shards,
