@@ -229,39 +229,54 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _schema_with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    kept = [T.StructField(name, kind) if field.name == name else field for field in df.schema.fields]
-    return T.StructType(kept if name in df.columns else [*kept, T.StructField(name, kind)])
+def _schema_with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    kept = [T.StructField(name, kind) if field.name == name else field for field in schema.fields]
+    return T.StructType(kept if name in schema.names else [*kept, T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, model: str, text_column: str = "text", output: str = "piece_ids") -> DataFrame:
-    """Add the ids of each text as an array of integers."""
+def _encoded(batch: pa.RecordBatch, coder: PieceCodec, text_column: str, output: str) -> pa.RecordBatch:
+    coded = [coder.encode(text) for text in batch.column(text_column).to_pylist()]
+    bounds = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(coded), dtype=np.int32))
+    return _with_column(batch, output, pa.ListArray.from_arrays(pa.array(bounds), values))
+
+
+def _decoded(batch: pa.RecordBatch, coder: PieceCodec, ids_column: str, output: str) -> pa.RecordBatch:
+    ids = batch.column(ids_column)
+    bounds, flat = ids.offsets.to_pylist(), ids.values.to_numpy()
+    texts = [coder.decode(flat[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return _with_column(batch, output, pa.array(texts, pa.string()))
+
+
+def _mapped(df: DataFrame, model: str, schema: T.StructType, *steps) -> DataFrame:
+    """Apply steps to a few hundred rows at a time, all in one worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model)
         for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                batch = whole.slice(begin, 500)
-                coded = [coder.encode(text) for text in batch.column(text_column).to_pylist()]
-                bounds = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(coded), dtype=np.int32))
-                yield _with_column(batch, output, pa.ListArray.from_arrays(pa.array(bounds), values))
+            for begin in range(0, whole.num_rows, 250):
+                batch = whole.slice(begin, 250)
+                for step, *names in steps:
+                    batch = step(batch, coder, *names)
+                yield batch
+
+    return df.mapInArrow(run, schema)
 
-    return df.mapInArrow(run, _schema_with(df, output, T.ArrayType(T.IntegerType())))
+
+def encode(df: DataFrame, model: str, text_column: str = "text", output: str = "piece_ids") -> DataFrame:
+    """Add the ids of each text as an array of integers."""
+    schema = _schema_with(df.schema, output, T.ArrayType(T.IntegerType()))
+    return _mapped(df, model, schema, (_encoded, text_column, output))
 
 
 def decode(df: DataFrame, model: str, ids_column: str = "piece_ids", output: str = "decoded") -> DataFrame:
     """Add the text that ids stand for; null ids give an empty text."""
+    return _mapped(df, model, _schema_with(df.schema, output, T.StringType()), (_decoded, ids_column, output))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(model)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                batch = whole.slice(begin, 500)
-                ids = batch.column(ids_column)
-                bounds = ids.offsets.to_pylist()
-                flat = ids.values.to_numpy()
-                texts = [coder.decode(flat[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield _with_column(batch, output, pa.array(texts, pa.string()))
-
-    return df.mapInArrow(run, _schema_with(df, output, T.StringType()))
+
+def encode_and_decode(
+    df: DataFrame, model: str, text_column: str = "text", ids_output: str = "piece_ids", text_output: str = "decoded"
+) -> DataFrame:
+    """Add ids and the text decoded from them, in one pass and one worker per task."""
+    schema = _schema_with(_schema_with(df.schema, ids_output, T.ArrayType(T.IntegerType())), text_output, T.StringType())
+    return _mapped(df, model, schema, (_encoded, text_column, ids_output), (_decoded, ids_output, text_output))

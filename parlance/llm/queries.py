@@ -67,8 +67,7 @@ def op6_piece_transducer(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = piece_codec.encode(table(spark, folder, "documents").select("doc_id", "text"), model)
-    decoded = piece_codec.decode(coded, model)
+    decoded = piece_codec.encode_and_decode(table(spark, folder, "documents").select("doc_id", "text"), model)
     return decoded.select(
         "doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"),
         F.sha2(F.array_join("piece_ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -75,3 +75,9 @@ def test_columns(spark, library):
         assert row["piece_ids"] == library.encode(text or "")
         assert row["decoded"] == (text or "").replace("▁", " ") and row["state"] == {"k": row["doc_id"]}
     assert piece_codec.encode(df.limit(0), MODEL).collect() == []
+
+
+def test_both_at_once(spark):
+    df = spark.createDataFrame(list(enumerate(AWKWARD)), "doc_id bigint, text string").withColumn("decoded", F.lit(1))
+    apart = piece_codec.decode(piece_codec.encode(df, MODEL), MODEL).orderBy("doc_id").collect()
+    assert piece_codec.encode_and_decode(df, MODEL).orderBy("doc_id").collect() == apart
