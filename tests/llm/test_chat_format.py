@@ -2,10 +2,11 @@
 
 import hashlib
 
+import duckdb
 from pyspark.sql import functions as F
 
 from parlance.llm import chat_format
-from parlance.llm.queries import PROBE, op9_chat_events
+from parlance.llm.queries import ORACLES, PROBE, op9_chat_events
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -73,3 +74,21 @@ def test_streamed_turns_fold_back(spark):
 def test_no_python_in_the_plan(spark):
     plan = op9_chat_events(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_every_row_of_a_turn_is_a_message(spark, tmp_path):
+    rows = [
+        (1, 0, "user", "a" * 900), (1, 0, "user", "a" * 900), (1, 0, "user", "a" * 900), (1, 1, "assistant", "twice"),
+        (2, 5, "user", "b" * 850), (2, 5, "assistant", "c" * 1250), (2, 5, "user", "B" * 401), (2, 4, "assistant", "é<["),
+        (3, None, "user", "n" * 500), (3, None, "assistant", "m" * 700), (3, None, "user", "n" * 500), (3, None, None, None),
+        (3, 0, "assistant", "placed"), (None, None, "user", "x"), (None, None, "user", "x"), (None, 1, None, None), (None, 1, "", ""),
+    ]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    df.repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    engine = duckdb.connect()
+    engine.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = engine.execute(ORACLES["op9_chat_events"])
+    names = [item[0] for item in want.description]
+    found = op9_chat_events(spark, str(tmp_path)).select(*names).collect()
+    assert sorted((tuple(row) for row in found), key=repr) == sorted(want.fetchall(), key=repr)
+    assert {row["conv_id"]: row["n_turns"] for row in found} == {1: 4, 2: 4, 3: 5, None: 4, -7: 2}
