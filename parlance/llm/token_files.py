@@ -35,9 +35,14 @@ _tokenizers: dict[str, WordCache] = {}
 def _words(text: bytes) -> list[bytes]:
     """Runs between ASCII white space; other white space is left to the tokenizer.
 
-    A-Z are lower-cased here, as the tokenizer does, so that fewer words are learnt; not where a special token may stand.
+    A-Z are lower-cased here, as the tokenizer does, so that fewer words are learnt; not where a special token may stand, and
+    not in words of texts with combining marks (U+0300 to U+036F), for it composes letters and marks before it lower-cases.
     """
-    return (text if b"<|" in text else text.lower()).split()
+    if b"<|" in text:
+        return text.split()
+    if b"\xcc" in text or b"\xcd" in text:
+        return [word.lower() if word.isascii() else word for word in text.split()]
+    return text.lower().split()
 
 
 def _is_closed(word: bytes) -> bool:

@@ -43,6 +43,16 @@ def test_awkward_texts(spark):
     assert [tuple(row) for row in found] == expected(rows)
 
 
+def test_capitals_before_combining_marks(spark):
+    marked = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+    texts = [*marked, " ".join(marked), "Plain WORDS and J\u030cAK, xT\u0308.", "last", "İJ\u030c É E\u0301\u0331 ok."]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    folder, manifest = token_files.write_token_files(df, VOCABULARY, files=4, length=64)
+    found = token_files.read_token_files(spark, folder, manifest).orderBy("id").collect()
+    assert [tuple(row) for row in found] == expected(rows)
+
+
 def test_sequences_have_equal_length_and_a_mask(spark):
     df = spark.createDataFrame([(1, "one two three " * 200), (2, "four")], "doc_id bigint, text string")
     folder, manifest = token_files.write_token_files(df, VOCABULARY, files=1, length=32)
