@@ -5,15 +5,16 @@ least id is a ``response``; the others are ``revisit`` records that name it and
 `read_chunks` streams archives as a table of (record, chunk number) rows: payload bytes are inflated a little at a
 time, and each row carries the digest of all payload up to its end, so neither a record nor an archive is ever held whole
 and a consumer can check or resume at any chunk. `chunk_records` folds the rows into one per record without joining
-payloads.
+payloads; records are told apart by file and place, not by the page's id.
 
 Tasks write under names no other attempt uses and report them in a manifest stored by Spark; leftovers of lost executors are
 in no manifest.
 
 Cases: a null payload is empty, and an empty one is a payload like others unless `least_bytes` excludes it; a null id
-sorts after all others and never names a response if another id can; rows that repeat an id and payload are written again
-as revisits of themselves only by id, so ids should be unique; an empty table writes nothing and reads back empty. Other
-columns play no part.
+sorts after all others and never names a response if another id can; every page row is a record of its own: rows that
+repeat an id with other payloads stay apart, and rows that share both the id and the payload of a response are responses
+too, since a revisit could only name itself (likewise null ids if no page with an id has the payload); an empty table
+writes nothing and reads back empty. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -188,6 +189,7 @@ class RecordStream:
 
 
 _CHUNK_SCHEMA = pa.schema([
+    ("file", pa.string()), ("record", pa.int64()),
     ("record_id", pa.string()), ("chunk", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.string()),
     ("declared_bytes", pa.int64()), ("declared_digest", pa.string()), ("offset", pa.int64()), ("payload", pa.binary()),
     ("digest", pa.string()), ("last", pa.bool_()),
@@ -195,22 +197,24 @@ _CHUNK_SCHEMA = pa.schema([
 
 
 def read_chunks(spark: SparkSession, folder: str, manifest: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """Rows (record_id, chunk, ..., offset, payload, digest, last): payload pieces with the digest so far."""
+    """Rows (file, record, record_id, chunk, ..., offset, payload, digest, last): payload pieces with the digest so far."""
 
     def base32(state) -> str:
         return base64.b32encode(state.digest()).decode()
 
-    def records(stream: RecordStream):
+    def records(name: str, stream: RecordStream):
+        place = -1
         while (fields := stream.header()) is not None:
+            place += 1
             size = int(fields["Content-Length"])
             state, number, offset = hashlib.sha1(), 0, 0
             shared = (fields["WARC-Type"], fields.get("WARC-Refers-To"), int(fields["X-Payload-Length"]),
                       fields["WARC-Payload-Digest"].removeprefix("sha1:"))
             if not size:
-                yield (fields["WARC-Record-ID"], 0, *shared, 0, b"", base32(state), True)
+                yield (name, place, fields["WARC-Record-ID"], 0, *shared, 0, b"", base32(state), True)
             for piece in stream.payload(size):
                 state.update(piece)
-                yield (fields["WARC-Record-ID"], number, *shared, offset, piece, base32(state), offset + len(piece) == size)
+                yield (name, place, fields["WARC-Record-ID"], number, *shared, offset, piece, base32(state), offset + len(piece) == size)
                 number, offset = number + 1, offset + len(piece)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +223,9 @@ def read_chunks(spark: SparkSession, folder: str, manifest: DataFrame, chunk: in
             for name in batch.column(0).to_pylist():
                 with system.open_input_stream(f"{root}/{name}", compression=None) as source:
                     rows, held = [], 0
-                    for row in records(RecordStream(source, chunk)):
+                    for row in records(name, RecordStream(source, chunk)):
                         rows.append(row)
-                        held += len(row[7])
+                        held += len(row[9])
                         if held >= 64 * chunk or len(rows) >= 2000:
                             yield _batch(rows)
                             rows, held = [], 0
@@ -229,7 +233,7 @@ def read_chunks(spark: SparkSession, folder: str, manifest: DataFrame, chunk: in
                         yield _batch(rows)
 
     schema = (
-        "record_id string, chunk bigint, record_type string, refers_to string, declared_bytes bigint, "
+        "file string, record bigint, record_id string, chunk bigint, record_type string, refers_to string, declared_bytes bigint, "
         "declared_digest string, offset bigint, payload binary, digest string, last boolean"
     )
     return manifest.select("file").repartition(max(1, manifest.count())).mapInArrow(read, schema)
@@ -247,8 +251,8 @@ def chunk_records(chunks: DataFrame) -> DataFrame:
     A response's size and digest are those of its chunks; a revisit, which has no payload, declares those of the record it
     names. `whole` tells whether a response's chunks agree with what its header declares.
     """
-    folded = chunks.withColumn("size", F.octet_length("payload").cast("bigint")).groupBy("record_id").agg(
-        F.first("record_type").alias("record_type"), F.first("refers_to").alias("refers_to"),
+    folded = chunks.withColumn("size", F.octet_length("payload").cast("bigint")).groupBy("file", "record").agg(
+        F.first("record_id").alias("record_id"), F.first("record_type").alias("record_type"), F.first("refers_to").alias("refers_to"),
         F.first("declared_bytes").alias("declared_bytes"), F.first("declared_digest").alias("declared_digest"),
         F.sum("size").alias("read_bytes"), F.max(F.when(F.col("last"), F.col("digest"))).alias("read_digest"),
     )

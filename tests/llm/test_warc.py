@@ -83,6 +83,23 @@ def test_null_ids_and_empty_table(spark):
     assert warc.chunk_records(chunks).collect() == []
 
 
+def test_every_page_row_is_a_record(spark, tmp_path):
+    rows = [
+        (1, "a" * 70000), (1, "a" * 70000), (1, "other"), (2, "a" * 70000), (2, "a" * 70000), (3, "x"), (3, "y" * 140000),
+        (None, "n"), (None, "n"), (None, "m" * 70000), (None, "x"), (None, None),
+    ]
+    df = spark.createDataFrame(rows, "page_id bigint, html string").withColumn("url", F.lit("u"))
+    df.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    found = op8_warc_chunks(spark, str(tmp_path)).collect()
+    again = {(2, "a" * 70000): 1, (None, "x"): 3}
+    want = []
+    for page, html in rows:
+        data, leader = (html or "").encode(), again.get((page, html))
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        want.append((page, len(data), digest, "revisit" if leader else "response", leader, True))
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+
+
 def test_a_large_record_is_read_in_pieces(tmp_path):
     data = b"z" * 5_000_000
     with open(tmp_path / "a.warc.gz", "wb") as sink:
