@@ -169,22 +169,26 @@ select table_name, column_name, position, value_hash as sample_hash from r where
 QUANTILE_TABLES = ("customer", "part", "orders", "lineitem", "events", "documents")
 
 
-def _quantiles(distinct):
+# Every stored table with a numeric column.
+ALL_QUANTILE_TABLES = tuple(t for t in tb.TABLES if any(k in NUMERIC for k in SCHEMAS[t].values()))
+
+
+def _quantiles(distinct, tables=QUANTILE_TABLES):
     def query(spark, folder):
         parts = [
-            prof.quantiles(tb.load(spark, folder, name), name, distinct=distinct, exact=True) for name in QUANTILE_TABLES
+            prof.quantiles(tb.load(spark, folder, name), name, distinct=distinct, exact=True) for name in tables
         ]
         return runs.union_results(parts).withColumn("quantile", F.round("quantile", 6))
 
     return query
 
 
-def _quantiles_sql(function: str, distinct: str) -> str:
+def _quantiles_sql(function: str, distinct: str, tables: tuple[str, ...] = QUANTILE_TABLES) -> str:
     return " union all ".join(
         f"""select '{t}' as table_name, '{c}' as column_name, unnest([{', '.join(f'{p}::double' for p in fixed.PROFILE_QUANTILES)}]) as probability,
                    unnest({function}(x, [{', '.join(map(str, fixed.PROFILE_QUANTILES))}])) as quantile
             from (select {distinct} cast({c} as double) as x from {t})"""
-        for t in QUANTILE_TABLES
+        for t in tables
         for c, k in SCHEMAS[t].items()
         if k in NUMERIC
     )
@@ -194,6 +198,10 @@ QUANTILES_SQL = {
     True: f"select table_name, column_name, probability, round(quantile, 6) as quantile from ({_quantiles_sql('quantile_cont', 'distinct')})",
     False: f"select table_name, column_name, probability, round(quantile, 6) as quantile from ({_quantiles_sql('quantile_cont', '')})",
 }
+ALL_QUANTILES_SQL = {
+    distinct: f"select table_name, column_name, probability, round(quantile, 6) as quantile from ({_quantiles_sql('quantile_cont', word, ALL_QUANTILE_TABLES)})"
+    for distinct, word in ((True, "distinct"), (False, ""))
+}
 AS_TEXT = {
     "key_text": "case when o_orderkey % 10 = 0 then 'none' else cast(o_orderkey as string) end",
     "price_text": "case when o_orderkey % 4 = 0 then 'unpriced' else cast(o_totalprice as string) end",
@@ -578,6 +586,8 @@ QUERIES = {
     "column_samples": hashed_samples,
     "column_quantiles_of_distinct_values": _quantiles(True),
     "column_quantiles_of_rows": _quantiles(False),
+    "all_column_quantiles_of_distinct_values": _quantiles(True, ALL_QUANTILE_TABLES),
+    "all_column_quantiles_of_rows": _quantiles(False, ALL_QUANTILE_TABLES),
     "text_type_shares": text_type_shares,
     "column_dictionary": column_dictionary,
     "part_dictionary": part_dictionary,
@@ -604,6 +614,8 @@ ORACLES = {
     "column_samples": SAMPLES_SQL,
     "column_quantiles_of_distinct_values": QUANTILES_SQL[True],
     "column_quantiles_of_rows": QUANTILES_SQL[False],
+    "all_column_quantiles_of_distinct_values": ALL_QUANTILES_SQL[True],
+    "all_column_quantiles_of_rows": ALL_QUANTILES_SQL[False],
     "text_type_shares": TYPE_SHARES_SQL,
     "column_dictionary": DICTIONARY_SQL,
     "part_dictionary": PART_DICTIONARY_SQL,

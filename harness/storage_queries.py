@@ -61,14 +61,19 @@ def written_metrics(spark, folder):
     )
 
 
-def leading_groups(spark, folder):
-    """The first groups in presentation order: overall, then periods, then dimensions."""
+def ordered_groups(spark, folder):
+    """All groups in presentation order: overall, then periods, then dimensions."""
     df = tb.load(spark, folder, "orders")
     column = binding.bind_group_column(df, "interaction_date", temporal=True)
     status = binding.bind_group_column(df, "order_status", aliases=("o_orderstatus",))
     grouping = grp.Grouping(column, "month", {"status": status})
     measured = grp.measure(df, grouping, grp.counters(F.lit(True), None))
-    return grp.group_order(measured, grouping).limit(25).select("is_overall", "time_period", "status", "row_count")
+    return grp.group_order(measured, grouping).select("is_overall", "time_period", "status", "row_count")
+
+
+def leading_groups(spark, folder):
+    """The first of all groups."""
+    return ordered_groups(spark, folder).limit(25)
 
 
 LEADING_SQL = """
@@ -76,14 +81,17 @@ select grouping(o_orderstatus) = 1 as is_overall, time_period, o_orderstatus as
 from (select strftime(o_orderdate, '%Y-%m') as time_period, o_orderstatus from orders)
 group by grouping sets ((), (time_period, o_orderstatus)) order by 1 desc, 2 nulls first, 3 nulls first limit 25
 """
+ORDERED_SQL = LEADING_SQL.replace(" limit 25", "")
 
 QUERIES = {
     "csv_transcripts": csv_transcripts,
     "written_metrics": written_metrics,
     "leading_groups": leading_groups,
+    "ordered_groups": ordered_groups,
 }
 ORACLES = {
     "csv_transcripts": CSV_SQL,
     "written_metrics": gq.FILL_RATE_SQL,
     "leading_groups": LEADING_SQL,
+    "ordered_groups": ORDERED_SQL,
 }
