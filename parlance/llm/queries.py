@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import (
+    block_neighbours,
     chat_format,
     decontamination,
+    merkle_manifest,
     minhash_dedup,
+    periodic_runs,
     piece_codec,
     quality_classifier,
     quality_rules,
@@ -117,6 +120,59 @@ def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+
+    def leaf(text):
+        return merkle_manifest.digest(merkle_manifest.encoded(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), text))
+
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    kept = {
+        "doc_id": F.col("doc_id"),
+        "offered": F.when(altered, leaf(F.replace("text", F.lit("\n"), F.lit("")))),
+    }
+    found = merkle_manifest.manifest(documents, leaf(F.col("text")), F.col("source"), F.col("doc_id"), kept)
+    refolded = merkle_manifest.folded(F.coalesce("offered", "leaf"), F.col("path"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle_manifest.path_digest(F.col("path")).alias("proof_sha256"),
+        refolded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def planted_repeats(documents: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the texts, by checksum of the id, repeats a stretch of its own words to the end."""
+    check = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    step = F.floor(check / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\x09-\\x0D]+", -1), lambda x: x != "")
+    chosen = documents.select("doc_id", "text", check.alias("check"), step.alias("step"), F.when(check % 10 == 0, words).alias("words"))
+    chosen = chosen.withColumn("n", F.size("words")).withColumn("from", F.when(F.col("n") > 0, F.col("step") % F.col("n")))
+    chosen = chosen.withColumn("period", 1 + F.floor((F.col("n") - F.col("from")) / (3 + F.col("step") % 8)))
+    repeated = F.transform(
+        F.sequence(F.lit(0), F.col("n") - F.col("from") - 1),
+        lambda i: F.get("words", (F.col("from") + i % F.col("period")).cast("int")),
+    )
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("from").cast("int")), repeated), " ")
+    return chosen.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_repeats(table(spark, folder, "documents")))
+    # The greatest length comes first, then the smallest start, then the smallest period.
+    ranked = F.array_max(F.transform(
+        "runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("longest", ranked).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.floor(-1000 * F.col("longest.length") / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_block_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return block_neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -128,6 +184,9 @@ QUERIES = {
     "op8_warc_chunks": op8_warc_chunks,
     "op9_chat_events": op9_chat_events,
     "op10_winnowing": op10_winnowing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_block_neighbours": op13_block_neighbours,
 }
 
 _CHAT_SQL = """
@@ -214,7 +273,80 @@ select id as doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_
 from cut left join covered on covered.doc_id = id left join named on named.doc_id = id where kind = 'd'
 """
 
+_MERKLE_SQL = """
+with recursive parts as (
+  select doc_id, source, text, concat(
+      coalesce(octet_length(encode(cast(doc_id as varchar))) || ':' || doc_id, '-'),
+      coalesce(octet_length(encode(source)) || ':' || source, '-'), coalesce(octet_length(encode(lang)) || ':' || lang, '-'),
+      coalesce(octet_length(encode(cast(n_chars as varchar))) || ':' || n_chars, '-')) as head,
+    replace(text, chr(10), '') as short,
+    xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+      string_split(cast(doc_id as varchar), ''), lambda c: [cast(ascii(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end)) as crc
+  from documents
+), leaves as (
+  select doc_id, coalesce('=' || source, '') as s, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf,
+    case when crc % 2 = 0 then sha256(head || coalesce(octet_length(encode(short)) || ':' || short, '-')) end as offered from parts
+), placed as (
+  select *, row_number() over (partition by s order by doc_id, leaf) - 1 as pos, count(*) over (partition by s) as n from leaves
+), tree as (
+  select s, 0 as level, pos, n, leaf as h from placed
+  union all
+  select s, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from tree where n > 1
+  group by s, level, pos // 3, n
+), subroots as (
+  select s, level as height, h, row_number() over (order by s) - 1 as pos, count(*) over () as n from tree where n = 1
+), crown as (
+  select 0 as level, pos, n, h from subroots
+  union all
+  select level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from crown where n > 1
+  group by level, pos // 3, n
+), steps as (
+  select s, 0 as part, level, pos, h from tree where n > 1 union all select '', 1, level, pos, h from crown where n > 1
+), sides as (
+  select a.s, a.part, a.level, a.pos, coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos < a.pos), '') as l,
+    coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos > a.pos), '') as r
+  from steps a join steps b on a.s = b.s and a.part = b.part and a.level = b.level and a.pos // 3 = b.pos // 3
+  group by a.s, a.part, a.level, a.pos
+), climb as (
+  select p.doc_id, p.leaf, p.s, u.height, u.pos as top, u.h as subroot, 0 as part, 0 as level, p.pos,
+    coalesce(p.offered, p.leaf) as h, '' as proof
+  from placed p join subroots u on p.s = u.s
+  union all
+  select c.doc_id, c.leaf, c.s, c.height, c.top, c.subroot,
+    case when c.part = 0 and c.level = c.height then 1 else c.part end,
+    case when c.part = 0 and c.level = c.height then 0 else c.level + 1 end,
+    case when c.part = 0 and c.level = c.height then c.top else c.pos // 3 end,
+    case when c.part = 0 and c.level = c.height then c.h else sha256(d.l || c.h || d.r) end,
+    case when c.part = 0 and c.level = c.height then c.proof else c.proof || d.l || d.r end
+  from climb c left join sides d
+    on d.part = c.part and d.level = c.level and d.pos = c.pos and (d.s = c.s or c.part = 1)
+  where (c.part = 0 and c.level = c.height) or d.pos is not null
+), ended as (
+  select *, row_number() over (partition by doc_id, leaf order by part desc, level desc) as k from climb where part = 1
+)
+select e.doc_id, e.leaf, e.subroot, r.h as root, sha256(e.proof) as proof_sha256, e.h as folded_root, e.h = r.h as verified
+from ended e, (select h from crown where n = 1) r where k = 1
+"""
+
+_NEIGHBOURS_SQL = """
+with numbered as (select vec_id, cast(embedding as double[]) as e, row_number() over () as own from embeddings),
+usable as (
+  select * from numbered where len(list_filter(e, lambda x: x <> 0)) > 0
+    and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+), pairs as (
+  select a.own, a.vec_id as query_id, b.vec_id, b.own as other, sqrt(list_reduce(
+    list_transform(range(1, len(a.e) + 1), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])), lambda x, y: x + y)) as score
+  from usable a join usable b on a.own <> b.own and len(a.e) = len(b.e) where a.vec_id % 100 = 0
+), ranked as (
+  select *, cast(row_number() over (partition by own order by score, vec_id nulls last, other) as integer) as rank from pairs
+)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
 ORACLES = {
+    "op11_merkle_manifest": _MERKLE_SQL,
+    "op13_block_neighbours": _NEIGHBOURS_SQL,
     "op10_winnowing": _WINNOWING_SQL,
     "op2_minhash_dedup": _DEDUP_SQL,
     "op5_substring_dedup": _SUBSTRING_SQL,

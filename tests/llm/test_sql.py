@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     engine = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations", "pages"):
+    for table in ("documents", "benchmark", "conversations", "embeddings", "pages"):
         engine.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     expected = engine.execute(ORACLES[name])
     columns = sorted(item[0] for item in expected.description)
@@ -23,4 +23,4 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted({int(name[2:].split("_")[0]) for name in QUERIES}) == list(range(1, 11))
+    assert sorted({int(name[2:].split("_")[0]) for name in QUERIES}) == list(range(1, 14))
