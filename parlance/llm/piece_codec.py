@@ -10,7 +10,7 @@ those two alone. So an arc after another weighs nothing if merging their joint t
 infinitely much otherwise. Exactly one path has a finite weight: the encoding. Pair weights are compiled on first use.
 
 Pieces never continue over a space into the next word (checked when compiling), so texts are cut there, and at control
-characters no piece contains; encodings of such chunks are kept in a bounded cache for each worker.
+characters no piece contains; encodings of such chunks are kept in a bounded cache that a task drops when it ends.
 
 Cases: a null or empty text has no pieces; U+2581 in a text is a space; lone surrogates cannot occur; unknown characters become
 bytes; very long words are searched iteratively; equal rows give equal results; an output column that exists is replaced,
@@ -19,10 +19,10 @@ others stay as they are; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import re
 import struct
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from math import inf
 
 import numpy as np
@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from parlance.llm.tables import release_memory
+
 SPACE = "▁"
-# Bounds of what a worker keeps: about 170 MB of chunks and 60 MB of pair weights.
-CACHE_CHUNKS = 700_000
-CACHE_PAIRS = 400_000
+# Bounds of what a task keeps: about 50 MB of chunks and 30 MB of pair weights.
+CACHE_CHUNKS = 200_000
+CACHE_PAIRS = 200_000
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE_MODEL = 2
@@ -155,26 +157,36 @@ class Transducer:
 
     def shortest_path(self, text: str) -> list[int]:
         """Ids on the path of least weight over a chunk."""
-        start = (0, -1)
-        before: dict[tuple[int, int], tuple[int, int] | None] = {}
-        heap = [(0.0, 0, start, None)]
+        # A state is position * width + last arc + 1, so that 0 is the start.
+        width, weights = len(self.text_of) + 1, self.weights
+        before: dict[int, int] = {}
+        arcs: dict[int, list[tuple[int, int]]] = {}
+        heap = [(0.0, 0, 0, -1)]
         while heap:
-            cost, _, state, origin = heapq.heappop(heap)
+            cost, place, state, origin = heappop(heap)
             if state in before:
                 continue
             before[state] = origin
-            at, last = state
+            at = -place
             if at == len(text):
                 ids: list[int] = []
-                while origin is not None:
-                    ids[:0] = [last] if last >= 0 else self.fallback(text[origin[0]])
-                    at, last = origin
-                    origin = before[origin]
+                while origin >= 0:
+                    last = state % width - 1
+                    ids[:0] = [last] if last >= 0 else self.fallback(text[origin // width])
+                    state, origin = origin, before[origin]
                 return ids
-            for end, piece in self.arcs(text, at):
-                more = self.weight(last, piece) if piece >= 0 else 0.0
-                if more < inf and (end, piece) not in before:
-                    heapq.heappush(heap, (cost + more, -end, (end, piece), state))
+            last = state % width - 1
+            for end, piece in arcs.get(at) or arcs.setdefault(at, self.arcs(text, at)):
+                further = end * width + piece + 1
+                if further in before:
+                    continue
+                more = 0.0
+                if piece >= 0:
+                    more = weights.get((last + 1) * (width - 1) + piece, -1.0)
+                    if more < 0:
+                        more = self.weight(last, piece)
+                if more < inf:
+                    heappush(heap, (cost + more, -end, further, state))
         raise AssertionError(f"no path over {text[:40]!r}")
 
 
@@ -205,6 +217,11 @@ class PieceCodec(dict):
         self[chunk] = coded
         return coded
 
+    def forget(self) -> None:
+        """Drop what was kept for later texts; the compiled model stays."""
+        self.clear()
+        self.machine.weights.clear()
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
         if not text:
@@ -253,12 +270,16 @@ def _mapped(df: DataFrame, model: str, schema: T.StructType, *steps) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 250):
-                batch = whole.slice(begin, 250)
-                for step, *names in steps:
-                    batch = step(batch, coder, *names)
-                yield batch
+        try:
+            for whole in batches:
+                for begin in range(0, whole.num_rows, 250):
+                    batch = whole.slice(begin, 250)
+                    for step, *names in steps:
+                        batch = step(batch, coder, *names)
+                    yield batch
+        finally:
+            coder.forget()
+            release_memory()
 
     return df.mapInArrow(run, schema)
 

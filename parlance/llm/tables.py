@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -60,10 +61,21 @@ def unique_name(prefix: str, suffix: str) -> str:
     return f"{prefix}-{uuid.uuid4().hex}{suffix}"
 
 
+def release_memory() -> None:
+    """Return what a task has freed to the system: workers are reused, and otherwise keep the most they ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, function, schema: str, **options) -> DataFrame:
-    """mapInArrow over non-empty batches."""
+    """mapInArrow over non-empty batches; memory goes back when a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return function((batch for batch in batches if batch.num_rows), **options)
+        try:
+            yield from function((batch for batch in batches if batch.num_rows), **options)
+        finally:
+            release_memory()
 
     return df.mapInArrow(run, schema)
