@@ -5,10 +5,11 @@
 3. Repeated passages: runs of 35 words or more that start in two places or more are cut out; the rest of a text stays as it
    was, and a document of which nothing is left goes.
 4. Benchmarks: documents that hold ten consecutive words of a benchmark item go.
-5. Pieces: texts are encoded; the ids are added as `piece_ids`.
+5. Pieces: texts are encoded and decoded again; `piece_ids` and `decoded` are added.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame. Stages 1 to 4 return the columns of documents. Rows without a doc_id
-cannot be grouped or named and go in stage 2; null texts are empty and go in stage 3.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame. Stages 1 to 4 return the columns of documents. Rows are told apart by
+a number of their own, stored with them, and not by doc_id: rows that share one, or have none, are judged by their own texts.
+Null and empty texts hold nothing that could be a copy, so stage 2 keeps them, and stage 3 drops them.
 """
 
 from __future__ import annotations
@@ -29,10 +30,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model, GOOD, names=names).filter("_quality_kept").select(*docs.columns)
 
 
+def numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a number of each row, written so that every reader sees the same numbers; and the number's name."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-documents"), name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash_dedup.near_duplicates(docs)
-    leaders = found.filter("kept").select("doc_id")
-    return docs.join(leaders, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    rows, number = numbered_rows(docs)
+    found = minhash_dedup.near_duplicates(rows, id_column=number).select(number, "component_id")
+    # Of each group the row with the least doc_id stays, one without an id only where no other is left.
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(number).alias("row")))
+    leaders = found.join(rows.select(number, "doc_id"), number).groupBy("component_id").agg(least.alias("least"))
+    return rows.join(leaders.select(F.col("least.row").alias(number)), number, "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +59,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rows, number = numbered_rows(docs)
+    found = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"), id_column=number)
+    return rows.join(found.filter("contaminated").select(number), number, "left_anti").select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_codec.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
