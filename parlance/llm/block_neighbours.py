@@ -163,7 +163,7 @@ def _read(batch: pa.RecordBatch, dims: int) -> _Rows:
         ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), batch.column("number").to_numpy(), vectors)
 
 
-def _nearest_in_cells(batches, k: int):
+def _nearest_in_cells(batches, k: int, tile: int):
     """Read cell after cell, the queries of each before its candidates, and emit the k nearest of every query."""
     schema = pa.schema([("query_number", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()),
                         ("vec_number", pa.int64()), ("score", pa.float64())])
@@ -183,8 +183,8 @@ def _nearest_in_cells(batches, k: int):
             elif heaps is None and waiting:
                 heaps = _Heaps(_Rows.joined(waiting), k)
             if side == 1 and heaps is not None:
-                for first in range(0, len(rows.ids), TILE):
-                    heaps.meet(rows.take(slice(first, first + TILE)))
+                for first in range(0, len(rows.ids), tile):
+                    heaps.meet(rows.take(slice(first, first + tile)))
     if heaps is not None:
         yield heaps.rows(schema)
 
@@ -197,7 +197,7 @@ def usable(vector: Column) -> Column:
 
 def nearest(
     df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding",
-    group_bytes: int = GROUP_BYTES, slice_bytes: int = SLICE_BYTES,
+    group_bytes: int = GROUP_BYTES, slice_bytes: int = SLICE_BYTES, tile: int = TILE,
 ) -> DataFrame:
     """The k nearest rows of every query row: query_id, rank from 1, vec_id, score (the Euclidean distance)."""
     spark = df.sparkSession
@@ -209,10 +209,12 @@ def nearest(
         "vectors",
     ).withColumn("dims", F.size("vector"))
     size = F.col("dims").cast("bigint") * 8
-    asked, held = rows.agg(
-        F.coalesce(F.sum(F.when(F.col("asks"), size)), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    asked, held, count = rows.agg(
+        F.coalesce(F.sum(F.when(F.col("asks"), size)), F.lit(0)), F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
     groups = max(1, math.ceil(asked / group_bytes))
-    slices = max(1, math.ceil(2 * int(spark.conf.get("spark.sql.shuffle.partitions")) / groups), math.ceil(held / slice_bytes))
+    # Every cell sends k rows a query, so slices of less than a tile would add rows and save nothing.
+    busy = min(math.ceil(2 * int(spark.conf.get("spark.sql.shuffle.partitions")) / groups), math.ceil(count / tile))
+    slices = max(1, busy, math.ceil(held / slice_bytes))
 
     def dealt(count: int, seed: int) -> Column:
         return F.pmod(F.xxhash64("number", F.lit(seed)), F.lit(count)).cast("int")
@@ -224,7 +226,7 @@ def nearest(
     queries = rows.filter("asks").withColumns({"part": dealt(groups, 1), "side": F.lit(0)}).withColumn("slice", every(slices))
     others = rows.withColumns({"slice": dealt(slices, 2), "side": F.lit(1)}).withColumn("part", every(groups))
     cells = queries.select(*columns).union(others.select(*columns)).repartition("dims", "part", "slice")
-    found = arrow_map(cells.sortWithinPartitions("dims", "part", "slice", "side"), _nearest_in_cells, _FOUND, k=k)
+    found = arrow_map(cells.sortWithinPartitions("dims", "part", "slice", "side"), _nearest_in_cells, _FOUND, k=k, tile=tile)
     order = Window.partitionBy("query_number").orderBy("score", F.col("vec_id").asc_nulls_last(), "vec_number")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -42,7 +42,7 @@ def nearest(spark, rows, k, **options):
     return sorted((tuple(r) for r in block_neighbours.nearest(df, F.col("vec_id") % 100 == 0, k, **options).collect()), key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"group_bytes": 600, "slice_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"group_bytes": 600, "slice_bytes": 2000}, {"tile": 50}])
 def test_against_all_distances(spark, options):
     chance = np.random.default_rng(3)
     rows = [(i, chance.normal(size=6).astype(np.float32).tolist()) for i in range(600)]
