@@ -96,8 +96,7 @@ def call_rows(spark, folder):
     words = tq.english_words(spark, folder)
     size = vocabulary.vocabulary_size(words)
     featured = tq.calls_features(spark, folder, with_tokens=True).drop("transcript")
-    keys = ["call_id", "lang", "call_day", "text_present", "letter_count", "non_ascii_letter_count"]
-    return vocabulary.unknown_word_counts(featured, keys, "tokens", words, size), size
+    return vocabulary.with_unknown_words(featured, "tokens", words, size), size
 
 
 def run_flat(df, rules, grouping=BY_CALL_MONTH):
@@ -544,23 +543,26 @@ def all_rule_metrics(spark, folder):
     )
 
 
-def incremental_fill_rate(spark, folder):
-    """Completeness from states stored by a stream over the event files.
-
-    The stream is given a pattern, which covers a single file and a folder alike.
-    """
-    source = f"{folder.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(source).schema
+def streamed(spark, folder, table, files, grouping, make_rules, prepare, **options):
+    """A table dealt into files, read one file a batch into a store that folds every two segments; the store's path."""
+    source = new_path(spark, f"{table}-files")
+    tb.load(spark, folder, table, spread=False).repartition(files).write.parquet(source)
     partials = new_path(spark, "partials")
+    incremental.start_incremental(
+        spark, source, spark.read.parquet(source).schema, "parquet", partials, new_path(spark, "progress"), grouping, make_rules, prepare,
+        files_per_batch=1, fanout=2, **options,
+    ).awaitTermination()
+    return partials
+
+
+def incremental_fill_rate(spark, folder):
+    """Completeness from states that a stream stored in four batches."""
 
     def make_rules(df):
         return [fill_rate.fill_rate_rule(df, gq.TARGETS)]
 
-    incremental.start_incremental(
-        spark, source.replace("events", "event[s]"), schema, "parquet", partials, new_path(spark, "progress"), gq.BY_MONTH, make_rules,
-        prepare=lambda df: tb.derived(df, tb.EVENTS_FILL),
-    ).awaitTermination()
-    rules = make_rules(tb.derived(spark.read.parquet(source), tb.EVENTS_FILL))
+    partials = streamed(spark, folder, "events", 4, gq.BY_MONTH, make_rules, lambda df: tb.derived(df, tb.EVENTS_FILL))
+    rules = make_rules(tb.derived(tb.load(spark, folder, "events"), tb.EVENTS_FILL))
     table = incremental.stored_metrics(spark, partials, gq.BY_MONTH, rules, decimals=None)
     return table.where(F.col("metric_name") == "fill_rate").select(
         "rule_id", "is_overall", "time_period", F.try_element_at("dims", F.lit("event_type")).alias("event_type"), *COUNTS,
@@ -568,6 +570,39 @@ def incremental_fill_rate(spark, folder):
     )
 
 
+def incremental_topics(spark, folder):
+    """Topic mix from counts that a stream stored in three batches and folded."""
+    partials = streamed(
+        spark, folder, "orders", 3, BY_ORDER_YEAR, lambda df: [], lambda df: tb.derived(df, tb.ORDER_TOPICS),
+        topic=incremental.TopicSource("topic", tb.TOPIC_ONTOLOGY))
+    tables = incremental.stored_topics(spark, partials, BY_ORDER_YEAR)
+    return flat(topics.topic_metrics(tables, BY_ORDER_YEAR, decimals=None), ["parity"])
+
+
+def incremental_unknown_words(spark, folder):
+    """Unknown words from states that a stream stored in three batches, then folded into one."""
+    words = tq.english_words(spark, folder)
+    size = vocabulary.vocabulary_size(words)
+
+    def prepare(df):
+        featured = text_features(tb.as_calls(df), "transcript", with_tokens=True).drop("transcript")
+        return vocabulary.with_unknown_words(featured, "tokens", words, size)
+
+    rules = [tr.spelling_rule(size)]
+    partials = streamed(spark, folder, "documents", 3, BY_CALL_MONTH, lambda df: rules, prepare)
+    incremental.compact(spark, partials, BY_CALL_MONTH, rules)
+    return flat(incremental.stored_metrics(spark, partials, BY_CALL_MONTH, rules, decimals=None), ["lang"])
+
+
+def incremental_evidence(spark, folder):
+    """Evidence records from fingerprints that a stream stored in three batches and folded."""
+    source = incremental.EvidenceSource("call_id", tb.SOURCE, tb.SALT)
+    partials = streamed(
+        spark, folder, "documents", 3, BY_CALL_MONTH, lambda df: evidence_rules(),
+        lambda df: text_features(tb.as_calls(df), "transcript", lexicon=tb.LEXICON).drop("transcript"), evidence=source)
+    return incremental.stored_evidence(spark, partials, BY_CALL_MONTH, evidence_rules())[0].drop("failure_type")
+
+
 QUERIES = {
     "speaker_tag_rule": speaker_tags,
     "exchange_speaker_tag_rule": exchange_speaker_tags,
@@ -588,6 +623,9 @@ QUERIES = {
     "evidence_totals": evidence_totals,
     "review_samples": review_samples,
     "incremental_fill_rate": incremental_fill_rate,
+    "incremental_topics": incremental_topics,
+    "incremental_unknown_words": incremental_unknown_words,
+    "incremental_evidence": incremental_evidence,
 }
 ORACLES = {
     "speaker_tag_rule": SPEAKER_TAGS_SQL,
@@ -609,4 +647,7 @@ ORACLES = {
     "evidence_totals": EVIDENCE_TOTALS_SQL,
     "review_samples": REVIEW_SQL,
     "incremental_fill_rate": gq.FILL_RATE_SQL,
+    "incremental_topics": TOPIC_SQL,
+    "incremental_unknown_words": SPELL_SQL,
+    "incremental_evidence": DEFAULT_EVIDENCE_SQL,
 }

@@ -85,7 +85,11 @@ def events_bad_time(spark: SparkSession, folder: str) -> DataFrame:
 
 def calls(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as call transcripts: every line a turn, some untagged, blank, null or ending in an empty turn."""
-    made = derived(load(spark, folder, "documents"), CALLS)
+    return as_calls(load(spark, folder, "documents"))
+
+
+def as_calls(documents: DataFrame) -> DataFrame:
+    made = derived(documents, CALLS)
     month = F.format_string("2024-%02d-01", F.col("call_month"))
     return made.withColumn("call_day", month.cast("date")).drop("call_month")
 

@@ -271,6 +271,15 @@ def unknown_words_by_salted_join(spark, folder):
     return vocabulary.unknown_word_counts(rows, ["call_id"], "tokens", words, size, broadcast_words=0, salts=8)
 
 
+def unknown_words_by_hash(spark, folder):
+    """The same counts where neither the vocabulary nor the unknown words may be sent to every task: a join on hashes, salted by frequency."""
+    words = english_words(spark, folder)
+    rows = calls_features(spark, folder, with_tokens=True)
+    size = vocabulary.vocabulary_size(words)
+    counted = vocabulary.with_unknown_words(rows, "tokens", words, size, broadcast_words=16, tokens_per_salt=200)
+    return counted.select("call_id", "evaluated_words", "unknown_words")
+
+
 def glossary_words(spark, folder):
     return vocabulary.glossary_words(tb.load(spark, folder, "part"), "p_type")
 
@@ -351,6 +360,7 @@ QUERIES = {
     "lexicon_hits": lexicon_hits,
     "unknown_words": unknown_words,
     "unknown_words_by_salted_join": unknown_words_by_salted_join,
+    "unknown_words_by_hash": unknown_words_by_hash,
     "glossary_words": glossary_words,
     "unknown_words_of_repeated_keys": unknown_words_of_repeated_keys,
     "redacted_texts": redacted_texts,
@@ -370,6 +380,7 @@ ORACLES = {
     "lexicon_hits": LEXICON_SQL,
     "unknown_words": UNKNOWN_SQL,
     "unknown_words_by_salted_join": UNKNOWN_SQL,
+    "unknown_words_by_hash": UNKNOWN_SQL,
     "glossary_words": GLOSSARY_SQL,
     "unknown_words_of_repeated_keys": f"select call_id, case when call_id % 5 > 0 then call_id % 10 end as shared_key, evaluated_words, unknown_words from ({UNKNOWN_SQL})",
     "redacted_texts": REDACTED_SQL,

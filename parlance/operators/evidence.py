@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from parlance import fixed_values as fixed
 from parlance.functions import dates, hashing
 from parlance.functions import text as tx
+from parlance.functions.text import quoted
 from parlance.operators import grouping as grp
 from parlance.operators.grouping import Grouping
 from parlance.operators.rules.base import Rule
@@ -28,7 +29,7 @@ def failures(keyed: DataFrame, rules: Sequence[Rule], grouping: Grouping, row_ke
         ]
     )
     failing = F.filter(candidates, lambda item: item["category"].isNotNull())
-    each = keyed.select(row_key, grp.IN_GROUP, *grouping.keys, F.inline(failing))
+    each = keyed.select(quoted(row_key), grp.IN_GROUP, *grouping.keys, F.inline(failing))
     scopes = F.array_compact(
         F.array(F.lit(True) if grouping.include_overall else F.lit(None), F.when(F.col(grp.IN_GROUP), F.lit(False)))
     )
@@ -38,6 +39,38 @@ def failures(keyed: DataFrame, rules: Sequence[Rule], grouping: Grouping, row_ke
     ).drop(grp.IN_GROUP)
 
 
+def fingerprinted(failing: DataFrame, row_key: str, source: str, salt: bytes) -> DataFrame:
+    """Failures with the salted reference of their row in place of its key."""
+    return failing.withColumn("row_fingerprint", hashing.row_fingerprint(source, quoted(row_key), salt)).drop(quoted(row_key))
+
+
+def first_of_groups(marked: DataFrame, grouping: Grouping, per_group: int = fixed.EVIDENCE_PER_RULE_GROUP) -> DataFrame:
+    """The smallest fingerprints of every (rule, key); applied to a union of earlier results it gives those of all rows."""
+    keys = ["rule_id", "is_overall", *grouping.keys]
+    order = Window.partitionBy(*keys).orderBy("row_fingerprint")
+    ranked = marked.withColumn("position", F.row_number().over(order)).where(F.col("position") <= per_group)
+    return ranked.select(*keys, "row_fingerprint", "category", "position")
+
+
+def observed_failures(failing: DataFrame, grouping: Grouping) -> DataFrame:
+    """Failures of every (rule, key); never capped."""
+    return failing.groupBy("rule_id", "is_overall", *grouping.keys).agg(F.count(F.lit(1)).alias("observed_count"))
+
+
+def evidence_table(first: DataFrame, grouping: Grouping, in_total: int = fixed.EVIDENCE_IN_TOTAL) -> DataFrame:
+    """Evidence records of ranked fingerprints, the first of every group before any second one."""
+    keys = ["rule_id", "is_overall", *grouping.keys]
+    kept = first.orderBy("position", *keys, "row_fingerprint").limit(in_total)
+    identity = [F.col("rule_id"), F.col("is_overall"), *[F.col(key) for key in grouping.keys], F.col("row_fingerprint")]
+    return kept.select(
+        hashing.stable_id("ev-", 24, *identity, F.col("category")).alias("evidence_id"),
+        *keys,
+        "row_fingerprint",
+        F.lit("rule_failure").alias("failure_type"),
+        "category",
+    )
+
+
 def collect_evidence(
     failing: DataFrame,
     grouping: Grouping,
@@ -52,25 +85,17 @@ def collect_evidence(
     Both caps are part of the result, which is a bounded review list; the number
     of failures itself is never capped (``evidence_summary``).
     """
-    keys = ["rule_id", "is_overall", *grouping.keys]
-    marked = failing.withColumn("row_fingerprint", hashing.row_fingerprint(source, F.col(row_key), salt))
-    order = Window.partitionBy(*keys).orderBy("row_fingerprint")
-    kept = marked.withColumn("position", F.row_number().over(order)).where(F.col("position") <= per_group)
-    first = kept.orderBy("position", *keys, "row_fingerprint").limit(in_total)
-    identity = [F.col("rule_id"), F.col("is_overall"), *[F.col(key) for key in grouping.keys], F.col("row_fingerprint")]
-    return first.select(
-        hashing.stable_id("ev-", 24, *identity, F.col("category")).alias("evidence_id"),
-        *keys,
-        "row_fingerprint",
-        F.lit("rule_failure").alias("failure_type"),
-        "category",
-    )
+    return evidence_table(first_of_groups(fingerprinted(failing, row_key, source, salt), grouping, per_group), grouping, in_total)
 
 
 def evidence_summary(failing: DataFrame, evidence: DataFrame, grouping: Grouping) -> DataFrame:
     """Observed and retained failures of every (rule, key)."""
+    return evidence_totals(observed_failures(failing, grouping), evidence, grouping)
+
+
+def evidence_totals(observed: DataFrame, evidence: DataFrame, grouping: Grouping) -> DataFrame:
+    """Counted failures beside the number of records retained of them."""
     keys = ["rule_id", "is_overall", *grouping.keys]
-    observed = failing.groupBy(*keys).agg(F.count(F.lit(1)).alias("observed_count"))
     retained = evidence.groupBy(*keys).agg(F.count(F.lit(1)).alias("retained"))
     same = [observed[key].eqNullSafe(retained[key]) for key in keys]
     return observed.join(retained, same, "left").select(
@@ -97,28 +122,28 @@ def stratified_sample(
     Ranking needs only the key and the strata; a semi-join then fetches the few
     chosen texts, so text is neither sorted nor shuffled.
     """
-    rows = df.where(tx.present(F.col(transcript)))
+    rows = df.where(tx.present(quoted(transcript)))
     spoken = F.lit(fixed.ALL_VALUES)
     if direction:
-        named = F.lower(tx.strip(F.col(direction).cast("string")))
+        named = F.lower(tx.strip(quoted(direction).cast("string")))
         spoken = F.when(F.coalesce(named, F.lit("")) == "", F.lit(fixed.UNKNOWN_VALUE)).otherwise(named)
     month = F.lit(fixed.ALL_TIMES)
     if time_column:
-        moment = dates.wall_clock(F.col(time_column), df.schema[time_column].dataType, "UTC")
+        moment = dates.wall_clock(quoted(time_column), df.schema[time_column].dataType, "UTC")
         month = F.coalesce(dates.bucket(moment, "month"), F.lit(fixed.UNKNOWN_TIME))
     strata = rows.select(
-        F.col(row_key).alias("sample_key"),
+        quoted(row_key).alias("sample_key"),
         F.concat_ws("|", spoken, month).alias("stratum"),
-        hashing.sample_hash(source, F.col(row_key)).alias("hash"),
+        hashing.sample_hash(source, quoted(row_key)).alias("hash"),
     )
     order = Window.partitionBy("stratum").orderBy("hash")
     ranked = strata.withColumn("position", F.row_number().over(order)).where(F.col("position") <= per_stratum)
     chosen = ranked.orderBy("hash").limit(in_total)
     # At most in_total rows, hence the broadcast.
-    return rows.join(F.broadcast(chosen), F.col(row_key) == F.col("sample_key")).select(
+    return rows.join(F.broadcast(chosen), quoted(row_key) == F.col("sample_key")).select(
         F.concat(F.lit("sha256:"), F.col("hash")).alias("sample_id"),
         "stratum",
-        F.substring(tx.redact_sample(F.col(transcript)), 1, characters).alias("sample"),
+        F.substring(tx.redact_sample(quoted(transcript)), 1, characters).alias("sample"),
     )
 
 

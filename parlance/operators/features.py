@@ -33,7 +33,7 @@ def text_features(
     Whole texts are inspected unless ``characters`` sets a limit, in which case
     ``text_truncated`` tells which rows it touched.
     """
-    text = F.col(transcript)
+    text = tx.quoted(transcript)
     if characters is None:
         inspected, truncated = text, F.lit(False)
     else:

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from parlance import fixed_values as fixed
 from parlance.functions import dates
 from parlance.functions import text as tx
+from parlance.functions.text import quoted
 
 MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 IN_GROUP = "in_group"
@@ -90,7 +91,7 @@ def group_keys(df: DataFrame, grouping: Grouping) -> DataFrame:
     derived: dict[str, Column] = {}
     fits = F.lit(bool(grouping.keys))
     if PERIOD in grouping.keys:
-        moment = dates.wall_clock(F.col(grouping.time_column), df.schema[grouping.time_column].dataType, grouping.zone)
+        moment = dates.wall_clock(quoted(grouping.time_column), df.schema[grouping.time_column].dataType, grouping.zone)
         period = dates.bucket(moment, grouping.grain)
         if grouping.invalid_time == "unknown":
             period = F.coalesce(period, F.lit(grouping.unknown_time))
@@ -100,7 +101,7 @@ def group_keys(df: DataFrame, grouping: Grouping) -> DataFrame:
             period = F.coalesce(period, F.raise_error(F.lit("a timestamp could not be parsed")).cast("string"))
         derived[PERIOD] = period
     for name, source in grouping.dimensions.items():
-        value = dimension_value(F.col(source), df.schema[source].dataType)
+        value = dimension_value(quoted(source), df.schema[source].dataType)
         if grouping.null_dimension == "include":
             value = F.coalesce(value, F.lit(grouping.unknown_value))
         elif grouping.null_dimension == "exclude":
@@ -112,40 +113,55 @@ def group_keys(df: DataFrame, grouping: Grouping) -> DataFrame:
     return df.withColumns({**keyed, IN_GROUP: fits})
 
 
-def limit_groups(df: DataFrame, grouping: Grouping) -> DataFrame:
-    """Enforce the group limit on keyed rows or on partial states.
+def kept_groups(df: DataFrame, grouping: Grouping) -> DataFrame | None:
+    """Keys of the largest groups of keyed rows or partial states, or None if all fit; fewer than the limit.
 
-    ``reject`` raises; ``other`` keeps the largest groups and folds the rest into
-    one. The kept keys number fewer than the limit, which bounds the broadcast.
+    Raises if there are too many groups and the policy is to reject them.
     """
     keys = grouping.keys
     if not keys:
-        return df
+        return None
     weight = F.sum("row_count") if "row_count" in df.columns else F.count(F.lit(1))
     sizes = df.where(IN_GROUP).groupBy(*keys).agg(weight.alias("rows_in_group"))
     observed = sizes.limit(grouping.maximum_groups + 1).count()
     if observed <= grouping.maximum_groups:
-        return df
+        return None
     if grouping.overflow == "reject":
         raise GroupLimitError(f"more than {grouping.maximum_groups} groups")
-    kept = (
+    return (
         sizes.orderBy(F.desc("rows_in_group"), *keys)
         .limit(max(0, grouping.maximum_groups - 1))
         .select(*[F.col(key).alias("kept_" + key) for key in keys])
         .withColumn("is_kept", F.lit(True))
     )
-    same = [df[key].eqNullSafe(kept["kept_" + key]) for key in keys]
+
+
+def fold_groups(df: DataFrame, grouping: Grouping, kept: DataFrame | None, is_grouped: Column | None = None) -> DataFrame:
+    """Give rows of groups that are not kept the keys of the one group for all others."""
+    if kept is None:
+        return df
+    is_grouped = F.col(IN_GROUP) if is_grouped is None else is_grouped
+    same = [df[key].eqNullSafe(kept["kept_" + key]) for key in grouping.keys]
     joined = df.join(F.broadcast(kept), same, "left")
     folded = {
         key: F.when(
-            F.col(IN_GROUP) & F.col("is_kept").isNull(),
+            is_grouped & F.col("is_kept").isNull(),
             F.lit(fixed.OTHER_TIME if key == PERIOD else grouping.other_value),
         ).otherwise(F.col(key))
-        for key in keys
+        for key in grouping.keys
     }
     return joined.withColumns(folded).select(*df.columns)
 
 
+def limit_groups(df: DataFrame, grouping: Grouping) -> DataFrame:
+    """Enforce the group limit on keyed rows or on partial states.
+
+    ``reject`` raises; ``other`` keeps the largest groups and folds the rest into
+    one. The kept keys number fewer than the limit, which bounds the broadcast.
+    """
+    return fold_groups(df, grouping, kept_groups(df, grouping))
+
+
 def partial_states(df: DataFrame, grouping: Grouping, states: Mapping[str, State]) -> DataFrame:
     """One row of states per group of a keyed frame; a map-side reduction of the rows."""
     aggregates = [MERGE[state.merge](state.column).alias(name) for name, state in states.items()]

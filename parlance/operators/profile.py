@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from parlance import fixed_values as fixed
 from parlance.functions import hashing
 from parlance.functions import text as tx
+from parlance.functions.text import quoted
 from parlance.sources.readers import logical_type
 from parlance.sources.storage import materialize
 
@@ -25,11 +26,6 @@ NUMERIC = ("integer", "float")
 TEMPORAL = ("date", "datetime")
 
 
-def quoted(name: str) -> Column:
-    """A column by its whole name, whatever characters it has."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def is_missing(column: Column, data_type: T.DataType, spellings: Sequence[str] = fixed.PROFILE_NULL_LIKE) -> Column:
     if isinstance(data_type, T.StringType):
         return tx.is_null_like(column, spellings)

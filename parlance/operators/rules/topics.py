@@ -38,40 +38,38 @@ def preferred_topic_column(targets: Sequence[str], aliases: Sequence[str]) -> st
     return next((by_name[alias.casefold()] for alias in aliases if alias.casefold() in by_name), targets[0])
 
 
-def topic_cells(keyed: DataFrame, topic: str, grouping: Grouping) -> DataFrame:
-    """Rows per distinct cell of a group: the one look at the rows that all else is made from."""
-    cell = F.col(topic).cast("string")
-    counted = keyed.groupBy(grp.IN_GROUP, *grouping.keys, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("filled", tx.present(F.col("cell")))
-
-
-def topic_counts(
-    cells: DataFrame,
+def topic_partials(
+    keyed: DataFrame,
+    topic: str,
     grouping: Grouping,
     ontology: Ontology = (),
     fallback: str = fixed.TOPIC_FALLBACK,
     delimiters: str = fixed.TOPIC_DELIMITERS,
 ) -> DataFrame:
-    """Rows per (group, category), overall and grouped.
+    """Mergeable states of keyed rows: topic counts by group and category, and each group's rows under a null category.
 
-    Cells are counted before, so splitting and mapping run once per distinct
-    cell of a group rather than once per row.
+    Rows are counted by distinct cell of a group first, so splitting and mapping run once for each of these. States of several
+    batches add up (`merge_topic_partials`), and groups can still be folded afterwards.
     """
     keys = [grp.IN_GROUP, *grouping.keys]
-    filled = cells.where("filled")
-    parts = filled.select(*keys, "n", F.explode(tx.split_topics(F.col("cell"), delimiters)).alias("part"))
-    partial = (
-        parts.withColumn("category", tx.topic_category(F.col("part"), ontology, fallback))
-        .groupBy(*keys, "category")
-        .agg(F.sum("n").alias("n"))
-    )
-    sets = [[F.col(key) for key in (*keys, "category")]] if grouping.keys else []
-    if grouping.include_overall:
-        sets.append([F.col("category")])
-    rolled = partial.groupingSets(sets, *keys, "category").agg(
-        (F.grouping_id() > 0).alias("is_overall"), F.sum("n").alias("topic_count")
-    )
-    return rolled.where(F.col("is_overall") | F.col(grp.IN_GROUP)).drop(grp.IN_GROUP)
+    cells = keyed.groupBy(*keys, F.col(topic).cast("string").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("bigint")
+    is_filled = tx.present(F.col("cell"))
+    rows = F.struct(
+        F.lit(None).cast("string").alias("part"), F.col("n").alias("row_count"),
+        F.when(is_filled, F.col("n")).otherwise(zero).alias("filled_count"), zero.alias("topic_count"))
+    named = F.transform(
+        F.when(is_filled, tx.split_topics(F.col("cell"), delimiters)),
+        lambda part: F.struct(part.alias("part"), zero.alias("row_count"), zero.alias("filled_count"), F.col("n").alias("topic_count")))
+    each = cells.select(*keys, F.inline(F.concat(F.array(rows), F.coalesce(named, F.array()))))
+    category = F.when(F.col("part").isNotNull(), tx.topic_category(F.col("part"), ontology, fallback))
+    return merge_topic_partials(each.withColumn("category", category), grouping)
+
+
+def merge_topic_partials(partials: DataFrame, grouping: Grouping) -> DataFrame:
+    """Add up the states of a category, for example those of several batches."""
+    counts = ("row_count", "filled_count", "topic_count")
+    return partials.groupBy(grp.IN_GROUP, *grouping.keys, "category").agg(*[F.sum(name).alias(name) for name in counts])
 
 
 def topic_states(
@@ -84,14 +82,24 @@ def topic_states(
     limit: int = fixed.CATEGORIES_PER_GROUP,
 ) -> TopicTables:
     """Counters and the capped category map of every group, and all categories as rows."""
-    cells = topic_cells(grp.limit_groups(grp.group_keys(df, grouping), grouping), topic, grouping)
-    eligible = F.when(F.col("filled"), F.col("n")).otherwise(0)
-    zero = F.lit(0).cast("bigint")
-    counts = {"row_count": F.col("n"), "eligible_count": eligible, "passed_count": zero, "failed_count": zero}
+    return topic_tables(topic_partials(grp.group_keys(df, grouping), topic, grouping, ontology, fallback, delimiters), grouping, limit)
+
+
+def topic_tables(partials: DataFrame, grouping: Grouping, limit: int = fixed.CATEGORIES_PER_GROUP) -> TopicTables:
+    """The tables of merged states: groups are limited, then rolled up."""
+    limited = grp.limit_groups(partials, grouping)
+    filled, zero = F.col("filled_count"), F.lit(0).cast("bigint")
+    counts = {"row_count": F.col("row_count"), "eligible_count": filled, "passed_count": zero, "failed_count": zero}
     states = {f"{RULE_ID}__{name}": State("sum", column) for name, column in counts.items()}
-    counters = grp.measure(cells, grouping, states, keyed=True, limited=True)
+    counters = grp.measure(limited, grouping, states, keyed=True, limited=True)
     keys = ["is_overall", *grouping.keys]
-    counted = topic_counts(cells, grouping, ontology, fallback, delimiters)
+    sets = [[F.col(key) for key in (grp.IN_GROUP, *grouping.keys, "category")]] if grouping.keys else []
+    if grouping.include_overall:
+        sets.append([F.col("category")])
+    rolled = limited.where(F.col("category").isNotNull()).groupingSets(sets, grp.IN_GROUP, *grouping.keys, "category").agg(
+        (F.grouping_id() > 0).alias("is_overall"), F.sum("topic_count").alias("topic_count")
+    )
+    counted = rolled.where(F.col("is_overall") | F.col(grp.IN_GROUP)).drop(grp.IN_GROUP)
     capped = grp.category_counts(counted, keys, "category", "topic_count", limit)
     distinct = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct_topics")).toDF(
         *[f"distinct_{key}" for key in keys], "distinct_topics")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
+from parlance.functions.text import quoted
 from parlance.sources.storage import materialize
 
 BROADCAST_WORDS = 1_000_000
 SALTS = 64
+TOKENS_PER_SALT = 1_000_000
 
 
 def glossary_words(terms: DataFrame, column: str) -> DataFrame:
@@ -59,15 +61,72 @@ def unknown_word_counts(
     )
 
 
-def with_unknown_words(rows: DataFrame, tokens: str, vocabulary: DataFrame, vocabulary_size: int) -> DataFrame:
-    """Every row with its evaluated and unknown words; the tokens go.
+def with_unknown_words(
+    rows: DataFrame, tokens: str, vocabulary: DataFrame, vocabulary_size: int, broadcast_words: int = BROADCAST_WORDS,
+    tokens_per_salt: int = TOKENS_PER_SALT,
+) -> DataFrame:
+    """Every row with its evaluated and unknown words; the tokens go, and are neither shuffled as rows nor stored in clear.
+
+    Tokens are counted inside their task against a set of words of checked size: the vocabulary, or where that is too large, the
+    words of these rows that are not in it. Only where both are too large are words looked up by a join, as pairs of hashes.
+    """
+    if vocabulary_size <= broadcast_words:
+        return _counted_inside(rows, tokens, vocabulary, listed_are_known=True)
+    words = rows.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    unknown = words.join(vocabulary.select("word").distinct(), "word", "left_anti")
+    if unknown.limit(broadcast_words + 1).count() <= broadcast_words:
+        return _counted_inside(rows, tokens, unknown, listed_are_known=False)
+    return _counted_by_join(rows, tokens, words, unknown, broadcast_words, tokens_per_salt)
+
+
+def _counted_inside(rows: DataFrame, tokens: str, words: DataFrame, listed_are_known: bool) -> DataFrame:
+    """Count tokens against a list of words that goes to every task.
+
+    A row's tokens never leave its task: they are summed up there under all its other columns, and one row reaches the shuffle.
+    """
+    number = "_row_number"
+    others = [name for name in rows.columns if name != tokens]
+    keys = [number, *[quoted(name) for name in others]]
+    each = rows.withColumn(number, F.monotonically_increasing_id()).select(*keys, F.explode_outer(tokens).alias("_word"))
+    listed = words.select(F.col("word").alias("_word"), F.lit(True).alias("_is_listed")).distinct()
+    matched = each.join(F.broadcast(listed), "_word", "left")
+    is_unknown = F.col("_is_listed").isNull() if listed_are_known else F.col("_is_listed")
+    counted = matched.groupBy(*keys).agg(
+        F.count("_word").alias("evaluated_words"),
+        F.count(F.when(F.col("_word").isNotNull() & is_unknown, 1)).alias("unknown_words"),
+    )
+    return counted.drop(number)
+
+
+def _hash_pair(word: Column) -> Column:
+    """128 bits that stand for a word."""
+    return F.struct(F.xxhash64(word).alias("a"), F.xxhash64(word, F.lit("second")).alias("b"))
+
+
+def _counted_by_join(
+    rows: DataFrame, tokens: str, words: DataFrame, unknown: DataFrame, broadcast_words: int, tokens_per_salt: int
+) -> DataFrame:
+    """Look words up by hash; a word is spread over salts by its measured frequency.
 
-    Rows get a number of their own that is stored with them, so keys of the caller may repeat or be null.
+    Words of more than a salt's tokens are fewer than all tokens divided by that number, which is raised until they can be sent
+    to every task.
     """
     number = "_row_number"
-    stored = materialize(rows.withColumn(number, F.monotonically_increasing_id()), "numbered-rows")
-    counted = unknown_word_counts(stored, [number], tokens, vocabulary, vocabulary_size)
-    return stored.drop(tokens).join(counted, number).drop(number)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    per_salt = max(tokens_per_salt, total // max(1, broadcast_words) + 1)
+    hashed = rows.withColumn(tokens, F.transform(tokens, _hash_pair)).withColumn(number, F.monotonically_increasing_id())
+    stored = materialize(hashed, "numbered-rows")
+    salts = F.ceil(F.col("n") / per_salt)
+    listed = unknown.select(_hash_pair(F.col("word")).alias("word"), salts.alias("salts"))
+    heavy = words.where(F.col("n") > per_salt).select(_hash_pair(F.col("word")).alias("word"), salts.alias("salts"))
+    counted = stored.select(number, F.explode(tokens).alias("word")).groupBy(number, "word").agg(F.count(F.lit(1)).alias("n"))
+    salted = counted.join(F.broadcast(heavy), "word", "left").withColumn(
+        "salt", F.pmod(F.xxhash64(number), F.coalesce("salts", F.lit(1))))
+    repeated = listed.select("word", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
+    missed = salted.join(repeated, ["word", "salt"], "left_semi").groupBy(number).agg(F.sum("n").alias("unknown_words"))
+    evaluated = F.when(F.col(tokens).isNull(), 0).otherwise(F.size(tokens)).cast("bigint")
+    return stored.withColumn("evaluated_words", evaluated).drop(tokens).join(missed, number, "left").withColumn(
+        "unknown_words", F.coalesce("unknown_words", F.lit(0))).drop(number)
 
 
 def vocabulary_size(vocabulary: DataFrame) -> int:

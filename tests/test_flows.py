@@ -12,9 +12,10 @@ from parlance.operators.applicability import Selector
 from parlance.operators.features import text_features
 from parlance.operators.filters import Filter, apply_filters
 from parlance.operators.grouping import Grouping
-from parlance.operators.rules import base, fill_rate
+from parlance.operators.rules import base, fill_rate, topics
 from parlance.operators.rules import transcript_rules as tr
 from parlance.plans import assessment
+from parlance.sources.segments import SegmentLog
 from parlance.streaming import incremental
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,13 +52,55 @@ def test_batches_equal_one_shot(spark, tmp_path):
     batch(spark, 40, 70).coalesce(1).write.mode("append").parquet(source)
     run()
     run()
-    assert len(list((tmp_path / "partials").glob("batch_id=*"))) >= 2
+    assert len(list((tmp_path / "partials").glob("segment-*"))) >= 2
     made = rules(prepare(batch(spark, 0, 70)))
     stored = incremental.stored_metrics(spark, partials, BY_DAY, made).drop("value_map", "dims").collect()
     whole = base.run_rules(prepare(batch(spark, 0, 70)), made, BY_DAY).drop("value_map", "dims").collect()
     assert sorted(map(repr, stored)) == sorted(map(repr, whole))
 
 
+def test_incremental_evidence_and_topics_under_a_group_limit(spark, tmp_path):
+    """Batches, folded and replayed, give what one run over all rows gives, groups beyond the limit folded."""
+    grouping = Grouping("day", "month", {"site": "site"}, overflow="other", maximum_groups=3)
+    ready = prepare(batch(spark, 0, 90)).withColumn("topic", F.concat_ws(";", "site", (F.col("id") % 4).cast("string")))
+    evidence = incremental.EvidenceSource("id", "calls", b"salt", per_group=2)
+    topic = incremental.TopicSource("topic")
+    log = SegmentLog(spark, str(tmp_path / "store"), fanout=2)
+    folding = incremental.folds(grouping, rules(ready), 2)
+    for number in range(5):
+        part = ready.where(F.col("id") % 5 == number)
+        tables = incremental.partial_tables(part, grouping, rules(part), topic, evidence)
+        assert log.commit(number, tables)
+        log.fold(folding)
+        assert not log.commit(number, tables)
+    assert [(s.first, s.last, s.level) for s in log.segments()] == [(0, 3, 2), (4, 4, 0)]
+    assert incremental.compact(spark, log.root, grouping, rules(ready), 2) == 2
+    assert [(s.first, s.last) for s in log.segments()] == [(0, 4)] and not log.commit(3, {})
+    assert len(list((tmp_path / "store").glob("segment-*"))) == 1 and len(list((tmp_path / "store").glob("manifest-*"))) == 1
+    records, totals = incremental.stored_evidence(spark, log.root, grouping, rules(ready), 2, 40)
+    keyed = grp.limit_groups(grp.group_keys(ready, grouping), grouping)
+    failing = ev.failures(keyed, rules(ready), grouping, "id")
+    whole = ev.collect_evidence(failing, grouping, "id", "calls", b"salt", 2, 40)
+    assert sorted(map(tuple, records.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    summed = ev.evidence_summary(failing, whole, grouping)
+    assert sorted(map(tuple, totals.collect()), key=repr) == sorted(map(tuple, summed.collect()), key=repr)
+    tables = incremental.stored_topics(spark, log.root, grouping, 3)
+    one = topics.topic_states(ready, "topic", grouping, limit=3)
+    for left, right in zip(tables, one, strict=True):
+        assert sorted(map(repr, left.collect())) == sorted(map(repr, right.collect()))
+
+
+def test_store_keeps_one_writer(spark, tmp_path):
+    log = SegmentLog(spark, str(tmp_path / "store"))
+    assert log.segments() == [] and log.committed() == -1 and log.read("t") is None and log.fold({}) == 0
+    log.commit(3, {"t": spark.range(2)})
+    with pytest.raises(RuntimeError):
+        log._publish([], 1)
+    assert log.committed() == 3 and log.read("t").count() == 2
+    (tmp_path / "store" / "segment-lost").mkdir()
+    assert log.read("t").count() == 2
+
+
 def test_category_counts_of_batches(spark):
     first = spark.createDataFrame([("k", "a", 2), ("k", "b", 1)], "k string, category string, n bigint")
     merged = incremental.merge_category_counts([first, first], ["k"], "category", "n").collect()

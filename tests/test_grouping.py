@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from parlance.functions import dates
 from parlance.operators import binding
+from parlance.operators import evidence as ev
 from parlance.operators import grouping as grp
 from parlance.operators.filters import Filter, apply_filters, condition
 from parlance.operators.grouping import Grouping, GroupLimitError
+from parlance.operators.rules import base
 
 ROWS = [
     (1, "2024-01-31", "a", 1.0),
@@ -154,3 +156,16 @@ def test_group_columns(spark):
     assert dict(retyped.dtypes)["noted"] == "timestamp_ntz"
     by_domain = binding.apply_declared_temporal(df, {}, [binding.ColumnDomain("noted", "interaction.time")])
     assert dict(by_domain.dtypes)["noted"] == "date"
+
+
+def test_names_with_dots(spark):
+    """A column's whole name is meant, in filters, dimensions, time and evidence alike."""
+    df = spark.createDataFrame([(1, "x", "2024-01-05", "hi"), (2, "y", "2024-02-05", None)], ["row.key", "a.b", "on.day", "said.text"])
+    assert [row["row.key"] for row in apply_filters(df, [Filter("a.b", "equals", ("x",))]).collect()] == [1]
+    grouping = Grouping("on.day", "month", {"kind": "a.b"})
+    keyed = grp.group_keys(df, grouping)
+    assert {(row["time_period"], row["kind"]) for row in keyed.collect()} == {("2024-01", "x"), ("2024-02", "y")}
+    rule = base.Rule("r", F.lit(True), F.lit(False), lambda state: [])
+    failing = ev.failures(keyed, [rule], grouping, "row.key")
+    assert ev.collect_evidence(failing, grouping, "row.key", "s", b"salt").count() == 4
+    assert ev.stratified_sample(df, "said.text", "row.key", "s", "a.b", "on.day").count() == 1

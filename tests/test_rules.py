@@ -117,6 +117,20 @@ def test_vocabulary_joins_agree(spark):
     assert {tuple(row) for row in small.collect()} == {tuple(row) for row in large.collect()} == wanted
 
 
+@pytest.mark.parametrize(("size", "most"), [(2, 10), (2, 1), (20, 3), (20, 0)])
+def test_words_counted_inside_rows_and_by_hash(spark, size, most):
+    """With the vocabulary sent along, with the unknown words sent along, and with neither."""
+    known = spark.createDataFrame([("the",), ("cat",), (None,)], "word string")
+    rows = [(1, ["the"] * 50 + ["dog"]), (2, []), (3, ["cat", "cow", "cow"]), (3, None), (None, ["cow", "the"])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    counted = vocabulary.with_unknown_words(df, "tokens", known, size, broadcast_words=most, tokens_per_salt=7)
+    assert counted.columns == ["id", "evaluated_words", "unknown_words"]
+    found = sorted((tuple(row) for row in counted.collect()), key=repr)
+    assert found == sorted([(1, 51, 1), (2, 0, 0), (3, 3, 2), (3, 0, 0), (None, 2, 1)], key=repr)
+    empty = vocabulary.with_unknown_words(df.limit(0), "tokens", known, size, broadcast_words=most)
+    assert empty.count() == 0
+
+
 def drift(p, q):
     names = sorted(set(p) | set(q))
     tp, tq, eps = max(sum(p.values()), 1), max(sum(q.values()), 1), 1e-8
