@@ -68,34 +68,51 @@ PATTERNS_SQL = {
 }
 
 
-def column_sql(table: str, column: str, kind: str) -> str:
-    missing = missing_sql(column, kind)
-    number = f"cast(k as double)" if kind in NUMERIC else "cast(null as double)"
-    text = "k" if kind == "string" else "cast(null as varchar)"
-    moment = "cast(k as timestamp)" if kind in ("timestamp_ntz", "date") else "cast(null as timestamp)"
+def cells_sql(table: str, columns: dict[str, str]) -> str:
+    """All cells of a table as text, one row a cell; nulls have none."""
+    listed = ", ".join(f"cast({c} as varchar) as {c}" for c in columns)
+    return f"select '{table}' as t, c, v from (unpivot (select {listed} from {SOURCES[table]}) on {', '.join(columns)} into name c value v)"
+
+
+def statistics_sql() -> str:
+    """Statistics of every column from its cells; a short statement, since planning a long one costs more than running it."""
+    kinds = ", ".join(f"('{t}', '{c}', '{k}', '{LOGICAL[k]}')" for t, columns in SCHEMAS.items() for c, k in columns.items())
+    rows = " union all ".join(f"select '{t}' as t, count(*) as n from {SOURCES[t]}" for t in SCHEMAS)
+    cells = " union all ".join(cells_sql(t, columns) for t, columns in SCHEMAS.items())
+    numeric = ", ".join(f"'{k}'" for k in NUMERIC)
     hits = ", ".join(
-        f"{{'h': {f'''count(*) filter (where regexp_matches({text}, '{pattern}'))''' if kind == 'string' else '0'}, 'r': {-position}, 'n': '{name}'}}"
+        f"{{'h': count(*) filter (where regexp_matches(s, '{pattern}')), 'r': {-position}, 'n': '{name}'}}"
         for position, (name, pattern) in enumerate(PATTERNS_SQL.items())
     )
     return f"""
-select '{table}' as table_name, '{column}' as column_name, '{kind}' as source_type,
-       case when count(k) = 0 then 'unknown' else '{LOGICAL[kind]}' end as inferred_type,
-       case when count(k) = 0 then 0.0::double else 1.0::double end as type_confidence,
-       count(*) as row_count, count(k) as non_null_count, count(*) - count(k) as null_count,
-       case when count(*) = 0 then 0.0::double else count(k) / cast(count(*) as double) end as fill_rate,
-       count({number}) as number_count, min({number}) as number_minimum, max({number}) as number_maximum,
-       round(avg({number}), 8) as number_mean, case when count({number}) = 1 then 0.0 else round(stddev_samp({number}), 6) end as number_deviation,
-       count({text}) as text_count, cast(min(length({text})) as bigint) as minimum_length, cast(max(length({text})) as bigint) as maximum_length,
-       sum(length({text})) / cast(count({text}) as double) as average_length,
-       count(*) filter (where {text} = '') as blank_count, count(*) filter (where {text} <> '' and trim({text}) = '') as whitespace_only_count,
-       count({moment}) as moment_count, strftime(min({moment}), '%Y-%m-%d %H:%M:%S.%f') as moment_minimum, strftime(max({moment}), '%Y-%m-%d %H:%M:%S.%f') as moment_maximum,
-       array_to_string(list_transform(list_reverse_sort(list_filter([{hits}], lambda x: x.h > 0)), lambda x: x.n), ',') as detected_patterns,
-       count(distinct k) as distinct_values
-from (select case when not {missing} then {column} end as k from {SOURCES[table]})"""
-
-
-STATISTICS_SQL = " union all ".join(column_sql(t, c, k) for t, columns in SCHEMAS.items() for c, k in columns.items())
-PROFILE_CTE = f"p as ({STATISTICS_SQL})"
+select table_name, column_name, source_type, case when coalesce(filled, 0) = 0 then 'unknown' else logical end as inferred_type,
+       case when coalesce(filled, 0) = 0 then 0.0::double else 1.0::double end as type_confidence,
+       n as row_count, coalesce(filled, 0) as non_null_count, n - coalesce(filled, 0) as null_count,
+       case when n = 0 then 0.0::double else coalesce(filled, 0) / cast(n as double) end as fill_rate,
+       coalesce(number_count, 0) as number_count, number_minimum, number_maximum, number_mean, number_deviation,
+       coalesce(text_count, 0) as text_count, minimum_length, maximum_length, average_length, coalesce(blank_count, 0) as blank_count,
+       coalesce(whitespace_only_count, 0) as whitespace_only_count, coalesce(moment_count, 0) as moment_count, moment_minimum, moment_maximum,
+       coalesce(detected_patterns, '') as detected_patterns, coalesce(distinct_values, 0) as distinct_values
+from (values {kinds}) as kinds(table_name, column_name, source_type, logical)
+join ({rows}) as sizes on sizes.t = table_name
+left join (
+  select t, c, count(v) as filled, count(number) as number_count, min(number) as number_minimum, max(number) as number_maximum,
+         round(avg(number), 8) as number_mean, case when count(number) = 1 then 0.0::double else round(stddev_samp(number), 6) end as number_deviation,
+         count(s) as text_count, cast(min(length(s)) as bigint) as minimum_length, cast(max(length(s)) as bigint) as maximum_length,
+         sum(length(s)) / cast(count(s) as double) as average_length,
+         count(*) filter (where s = '') as blank_count, count(*) filter (where s <> '' and trim(s) = '') as whitespace_only_count,
+         count(moment) as moment_count, strftime(min(moment), '%Y-%m-%d %H:%M:%S.%f') as moment_minimum,
+         strftime(max(moment), '%Y-%m-%d %H:%M:%S.%f') as moment_maximum,
+         array_to_string(list_transform(list_reverse_sort(list_filter([{hits}], lambda x: x.h > 0)), lambda x: x.n), ',') as detected_patterns, count(distinct v) as distinct_values
+  from (select t, c, v, case when source_type in ({numeric}) then cast(v as double) end as number, case when source_type = 'string' then v end as s,
+               case when source_type in ('timestamp_ntz', 'date') then cast(v as timestamp) end as moment
+        from ({cells}) join (values {kinds}) as k(table_name, column_name, source_type, logical) on t = table_name and c = column_name
+        where lower(trim(v, ' ' || chr(9) || chr(10) || chr(13))) not in ({NULLS}))
+  group by t, c) as cells on cells.t = table_name and c = column_name"""
+
+
+STATISTICS_SQL = statistics_sql()
+PROFILE_CTE = f"p as materialized ({STATISTICS_SQL})"
 
 
 def _flat(statistics):
