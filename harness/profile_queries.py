@@ -9,6 +9,7 @@ from parlance import fixed_values as fixed
 from parlance.operators import applicability as ap
 from parlance.operators import classify, relationships, runs, signals
 from parlance.operators import profile as prof
+from parlance.operators import sketches as sk
 from parlance.sources.storage import materialize
 from parlance.sources import readers
 
@@ -183,6 +184,71 @@ SAMPLES_SQL = f"""with {VALUES_CTE},
 r as (select *, row_number() over (partition by table_name, column_name order by value_hash) as position from v)
 select table_name, column_name, position, value_hash as sample_hash from r where position <= 10"""
 
+SKETCHED_MANY = 300
+
+
+def sketched(spark, folder):
+    """Each table without its vectors, with its stored sketches."""
+    for name, df in frames(spark, folder).items():
+        plain = df.drop("embedding")
+        yield name, plain, materialize(sk.column_sketches(plain, name), "sketches")
+
+
+def sketched_distinct_counts(spark, folder):
+    """Distinct values, exact up to a bound and estimated beyond; whether estimates are within 3 % of the exact count."""
+    found = runs.union_results([sk.distinct_counts(df, name, made, SKETCHED_MANY) for name, df, made in sketched(spark, folder)])
+    exact = prof.distinct_counts(value_counts(spark, folder)).select("table_name", "column_name", F.col("distinct_count").alias("true_count"))
+    is_close = F.abs(F.col("distinct_count") - F.col("true_count")) <= 0.03 * F.col("true_count")
+    return found.join(exact, ["table_name", "column_name"]).select(
+        "table_name", "column_name", F.when(F.col("distinct_count_mode") == "exact", F.col("distinct_count")).alias("exact_count"),
+        "distinct_count_mode", "distinct_size", is_close.alias("is_close"))
+
+
+SKETCHED_DISTINCT_SQL = f"""with {PROFILE_CTE}
+select table_name, column_name, case when distinct_values <= {SKETCHED_MANY} then distinct_values end as exact_count,
+       case when distinct_values <= {SKETCHED_MANY} then 'exact' else 'estimate' end as distinct_count_mode,
+       case when distinct_values <= {SKETCHED_MANY} then 'few' else 'many' end as distinct_size, true as is_close
+from p where non_null_count > 0 and column_name <> 'embedding'"""
+
+
+def sketched_top_values(spark, folder):
+    """Top values counted among proposed ones, and in full only where the sketch cannot exclude others."""
+    parts = []
+    for name, df, made in sketched(spark, folder):
+        counts, _ = sk.frequent_value_counts(df, name, made)
+        parts.append(prof.top_values(counts, prof.column_statistics(df, name)))
+    return runs.union_results(parts)
+
+
+def sketched_samples(spark, folder):
+    return runs.union_results([
+        prof.hashed_samples(sk.sampled_value_counts(df, name, made)) for name, df, made in sketched(spark, folder)])
+
+
+def merged_sketch_quantiles(spark, folder):
+    """Quantiles from sketches of two halves of each table, merged: whether their ranks are within 2 % of those asked for."""
+    parts = []
+    for name in ALL_QUANTILE_TABLES:
+        df = tb.load(spark, folder, name).drop("embedding")
+        half = F.pmod(F.xxhash64(df.columns[0]), F.lit(2))
+        sketches = sk.column_sketches(df.where(half == 0), name).union(sk.column_sketches(df.where(half == 1), name))
+        asked = sk.quantile_estimates(sk.merge_sketches(materialize(sketches, "sketches"))).collect()
+        ranks = [F.struct(
+            F.lit(row["column_name"]).alias("column_name"), F.lit(row["probability"]).alias("probability"),
+            (F.avg((F.col(row["column_name"]) < row["quantile"]).cast("int")) - row["probability"]).alias("below"),
+            (F.avg((F.col(row["column_name"]) <= row["quantile"]).cast("int")) - row["probability"]).alias("reached"),
+        ) for row in asked]
+        parts.append(df.agg(F.array(*ranks).alias("ranks")).select(F.lit(name).alias("table_name"), F.inline("ranks")))
+    is_close = (F.col("below") <= 0.02) & (F.col("reached") >= -0.02)
+    return runs.union_results(parts).select("table_name", "column_name", "probability", is_close.alias("is_close"))
+
+
+MERGED_QUANTILES_SQL = " union all ".join(
+    f"select '{t}' as table_name, '{c}' as column_name, unnest([{', '.join(f'{p}::double' for p in fixed.PROFILE_QUANTILES)}]) as probability, true as is_close from (select count({c}) as n from {t}) where n > 0"
+    for t in tb.TABLES for c, k in SCHEMAS[t].items() if k in NUMERIC
+)
+
+
 QUANTILE_TABLES = ("customer", "part", "orders", "lineitem", "events", "documents")
 
 
@@ -605,6 +671,10 @@ QUERIES = {
     "column_quantiles_of_rows": _quantiles(False),
     "all_column_quantiles_of_distinct_values": _quantiles(True, ALL_QUANTILE_TABLES),
     "all_column_quantiles_of_rows": _quantiles(False, ALL_QUANTILE_TABLES),
+    "sketched_distinct_counts": sketched_distinct_counts,
+    "sketched_top_values": sketched_top_values,
+    "sketched_samples": sketched_samples,
+    "merged_sketch_quantiles": merged_sketch_quantiles,
     "text_type_shares": text_type_shares,
     "column_dictionary": column_dictionary,
     "part_dictionary": part_dictionary,
@@ -633,6 +703,10 @@ ORACLES = {
     "column_quantiles_of_rows": QUANTILES_SQL[False],
     "all_column_quantiles_of_distinct_values": ALL_QUANTILES_SQL[True],
     "all_column_quantiles_of_rows": ALL_QUANTILES_SQL[False],
+    "sketched_distinct_counts": SKETCHED_DISTINCT_SQL,
+    "sketched_top_values": TOP_SQL,
+    "sketched_samples": SAMPLES_SQL,
+    "merged_sketch_quantiles": MERGED_QUANTILES_SQL,
     "text_type_shares": TYPE_SHARES_SQL,
     "column_dictionary": DICTIONARY_SQL,
     "part_dictionary": PART_DICTIONARY_SQL,
