@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 from parlance.llm.tables import release_memory
 
 SPACE = "▁"
-# Bounds of what a task keeps: about 50 MB of chunks and 30 MB of pair weights.
-CACHE_CHUNKS = 200_000
-CACHE_PAIRS = 200_000
+# Bounds of what a task keeps of chunks, about 150 MB, and a worker of pair weights, about 60 MB.
+CACHE_CHUNKS = 600_000
+CACHE_PAIRS = 400_000
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE_MODEL = 2
@@ -218,9 +218,8 @@ class PieceCodec(dict):
         return coded
 
     def forget(self) -> None:
-        """Drop what was kept for later texts; the compiled model stays."""
+        """Drop the encoded chunks; the compiled model and the pair weights, which hardly grow from task to task, stay."""
         self.clear()
-        self.machine.weights.clear()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
