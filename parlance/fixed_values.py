@@ -263,3 +263,18 @@ RECOMMENDATIONS = (
     ("rec-privacy-controlled-review", "privacy_detection_observed", "critical", True, "Start a controlled privacy review"),
     ("rec-spelling-quality-review", "spelling_validation_degraded", "medium", False, "Review vocabulary coverage"),
 )
+
+# Semantic types by domain, as results name them, and those that may be neither filtered by nor grouped by.
+SEMANTIC_TYPES = {
+    "conversation.transcript": ("raw_transcript", "clean_transcript", "corrected_transcript", "transcript_summary", "utterance_timeline"),
+    "conversation.speaker": ("agent_identifier", "agent_name", "agent_group", "agent_supervisor", "speaker_tag"),
+    "interaction.identifier": ("interaction_id", "call_id", "workflow_id", "batch_id", "source_id"),
+    "party.customer": ("customer_identifier", "membership_number", "customer_state"),
+    "interaction.time": ("interaction_date", "interaction_timestamp", "ingestion_timestamp", "source_timestamp", "update_timestamp"),
+    "interaction.duration": ("media_duration", "speech_duration", "non_speech_duration", "cross_talk_duration", "segment_count", "transcript_length"),
+    "conversation.topic": ("topic_id", "topic_name", "topic_description", "demand_prediction"),
+    "conversation.sentiment": ("sentiment_score", "sentiment_minimum", "sentiment_maximum", "sentiment_transition", "sentiment_interval"),
+    "product": ("product_code", "product_description"),
+    "platform.lineage": ("input_file", "lineage", "access_control", "lifecycle_event", "model_metadata"),
+}
+FORBIDDEN_SEMANTIC_TYPES = ("transcript", "free_text", "customer_identifier", "interaction_identifier", "pii", "secret")

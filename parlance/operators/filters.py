@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance import fixed_values as fixed
-from parlance.functions.text import quoted
+from parlance.operators.columns import require_allowed, typed
 
 ORDERED = {
     "greater_than": lambda column, value: column > value,
@@ -60,7 +60,8 @@ def _predicate(df: DataFrame, item: Filter) -> Column:
         raise ValueError(f"unknown filter operator {item.operator!r}")
     if len(item.values) > fixed.MAXIMUM_FILTER_VALUES:
         raise ValueError("too many values in one filter")
-    column, data_type = quoted(item.column), df.schema[item.column].dataType
+    require_allowed(df, [item.column])
+    column, data_type = typed(df, item.column)
     unusable = F.isnan(column) | (F.abs(column) == F.lit(float("inf"))) if isinstance(
         data_type, (T.DoubleType, T.FloatType)) else None
     if unusable is not None:

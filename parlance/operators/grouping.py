@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from parlance import fixed_values as fixed
 from parlance.functions import dates
 from parlance.functions import text as tx
-from parlance.functions.text import quoted
+from parlance.operators.columns import require_allowed, typed
 
 MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 IN_GROUP = "in_group"
@@ -88,10 +88,11 @@ def group_keys(df: DataFrame, grouping: Grouping) -> DataFrame:
     Rows that a policy excludes keep ``in_group`` false: they still count in the
     overall result but in no group.
     """
+    require_allowed(df, [grouping.time_column, *grouping.dimensions.values()])
     derived: dict[str, Column] = {}
     fits = F.lit(bool(grouping.keys))
     if PERIOD in grouping.keys:
-        moment = dates.wall_clock(quoted(grouping.time_column), df.schema[grouping.time_column].dataType, grouping.zone)
+        moment = dates.wall_clock(*typed(df, grouping.time_column, grouping.zone), grouping.zone)
         period = dates.bucket(moment, grouping.grain)
         if grouping.invalid_time == "unknown":
             period = F.coalesce(period, F.lit(grouping.unknown_time))
@@ -101,7 +102,7 @@ def group_keys(df: DataFrame, grouping: Grouping) -> DataFrame:
             period = F.coalesce(period, F.raise_error(F.lit("a timestamp could not be parsed")).cast("string"))
         derived[PERIOD] = period
     for name, source in grouping.dimensions.items():
-        value = dimension_value(quoted(source), df.schema[source].dataType)
+        value = dimension_value(*typed(df, source, grouping.zone))
         if grouping.null_dimension == "include":
             value = F.coalesce(value, F.lit(grouping.unknown_value))
         elif grouping.null_dimension == "exclude":

@@ -76,7 +76,13 @@ def root_cause_candidates(patterns: DataFrame, limit: int = fixed.ROOT_CAUSES_KE
     )
 
 
-def _conditions() -> Column:
+# A condition: its name, rule, metric, outcomes, impact dimensions, classification and whether it needs review.
+Conditions = Sequence[tuple[str, str, str, Sequence[str], Sequence[str], str, bool]]
+# A recommendation: its name, condition, priority, whether it needs review, and title.
+Recommendations = Sequence[tuple[str, str, str, bool, str]]
+
+
+def _conditions(conditions: Conditions) -> Column:
     return F.array(
         *[
             F.struct(
@@ -85,15 +91,15 @@ def _conditions() -> Column:
                 F.array(*[F.lit(d) for d in sorted(dimensions)]).alias("dimensions"),
                 F.lit(kind).alias("classification"), F.lit(review).alias("review"),
             )
-            for name, rule, metric, outcomes, dimensions, kind, review in fixed.IMPACT_CONDITIONS
+            for name, rule, metric, outcomes, dimensions, kind, review in conditions
         ]
     )
 
 
-def matched_conditions(scores: DataFrame) -> DataFrame:
+def matched_conditions(scores: DataFrame, conditions: Conditions = fixed.IMPACT_CONDITIONS) -> DataFrame:
     """Metric outcomes with the impact conditions they meet."""
     met = F.filter(
-        _conditions(),
+        _conditions(conditions),
         lambda item: (item["rule_id"] == F.col("rule_id"))
         & (item["metric_name"] == F.col("metric_name"))
         & F.array_contains(item["outcomes"], F.col("outcome")),
@@ -106,9 +112,9 @@ def _fact() -> list[Column]:
     return [F.col("rule_id"), F.col("metric_name"), F.col("time_period"), F.to_json("dims")]
 
 
-def impact_hypotheses(scores: DataFrame) -> DataFrame:
+def impact_hypotheses(scores: DataFrame, conditions: Conditions = fixed.IMPACT_CONDITIONS) -> DataFrame:
     """One row per met condition and impact dimension."""
-    each = matched_conditions(scores).withColumn("impact_dimension", F.explode("dimensions"))
+    each = matched_conditions(scores, conditions).withColumn("impact_dimension", F.explode("dimensions"))
     return each.select(
         hashing.stable_id("impact-", 24, F.col("condition_id"), F.col("impact_dimension"), *_fact()).alias("hypothesis_id"),
         "condition_id", "impact_dimension", "classification", "rule_id", "metric_name", "is_overall", "time_period", "dims", "outcome",
@@ -116,7 +122,9 @@ def impact_hypotheses(scores: DataFrame) -> DataFrame:
     )
 
 
-def recommendations(scores: DataFrame) -> DataFrame:
+def recommendations(
+    scores: DataFrame, conditions: Conditions = fixed.IMPACT_CONDITIONS, listed: Recommendations = fixed.RECOMMENDATIONS
+) -> DataFrame:
     """The catalogued recommendation of every met condition."""
     catalogue = F.array(
         *[
@@ -124,11 +132,11 @@ def recommendations(scores: DataFrame) -> DataFrame:
                 F.lit(name).alias("catalogue_id"), F.lit(condition).alias("condition_id"), F.lit(priority).alias("priority"),
                 F.lit(review).alias("review"), F.lit(title).alias("title"),
             )
-            for name, condition, priority, review, title in fixed.RECOMMENDATIONS
+            for name, condition, priority, review, title in listed
         ]
     )
     matching = F.filter(catalogue, lambda item: item["condition_id"] == F.col("condition_id"))
-    met = matched_conditions(scores).drop("review").withColumn("entry", F.explode(matching))
+    met = matched_conditions(scores, conditions).drop("review").withColumn("entry", F.explode(matching))
     return met.select(
         hashing.stable_id("rec-", 24, F.col("condition_id"), *_fact()).alias("recommendation_id"),
         "entry.catalogue_id", "condition_id", "rule_id", "metric_name", "is_overall", "time_period", "dims", "entry.title", "entry.priority",

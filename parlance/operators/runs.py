@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from parlance import fixed_values as fixed
@@ -14,16 +14,36 @@ COMPLETED, WITH_WARNINGS, FAILED = "completed", "completed_with_warnings", "fail
 SKIPPED, PENDING, PARTIAL = "skipped", "implementation_pending", "partial"
 
 
-def run_summary(rows: DataFrame, filtered: DataFrame, metrics: DataFrame, statuses: DataFrame, evidence: DataFrame) -> DataFrame:
+class RowCount:
+    """Counts the rows of a frame while another job reads them."""
+
+    def __init__(self) -> None:
+        self._observation = Observation()
+
+    def of(self, df: DataFrame) -> DataFrame:
+        """The same rows; their number is known once a job has read them."""
+        return df.observe(self._observation, F.count(F.lit(1)).alias("rows"))
+
+    def value(self) -> int:
+        return self._observation.get["rows"]
+
+
+def run_summary(rows: DataFrame | int, filtered: DataFrame | int, metrics: DataFrame, statuses: DataFrame, evidence: DataFrame) -> DataFrame:
     """Rows read and kept, groups, rules by status, failures observed and retained.
 
-    ``statuses`` has one row per requested rule (rule_id, status).
+    ``statuses`` has one row per requested rule (rule_id, status). Rows may be given as numbers, such as a `RowCount` has taken.
     """
     groups = metrics.where(~F.col("is_overall")).select("time_period", F.to_json("dims").alias("dims")).distinct()
     status = F.col("status")
+
+    def counted(source: DataFrame | int, name: str) -> DataFrame:
+        if isinstance(source, int):
+            return metrics.sparkSession.range(1).select(F.lit(source).cast("bigint").alias(name))
+        return source.agg(F.count(F.lit(1)).alias(name))
+
     parts = [
-        rows.agg(F.count(F.lit(1)).alias("rows_read")),
-        filtered.agg(F.count(F.lit(1)).alias("rows_after_filters")),
+        counted(rows, "rows_read"),
+        counted(filtered, "rows_after_filters"),
         groups.agg(F.count(F.lit(1)).alias("groups_created")),
         statuses.agg(
             F.count(F.lit(1)).alias("rules_requested"),
@@ -55,14 +75,22 @@ def run_status(statuses: DataFrame, warnings: int = 0) -> DataFrame:
     )
 
 
-def rule_statuses(metrics: DataFrame, requested: Sequence[str], failing: Sequence[str] = ()) -> DataFrame:
-    """Completed for every requested rule that produced metrics, failed for those that could not run, skipped otherwise."""
+def rule_statuses(
+    metrics: DataFrame, requested: Sequence[str], failing: Sequence[str] = (), errors: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Completed for every requested rule that produced metrics, failed for those that could not run, skipped otherwise.
+
+    With ``errors``, the conditions under which rules failed, there is a column for them.
+    """
     asked = metrics.sparkSession.createDataFrame([(name,) for name in requested], "rule_id string")
     produced = metrics.select("rule_id").distinct().withColumn("ran", F.lit(True))
-    return asked.join(produced, "rule_id", "left").select(
-        "rule_id", F.when(F.col("ran"), COMPLETED).when(F.col("rule_id").isin(*failing), FAILED)
-        .otherwise(SKIPPED).alias("status")
-    )
+    status = F.when(F.col("ran"), COMPLETED).when(F.col("rule_id").isin(*failing), FAILED).otherwise(SKIPPED).alias("status")
+    columns = ["rule_id", status]
+    if errors is not None:
+        pairs = [F.lit(part) for pair in errors.items() for part in pair]
+        known = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+        columns.append(F.try_element_at(known, F.col("rule_id")).alias("error"))
+    return asked.join(produced, "rule_id", "left").select(*columns)
 
 
 def check_summary(metrics: DataFrame) -> DataFrame:

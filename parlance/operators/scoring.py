@@ -7,7 +7,7 @@ short list and travels inside the expressions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +36,11 @@ def metric_availability(metrics: DataFrame, rules: Sequence[str] | None = None)
     )
 
 
-def _catalogue() -> Column:
+# A catalogue entry: rule, metric, weight, formula, bounds and scope.
+Catalogue = Sequence[tuple[str, str, float, str, Sequence[float], str]]
+
+
+def _catalogue(catalogue: Catalogue) -> Column:
     return F.array(
         *[
             F.struct(
@@ -44,12 +48,12 @@ def _catalogue() -> Column:
                 F.lit(formula).alias("formula"), F.array(*[F.lit(float(b)) for b in bounds]).alias("bounds"),
                 F.lit(scope).alias("scope"),
             )
-            for rule, metric, weight, formula, bounds, scope in fixed.SCORE_CATALOGUE
+            for rule, metric, weight, formula, bounds, scope in catalogue
         ]
     )
 
 
-def primary_metrics(metrics: DataFrame) -> DataFrame:
+def primary_metrics(metrics: DataFrame, catalogue: Catalogue = fixed.SCORE_CATALOGUE) -> DataFrame:
     """The catalogued metric of each rule, from one population only.
 
     Overall is used when it has a value, otherwise the groups, never both;
@@ -57,12 +61,12 @@ def primary_metrics(metrics: DataFrame) -> DataFrame:
     """
     entry = F.element_at(
         F.filter(
-            _catalogue(),
+            _catalogue(catalogue),
             lambda item: (item["rule_id"] == F.col("rule_id")) & (item["metric_name"] == F.col("metric_name")),
         ),
         1,
     )
-    known = [(rule, metric) for rule, metric, *_ in fixed.SCORE_CATALOGUE]
+    known = [(rule, metric) for rule, metric, *_ in catalogue]
     listed = F.lit(False)
     for rule, metric in known:
         listed = listed | ((F.col("rule_id") == rule) & (F.col("metric_name") == metric))
@@ -154,9 +158,11 @@ def group_scores(scores: DataFrame) -> DataFrame:
     )
 
 
-def aggregate_score(rules: DataFrame, minimum_coverage: float = fixed.MINIMUM_WEIGHT_COVERAGE) -> DataFrame:
+def aggregate_score(
+    rules: DataFrame, minimum_coverage: float = fixed.MINIMUM_WEIGHT_COVERAGE, catalogue: Catalogue = fixed.SCORE_CATALOGUE
+) -> DataFrame:
     """One score over the rules that have one, null when too little weight is covered."""
-    total = sum(weight for _, _, weight, *_ in fixed.SCORE_CATALOGUE)
+    total = sum(weight for _, _, weight, *_ in catalogue)
     if abs(total - 1.0) > 1e-6:
         raise ValueError("rule weights must sum to one")
     counted = (F.col("availability") == AVAILABLE) & F.col("score").isNotNull()
@@ -176,10 +182,10 @@ def aggregate_score(rules: DataFrame, minimum_coverage: float = fixed.MINIMUM_WE
     )
 
 
-def unscored_rules(rules: DataFrame) -> DataFrame:
+def unscored_rules(rules: DataFrame, catalogue: Catalogue = fixed.SCORE_CATALOGUE) -> DataFrame:
     """Catalogued rules that lack an available score."""
     scored = rules.where((F.col("availability") == AVAILABLE) & F.col("score").isNotNull()).select("rule_id")
-    catalogued = rules.sparkSession.createDataFrame([(rule,) for rule, *_ in fixed.SCORE_CATALOGUE], "rule_id string")
+    catalogued = rules.sparkSession.createDataFrame([(rule,) for rule, *_ in catalogue], "rule_id string")
     return catalogued.join(scored, "rule_id", "left_anti")
 
 
@@ -190,6 +196,7 @@ def assessment_confidence(
     provenance_matches: bool,
     external_context_required: bool | None = None,
     verified_citations: int = 0,
+    weights: Mapping[str, float] = fixed.CONFIDENCE_WEIGHTS,
 ) -> DataFrame:
     """How complete the assessment is: a weighted mean of its coverage factors.
 
@@ -197,7 +204,6 @@ def assessment_confidence(
     summary. A factor that does not apply is left out, and the result is null
     when the remaining weight is too small.
     """
-    weights = fixed.CONFIDENCE_WEIGHTS
     done = completed.select("rule_id").distinct().withColumn("is_complete", F.lit(True))
     judged = rules.join(done, "rule_id", "left")
     counted = (F.col("availability") == AVAILABLE) & F.col("score").isNotNull()

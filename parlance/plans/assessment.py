@@ -41,6 +41,11 @@ class Settings:
     # Arguments of rule constructors by rule, such as thresholds, and rules of the caller's own.
     rule_options: Mapping[str, Mapping[str, object]] = field(default_factory=dict)
     own_rules: Sequence[base.Rule] = ()
+    # What scores, confidence, impact and recommendations are looked up in.
+    score_catalogue: scoring.Catalogue = fixed.SCORE_CATALOGUE
+    confidence_weights: Mapping[str, float] = field(default_factory=lambda: fixed.CONFIDENCE_WEIGHTS)
+    impact_conditions: patterns.Conditions = fixed.IMPACT_CONDITIONS
+    recommendations: patterns.Recommendations = fixed.RECOMMENDATIONS
 
 
 def understand(
@@ -107,7 +112,8 @@ def assess(
     marked = rows.withColumns(filled)
     grouped_by = [grouping.time_column, *grouping.dimensions.values(), columns.duration]
     keep = [columns.row_key, *[name for name in grouped_by if name], *filled]
-    features = transcript_features(marked, columns, settings, words, word_count, keep)
+    counter = runs.RowCount()
+    features = transcript_features(counter.of(marked), columns, settings, words, word_count, keep)
     options = {name: dict(chosen) for name, chosen in settings.rule_options.items()}
     rules = [
         fill_rate.fill_rate_from_cells(targets, **options.pop("fill_rate", {})),
@@ -128,9 +134,9 @@ def assess(
     # Groups are limited once, so that evidence and patterns name the groups that metrics have.
     keyed = grp.limit_groups(grp.group_keys(features, grouping), grouping)
     requested = [rule.rule_id for rule in rules]
-    rules, failing_rules = base.separate_failing(keyed, rules, grouping)
-    states = grp.measure(keyed, grouping, base.rule_states(rules), keyed=True, limited=True)
-    tables = [base.metric_table(states, rules, grouping, settings.decimals)]
+    partials, rules, failing_rules = base.measure_apart(keyed, rules, grouping)
+    merges = {name: state.merge for name, state in base.rule_states(rules).items()}
+    tables = [base.metric_table(grp.roll_up(partials, grouping, merges), rules, grouping, settings.decimals)]
     if columns.topic and (not only or topics.RULE_ID in {base.measured_name(name) for name in only}):
         mixed = topics.topic_states(rows, columns.topic, grouping, settings.ontology)
         mixed = topics.TopicTables(materialize(mixed.states, "topic-states"), materialize(mixed.counts, "topic-counts"))
@@ -142,10 +148,10 @@ def assess(
     summary = materialize(evidence.evidence_summary(failing, kept, grouping), "evidence_summary")
     availability = scoring.metric_availability(metrics, requested)
     scored = materialize(
-        scoring.score_metrics(scoring.primary_metrics(metrics), availability, settings.allow_partial), "scores"
+        scoring.score_metrics(scoring.primary_metrics(metrics, settings.score_catalogue), availability, settings.allow_partial), "scores"
     )
     by_rule = scoring.rule_scores(scored)
-    statuses = runs.rule_statuses(metrics, requested, failing_rules)
+    statuses = runs.rule_statuses(metrics, requested, list(failing_rules), failing_rules)
     timed = summary if grp.PERIOD in summary.columns else summary.withColumn(grp.PERIOD, F.lit(None).cast("string"))
     found = patterns.failure_patterns(timed, list(grouping.dimensions))
     facts, dropped = patterns.fact_table(metrics, timed, list(grouping.dimensions))
@@ -157,15 +163,16 @@ def assess(
         "metric_scores": scored,
         "rule_scores": by_rule,
         "group_scores": scoring.group_scores(scored),
-        "aggregate_score": scoring.aggregate_score(by_rule),
-        "confidence": scoring.assessment_confidence(by_rule, statuses.where("status = 'completed'"), summary, provenance_matches),
+        "aggregate_score": scoring.aggregate_score(by_rule, catalogue=settings.score_catalogue),
+        "confidence": scoring.assessment_confidence(
+            by_rule, statuses.where("status = 'completed'"), summary, provenance_matches, weights=settings.confidence_weights),
         "patterns": found,
         "root_causes": patterns.root_cause_candidates(found),
-        "impact_hypotheses": patterns.impact_hypotheses(scored),
-        "recommendations": patterns.recommendations(scored),
+        "impact_hypotheses": patterns.impact_hypotheses(scored, settings.impact_conditions),
+        "recommendations": patterns.recommendations(scored, settings.impact_conditions, settings.recommendations),
         "facts": facts,
         "dropped_facts": dropped,
-        "run_summary": runs.run_summary(df, rows, metrics, statuses, summary),
+        "run_summary": runs.run_summary(df if filters else counter.value(), counter.value(), metrics, statuses, summary),
         "run_status": runs.run_status(statuses),
         "check_summary": runs.check_summary(metrics),
     }
