@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from harness import tables as tb
 from parlance.functions import dates
 from parlance.functions import text as tx
+from parlance.operators import columns
 from parlance.operators import grouping as grp
 from parlance.operators.filters import Filter, apply_filters
 from parlance.operators.grouping import Grouping
@@ -20,6 +23,24 @@ def cents(column: str):
     return F.round(F.col(column) * 100).cast("bigint")
 
 
+def declared_date_as_text(spark, folder):
+    """Order dates held as text, some of them no dates, filtered and grouped by what they are declared to be."""
+    text = "case when o_orderkey % 11 = 0 then 'soon' else cast(o_orderdate as string) end"
+    orders = tb.load(spark, folder, "orders").selectExpr("o_orderkey", f"{text} as placed")
+    noted = columns.annotated(orders, "orders", declared={"PLACED": "Date"})
+    grouping = Grouping("placed", "quarter", {"day": "placed"})
+    kept = apply_filters(noted, [Filter("placed", "greater_than_or_equal", (datetime.date(1995, 3, 1),)), Filter("placed", "less_than", (datetime.date(1996, 3, 1),))])
+    measured = grp.measure(kept, grouping, grp.counters(F.lit(True), None))
+    return measured.select("is_overall", "time_period", "day", "row_count")
+
+
+DECLARED_DATE_SQL = """
+select grouping(day) = 1 as is_overall, year(day) || '-Q' || quarter(day) as time_period, cast(day as varchar) as day, count(*) as row_count
+from (select cast(o_orderdate as date) as day from orders where o_orderkey % 11 <> 0 and cast(o_orderdate as date) >= '1995-03-01' and cast(o_orderdate as date) < '1996-03-01')
+group by grouping sets ((), (day))
+"""
+
+
 # ---- completeness -------------------------------------------------------------
 
 
@@ -329,9 +350,11 @@ QUERIES = {
     "category_frequencies": category_frequencies,
     "merged_partial_states": merged_partials,
     "filters_combined": filters_combined,
+    "declared_date_as_text": declared_date_as_text,
     **{name: _filtered(item) for name, (item, _) in FILTERS.items()},
 }
 ORACLES = {
+    "declared_date_as_text": DECLARED_DATE_SQL,
     "fill_rate_by_month": FILL_RATE_SQL,
     "fill_rate_columns": FILL_COLUMNS_SQL,
     "time_bucket_counts": _bucket_sql("orders", "o_orderdate") + " union all " + _bucket_sql("events", "ts"),

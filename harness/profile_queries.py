@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from harness import tables as tb
 from parlance import fixed_values as fixed
 from parlance.operators import applicability as ap
+from parlance.operators import columns as co
 from parlance.operators import classify, relationships, runs, signals
 from parlance.operators import profile as prof
 from parlance.operators import sketches as sk
+from parlance.operators.filters import Filter, apply_filters
+from parlance.operators.grouping import Grouping, group_keys
 from parlance.sources.storage import materialize
 from parlance.sources import readers
 
@@ -499,6 +502,27 @@ g as (select p.table_name, p.column_name,
 select *, not sensitive and not free_text as allowed from g"""
 
 
+def refused_columns(spark, folder):
+    """For every column whether it is refused as a filter and as a dimension, on frames that carry the guard's notes."""
+    guard = materialize(grouping_guard(spark, folder), "guard")
+    found = []
+    for name, df in frames(spark, folder).items():
+        noted = co.annotated(df, name, guard)
+        for column in noted.columns:
+            refused = []
+            for use in (lambda: apply_filters(noted, [Filter(column, "is_not_null")]), lambda: group_keys(noted, Grouping(dimensions={"d": column}))):
+                try:
+                    use()
+                    refused.append(False)
+                except co.UnsafeColumnError:
+                    refused.append(True)
+            found.append((name, column, *refused))
+    return spark.createDataFrame(found, "table_name string, column_name string, refused_filter boolean, refused_dimension boolean")
+
+
+REFUSED_SQL = f"select table_name, column_name, not allowed as refused_filter, not allowed as refused_dimension from ({GUARD_SQL})"
+
+
 def retyped_columns(spark, folder):
     return prof.retype_profile(profiles(spark, folder), dictionary(spark, folder), domains(spark, folder)).select(
         "table_name", "column_name", "inferred_type", "type_confidence"
@@ -580,6 +604,28 @@ obs as (select 'fill_rate' as check_name, 'fill_rate' as metric_name, p.table_na
 OBSERVATIONS_SQL = f"with {OBSERVATIONS_CTE} select * from obs"
 
 
+def emptiness_observations(profiles_of, domains_of):
+    """An extractor of one's own: the share of blank texts in every text column."""
+    share = F.try_divide(F.col("text.blank_count").cast("double"), F.col("row_count").cast("double"))
+    known = profiles_of.where("source_type = 'string'").join(domains_of.select("table_name", "column_name", "domain"), ["table_name", "column_name"])
+    return known.select(
+        "table_name", "column_name", "domain", F.lit("blank_share").alias("check_name"), F.lit("blank_share").alias("metric_name"), share.alias("value"),
+        F.col("row_count").alias("sample_size"), F.lit(1.0).alias("confidence"), F.lit(True).alias("exact"), F.lit(None).cast("bigint").alias("distinct_topics"))
+
+
+def observations_of_two_extractors(spark, folder):
+    """Observations by check, from the built-in extractor and one of the caller's own."""
+    observed = signals.observe(profiles(spark, folder), domains(spark, folder), (signals.profile_observations, emptiness_observations))
+    return observed.groupBy("table_name", "check_name", "metric_name").agg(
+        F.count(F.lit(1)).alias("observations"), F.sum("sample_size").alias("sample_total"), F.round(F.sum("value"), 8).alias("value_total"))
+
+
+TWO_EXTRACTORS_SQL = f"""with {OBSERVATIONS_CTE},
+both_of as (select table_name, check_name, metric_name, value, sample_size from obs
+            union all select table_name, 'blank_share', 'blank_share', case when row_count > 0 then blank_count / cast(row_count as double) end, row_count from p where source_type = 'string')
+select table_name, check_name, metric_name, count(*) as observations, cast(sum(sample_size) as bigint) as sample_total, round(sum(value), 8) as value_total from both_of group by all"""
+
+
 def detected_signals(spark, folder):
     return signals.detect(profiles(spark, folder), domains(spark, folder), signals.policy_table(spark)).select(
         "signal_id", "policy_id", "table_name", "column_name", "signal_type", "severity", "confidence", "observed_value", "threshold", "message"
@@ -683,6 +729,8 @@ QUERIES = {
     "column_domains": column_domains,
     "grouping_guard": grouping_guard,
     "retyped_columns": retyped_columns,
+    "refused_columns": refused_columns,
+    "observations_of_two_extractors": observations_of_two_extractors,
     "identifier_candidates": identifier_candidates,
     "categorical_dimensions": categorical_dimensions,
     "transcript_duration_pairs": transcript_duration_pairs,
@@ -715,6 +763,8 @@ ORACLES = {
     "column_domains": DOMAINS_SQL,
     "grouping_guard": GUARD_SQL,
     "retyped_columns": RETYPED_SQL,
+    "refused_columns": REFUSED_SQL,
+    "observations_of_two_extractors": TWO_EXTRACTORS_SQL,
     "identifier_candidates": f"with {PROFILE_CTE} {IDENTIFIERS_SQL}",
     "categorical_dimensions": f"with {PROFILE_CTE} {CATEGORICAL_SQL}",
     "transcript_duration_pairs": f"with {RELATIONS_CTE} select * from rel where relationship_type = 'transcript_duration'",

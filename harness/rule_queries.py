@@ -527,6 +527,37 @@ from grouped where rule_id <> 'pii_detection' or eligible_count > 0
 """
 
 
+def failing_rule_beside_six(spark, folder):
+    """Seven rules of which one raises on some row: it is reported with its error, the others with their rows."""
+    broken = base.Rule("numbered_language", F.col("text_present"), F.col("lang").cast("int") > 0, lambda state: [
+        base.Metric("numbered_share", state("passed_count").cast("double"))])
+    longer, shorter = (base.Rule(name, F.col("text_present"), test, lambda state: [
+        base.Metric("share", state("passed_count").cast("double"))]) for name, test in (
+            ("over_hundred_words", F.col("token_count") > 100), ("under_thousand_words", F.col("token_count") < 1000)))
+    rules = [*evidence_rules(), broken, longer, shorter]
+    features = materialize(tq.calls_features(spark, folder).drop("transcript"), "features")
+    partials, running, failing = base.measure_apart(grp.group_keys(features, BY_CALL_MONTH), rules, BY_CALL_MONTH)
+    merges = {name: state.merge for name, state in base.rule_states(running).items()}
+    table = base.metric_table(grp.roll_up(partials, BY_CALL_MONTH, merges), running, BY_CALL_MONTH)
+    statuses = runs.rule_statuses(table, [rule.rule_id for rule in rules], list(failing), failing)
+    counts = table.where("is_overall").groupBy("rule_id").agg(F.max("eligible_count").alias("eligible_count"), F.max("passed_count").alias("passed_count"))
+    return statuses.join(counts, "rule_id", "left")
+
+
+FAILING_BESIDE_SQL = f"""
+with {FEATURES_SQL}, {SPEECH_RATED_SQL},
+o as (
+  select rule_id, eligible_count, passed_count from (select *, 'agent_speaker_tag_validation' as rule_id from ({speaker_group_sql('feat')})) where is_overall
+  union all select rule_id, eligible_count, passed_count from (select *, 'speech_per_duration_rate' as rule_id from ({SPEECH_GROUP_SQL})) where is_overall
+  union all select rule_id, eligible_count, passed_count from (select *, 'pii_detection' as rule_id from ({PII_GROUP_SQL})) where is_overall
+  union all select rule_id, eligible_count, passed_count from (select *, 'mistranslated_rate' as rule_id from ({LEX_GROUP_SQL})) where is_overall
+  union all select 'over_hundred_words', count_if(text_present), count_if(text_present and token_count > 100) from feat
+  union all select 'under_thousand_words', count_if(text_present), count_if(text_present and token_count < 1000) from feat)
+select rule_id, 'completed' as status, cast(null as varchar) as error, cast(eligible_count as bigint) as eligible_count, cast(passed_count as bigint) as passed_count from o
+union all select 'numbered_language', 'failed', 'CAST_INVALID_INPUT', null, null
+"""
+
+
 # ---- unions and incremental results -----------------------------------------------------------
 
 
@@ -623,6 +654,7 @@ QUERIES = {
     "evidence_totals": evidence_totals,
     "review_samples": review_samples,
     "incremental_fill_rate": incremental_fill_rate,
+    "failing_rule_beside_six": failing_rule_beside_six,
     "incremental_topics": incremental_topics,
     "incremental_unknown_words": incremental_unknown_words,
     "incremental_evidence": incremental_evidence,
@@ -647,6 +679,7 @@ ORACLES = {
     "evidence_totals": EVIDENCE_TOTALS_SQL,
     "review_samples": REVIEW_SQL,
     "incremental_fill_rate": gq.FILL_RATE_SQL,
+    "failing_rule_beside_six": FAILING_BESIDE_SQL,
     "incremental_topics": TOPIC_SQL,
     "incremental_unknown_words": SPELL_SQL,
     "incremental_evidence": DEFAULT_EVIDENCE_SQL,

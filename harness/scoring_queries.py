@@ -194,6 +194,27 @@ s as (select case when coverage_ratio >= 0.7 then round(weighted / coverage_rati
 select *, {band('score')} as band, case when score is null then 'not_evaluated' else 'available' end as availability from s"""
 
 
+# Two rules of the caller's own choice, with weights and bounds of their own.
+OWN_CATALOGUE = (
+    ("fill_rate", "fill_rate", 0.25, "higher_is_better_linear", (0.2, 1.0), "overall_preferred"),
+    ("pii_detection", "pii_record_rate", 0.75, "lower_is_better_linear", (0.0, 0.9), "overall_preferred"),
+)
+
+
+def reweighted_score(spark, folder):
+    """The aggregate under a score catalogue of the caller's own."""
+    table = metrics(spark, folder)
+    scored = scoring.score_metrics(scoring.primary_metrics(table, OWN_CATALOGUE), scoring.metric_availability(table), allow_partial=True)
+    made = scoring.aggregate_score(scoring.rule_scores(scored), minimum_coverage=0.5, catalogue=OWN_CATALOGUE)
+    return made.withColumns({"score": F.round("score", 5), "coverage_ratio": F.round("coverage_ratio", 6)})
+
+
+def reweighted_sql() -> str:
+    values = ", ".join(f"('{rule}', {weight}::double, '{formula}', {[float(b) for b in bounds]}::double[])" for rule, _, weight, formula, bounds, _ in OWN_CATALOGUE)
+    shipped = ", ".join(f"('{rule}', {weight}::double, '{formula}', {[float(b) for b in bounds]}::double[])" for rule, _, weight, formula, bounds, _ in fixed.SCORE_CATALOGUE)
+    return aggregate_sql("available").replace(shipped, values).replace(">= 0.7 then", ">= 0.5 then").replace("0.7::double as minimum", "0.5::double as minimum")
+
+
 def unscored_rules(spark, folder):
     return scoring.unscored_rules(scoring.rule_scores(scores(spark, folder, allow_partial=False)))
 
@@ -394,6 +415,7 @@ QUERIES = {
     "group_scores": group_scores,
     "aggregate_score": _aggregate(True),
     "aggregate_score_below_coverage": _aggregate(False),
+    "reweighted_score": reweighted_score,
     "unscored_rules": unscored_rules,
     "assessment_confidence": assessment_confidence,
     "score_ramps": score_ramps,
@@ -419,6 +441,7 @@ ORACLES = {
     "group_scores": GROUP_SCORES_SQL,
     "aggregate_score": aggregate_sql("available"),
     "aggregate_score_below_coverage": aggregate_sql("partial"),
+    "reweighted_score": reweighted_sql(),
     "unscored_rules": UNSCORED_SQL,
     "assessment_confidence": CONFIDENCE_SQL,
     "score_ramps": RAMPS_SQL,
