@@ -252,14 +252,11 @@ MERGED_QUANTILES_SQL = " union all ".join(
 )
 
 
-QUANTILE_TABLES = ("customer", "part", "orders", "lineitem", "events", "documents")
-
-
 # Every stored table with a numeric column.
 ALL_QUANTILE_TABLES = tuple(t for t in tb.TABLES if any(k in NUMERIC for k in SCHEMAS[t].values()))
 
 
-def _quantiles(distinct, tables=QUANTILE_TABLES):
+def _quantiles(distinct, tables=ALL_QUANTILE_TABLES):
     def query(spark, folder):
         parts = [
             prof.quantiles(tb.load(spark, folder, name), name, distinct=distinct, exact=True) for name in tables
@@ -269,7 +266,7 @@ def _quantiles(distinct, tables=QUANTILE_TABLES):
     return query
 
 
-def _quantiles_sql(function: str, distinct: str, tables: tuple[str, ...] = QUANTILE_TABLES) -> str:
+def _quantiles_sql(function: str, distinct: str, tables: tuple[str, ...] = ALL_QUANTILE_TABLES) -> str:
     return " union all ".join(
         f"""select '{t}' as table_name, '{c}' as column_name, unnest([{', '.join(f'{p}::double' for p in fixed.PROFILE_QUANTILES)}]) as probability,
                    unnest({function}(x, [{', '.join(map(str, fixed.PROFILE_QUANTILES))}])) as quantile

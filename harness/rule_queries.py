@@ -438,31 +438,24 @@ FAILING_SQL = f"""with {FAILURES_SQL}
 select rule_id, is_overall, time_period, lang, category, count(*) as failures, cast(sum(call_id) as bigint) as id_sum from scoped group by all"""
 
 
-def evidence_records(spark, folder, in_total=60):
-    kept = ev.collect_evidence(call_failures(spark, folder), BY_CALL_MONTH, "call_id", tb.SOURCE, tb.SALT, in_total=in_total)
-    return kept.drop("failure_type")
-
-
-def default_evidence_records(spark, folder):
+def evidence_records(spark, folder):
     """As many records as evidence keeps unless told otherwise."""
-    return evidence_records(spark, folder, fixed.EVIDENCE_IN_TOTAL)
+    kept = ev.collect_evidence(call_failures(spark, folder), BY_CALL_MONTH, "call_id", tb.SOURCE, tb.SALT)
+    return kept.drop("failure_type")
 
 
 EVIDENCE_CTES_SQL = f"""{FAILURES_SQL},
 marked as (select *, {tq.fingerprint_sql(tb.SOURCE, 'call_id')} as row_fingerprint from scoped),
 first_of as (select *, row_number() over (partition by rule_id, is_overall, time_period, lang order by row_fingerprint) as p from marked),
-kept as (select * from first_of where p <= 5 order by p, rule_id, is_overall, time_period nulls first, lang nulls first, row_fingerprint limit 60)
+kept as (select * from first_of where p <= 5 order by p, rule_id, is_overall, time_period nulls first, lang nulls first, row_fingerprint limit {fixed.EVIDENCE_IN_TOTAL})
 """
 EVIDENCE_SQL = f"""with {EVIDENCE_CTES_SQL}
 select 'ev-' || substr(sha256(rule_id || '|' || is_overall || '|' || coalesce(time_period, '') || '|' || coalesce(lang, '') || '|' || row_fingerprint || '|' || category), 1, 24) as evidence_id,
        rule_id, is_overall, time_period, lang, row_fingerprint, category from kept"""
 
-DEFAULT_EVIDENCE_SQL = EVIDENCE_SQL.replace(" limit 60)", f" limit {fixed.EVIDENCE_IN_TOTAL})")
-
-
 def evidence_totals(spark, folder):
     failing = materialize(call_failures(spark, folder), "failures")
-    kept = ev.collect_evidence(failing, BY_CALL_MONTH, "call_id", tb.SOURCE, tb.SALT, in_total=60)
+    kept = ev.collect_evidence(failing, BY_CALL_MONTH, "call_id", tb.SOURCE, tb.SALT)
     return ev.evidence_summary(failing, kept, BY_CALL_MONTH)
 
 
@@ -650,7 +643,7 @@ QUERIES = {
     "topic_drift_of_many_categories": topic_drift_of_many_categories,
     "failing_rows": failing_rows,
     "evidence_records": evidence_records,
-    "default_evidence_records": default_evidence_records,
+    "default_evidence_records": evidence_records,
     "evidence_totals": evidence_totals,
     "review_samples": review_samples,
     "incremental_fill_rate": incremental_fill_rate,
@@ -675,12 +668,12 @@ ORACLES = {
     "topic_drift_of_many_categories": MANY_CATEGORIES_SQL,
     "failing_rows": FAILING_SQL,
     "evidence_records": EVIDENCE_SQL,
-    "default_evidence_records": DEFAULT_EVIDENCE_SQL,
+    "default_evidence_records": EVIDENCE_SQL,
     "evidence_totals": EVIDENCE_TOTALS_SQL,
     "review_samples": REVIEW_SQL,
     "incremental_fill_rate": gq.FILL_RATE_SQL,
     "failing_rule_beside_six": FAILING_BESIDE_SQL,
     "incremental_topics": TOPIC_SQL,
     "incremental_unknown_words": SPELL_SQL,
-    "incremental_evidence": DEFAULT_EVIDENCE_SQL,
+    "incremental_evidence": EVIDENCE_SQL,
 }

@@ -49,9 +49,9 @@ def failures(spark, folder):
     return _once(spark, folder, "failures", lambda: rq.call_failures(spark, folder))
 
 
-def evidence(spark, folder, in_total=60):
+def evidence(spark, folder):
     failing = failures(spark, folder)
-    kept = ev.collect_evidence(failing, rq.BY_CALL_MONTH, "call_id", tb.SOURCE, tb.SALT, in_total=in_total)
+    kept = ev.collect_evidence(failing, rq.BY_CALL_MONTH, "call_id", tb.SOURCE, tb.SALT)
     return ev.evidence_summary(failing, kept, rq.BY_CALL_MONTH)
 
 
@@ -331,9 +331,9 @@ select catalogue_id, condition_id, rule_id, is_overall, time_period, dim, title,
 from matched join rec using (condition_id)"""
 
 
-def _facts(spark, folder, limit=50, in_total=60):
-    return patterns.fact_table(
-        scoring.primary_metrics(metrics(spark, folder)), evidence(spark, folder, in_total), DIMS, limit=limit)
+def _facts(spark, folder):
+    """As many facts as are kept unless told otherwise, and how many were left out."""
+    return patterns.fact_table(scoring.primary_metrics(metrics(spark, folder)), evidence(spark, folder), DIMS)
 
 
 def facts(spark, folder):
@@ -344,15 +344,6 @@ def dropped_facts(spark, folder):
     return _facts(spark, folder)[1]
 
 
-def default_facts(spark, folder):
-    """As many facts as are kept unless told otherwise."""
-    return _facts(spark, folder, fixed.FACTS_KEPT, fixed.EVIDENCE_IN_TOTAL)[0].withColumn("value", F.round("value", 6))
-
-
-def default_dropped_facts(spark, folder):
-    return _facts(spark, folder, fixed.FACTS_KEPT, fixed.EVIDENCE_IN_TOTAL)[1]
-
-
 DIMS_JSON = """case when is_overall then '{}' else '{"' || case rule_id when 'fill_rate' then 'event_type' when 'topic_distribution' then 'parity' else 'lang' end || '":"' || dim || '"}' end"""
 FACTS_CTE = f"""{METRICS_CTE} e as ({rq.EVIDENCE_TOTALS_SQL}),
 facts as (select 'fact-' || substr(sha256('metric|' || rule_id || '|' || metric_name || '|' || coalesce(time_period, '') || '|' || {DIMS_JSON}), 1, 24) as fact_id,
@@ -361,7 +352,8 @@ facts as (select 'fact-' || substr(sha256('metric|' || rule_id || '|' || metric_
           select 'fact-' || substr(sha256('evidence|' || rule_id || '|' || {scope_sql(True)}), 1, 24), 'execution_evidence_summary', rule_id, 'observed_failure_count', cast(observed_count as double), time_period from e)
 """
 
-DEFAULT_FACTS_CTE = FACTS_CTE.replace(" limit 60)", f" limit {fixed.EVIDENCE_IN_TOTAL})")
+FACTS_SQL = f"with {FACTS_CTE} select * from facts order by fact_id limit {fixed.FACTS_KEPT}"
+DROPPED_FACTS_SQL = f"with {FACTS_CTE} select greatest(0, count(*) - {fixed.FACTS_KEPT}) as dropped_facts from facts"
 
 # ---- run summaries --------------------------------------------------------------------------------------------
 
@@ -427,8 +419,8 @@ QUERIES = {
     "recommendations": recommendations,
     "fact_table": facts,
     "dropped_facts": dropped_facts,
-    "default_fact_table": default_facts,
-    "default_dropped_facts": default_dropped_facts,
+    "default_fact_table": facts,
+    "default_dropped_facts": dropped_facts,
     "check_summary": check_summary,
     "run_summary": run_summary,
     "run_status": run_status,
@@ -451,10 +443,10 @@ ORACLES = {
     "root_cause_candidates": ROOT_CAUSES_SQL,
     "impact_hypotheses": IMPACT_SQL,
     "recommendations": RECOMMENDATIONS_SQL,
-    "fact_table": f"with {FACTS_CTE} select * from facts order by fact_id limit 50",
-    "dropped_facts": f"with {FACTS_CTE} select greatest(0, count(*) - 50) as dropped_facts from facts",
-    "default_fact_table": f"with {DEFAULT_FACTS_CTE} select * from facts order by fact_id limit {fixed.FACTS_KEPT}",
-    "default_dropped_facts": f"with {DEFAULT_FACTS_CTE} select greatest(0, count(*) - {fixed.FACTS_KEPT}) as dropped_facts from facts",
+    "fact_table": FACTS_SQL,
+    "dropped_facts": DROPPED_FACTS_SQL,
+    "default_fact_table": FACTS_SQL,
+    "default_dropped_facts": DROPPED_FACTS_SQL,
     "check_summary": CHECK_SUMMARY_SQL,
     "run_summary": RUN_SUMMARY_SQL,
     "run_status": RUN_STATUS_SQL,

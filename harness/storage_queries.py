@@ -71,27 +71,21 @@ def ordered_groups(spark, folder):
     return grp.group_order(measured, grouping).select("is_overall", "time_period", "status", "row_count")
 
 
-def leading_groups(spark, folder):
-    """The first of all groups."""
-    return ordered_groups(spark, folder).limit(25)
-
-
-LEADING_SQL = """
+ORDERED_SQL = """
 select grouping(o_orderstatus) = 1 as is_overall, time_period, o_orderstatus as status, count(*) as row_count
 from (select strftime(o_orderdate, '%Y-%m') as time_period, o_orderstatus from orders)
-group by grouping sets ((), (time_period, o_orderstatus)) order by 1 desc, 2 nulls first, 3 nulls first limit 25
+group by grouping sets ((), (time_period, o_orderstatus)) order by 1 desc, 2 nulls first, 3 nulls first
 """
-ORDERED_SQL = LEADING_SQL.replace(" limit 25", "")
 
 QUERIES = {
     "csv_transcripts": csv_transcripts,
     "written_metrics": written_metrics,
-    "leading_groups": leading_groups,
+    "leading_groups": ordered_groups,
     "ordered_groups": ordered_groups,
 }
 ORACLES = {
     "csv_transcripts": CSV_SQL,
     "written_metrics": gq.FILL_RATE_SQL,
-    "leading_groups": LEADING_SQL,
+    "leading_groups": ORDERED_SQL,
     "ordered_groups": ORDERED_SQL,
 }

@@ -1,4 +1,4 @@
-"""Queries over whole results, beside those that show the first rows only; test_oracle compares all of them with their SQL."""
+"""Queries give whole results; test_oracle compares all of them with their SQL."""
 
 import __spark_entry__ as entry
 from harness.profile_queries import ALL_QUANTILE_TABLES, NUMERIC, SCHEMAS
@@ -13,8 +13,8 @@ def run(spark, name):
 
 
 def test_all_groups_in_order(spark):
-    whole, first = run(spark, "ordered_groups").collect(), run(spark, "leading_groups").collect()
-    assert len(whole) > 25 and whole[:25] == first
+    whole, leading = run(spark, "ordered_groups").collect(), run(spark, "leading_groups").collect()
+    assert len(whole) > 25 and whole == leading
     assert sum(row["row_count"] for row in whole if not row["is_overall"]) == whole[0]["row_count"]
 
 
@@ -26,7 +26,6 @@ def test_quantiles_of_every_numeric_column(spark):
 
 
 def test_default_caps(spark):
-    kept, dropped = run(spark, "default_fact_table").count(), run(spark, "default_dropped_facts").first()[0]
-    first, left = run(spark, "fact_table").count(), run(spark, "dropped_facts").first()[0]
-    assert kept == min(fixed.FACTS_KEPT, first + left) > first and kept + dropped == first + left
-    assert 60 < run(spark, "default_evidence_records").count() <= fixed.EVIDENCE_IN_TOTAL
+    kept, dropped = run(spark, "fact_table").count(), run(spark, "dropped_facts").first()[0]
+    assert 50 < kept <= fixed.FACTS_KEPT and (dropped == 0 or kept == fixed.FACTS_KEPT)
+    assert 60 < run(spark, "evidence_records").count() <= fixed.EVIDENCE_IN_TOTAL
