@@ -10,7 +10,7 @@ from harness import tables as tb
 from parlance import fixed_values as fixed
 from parlance.functions import hashing, pii
 from parlance.functions import text as tx
-from parlance.operators import vocabulary
+from parlance.operators import lookups, vocabulary
 from parlance.operators.features import text_features
 from parlance.sources.storage import materialize
 
@@ -271,6 +271,38 @@ def unknown_words_by_salted_join(spark, folder):
     return vocabulary.unknown_word_counts(rows, ["call_id"], "tokens", words, size, broadcast_words=0, salts=8)
 
 
+# Words and pairs of unlike words of the documents, tens of thousands of them, as a look-up table of two categories.
+LOOKUP_PIECES = r"[\pL\pN_]+"
+
+
+def lookup_forms(spark, folder):
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    listed = tb.load(spark, folder, "documents").select(words.alias("w"))
+    pairs = F.filter(F.transform(F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: (i > 0) & (i < F.size("w"))), lambda i: F.concat(
+        F.element_at("w", i), F.when(F.element_at("w", i) != F.element_at("w", i + 1), F.lit(" ")), F.element_at("w", i + 1))), lambda x: x.isNotNull())
+    forms = listed.select(F.explode("w").alias("form")).union(listed.select(F.explode(pairs).alias("form"))).distinct()
+    return forms.select(F.when(F.length("form") % 2 == 0, "even").otherwise("odd").alias("category"), "form")
+
+
+def large_lookup_hits(spark, folder):
+    """Hits of a look-up table with all words and pairs of the documents, in the calls made of these."""
+    forms = materialize(lookup_forms(spark, folder), "forms")
+    return lookups.with_lookup_hits(tb.calls(spark, folder).select("call_id", "transcript"), "transcript", forms)
+
+
+LARGE_LOOKUP_SQL = f"""
+with c as ({tb.CALLS_SQL}),
+d as (select list_filter(regexp_extract_all(lower(text), '{LOOKUP_PIECES}'), lambda x: x <> '') as w from documents),
+forms as (select distinct f from (select unnest(w) as f from d union all
+  select unnest(list_filter(list_transform(range(1, len(w)), lambda i: case when w[i] <> w[i + 1] then w[i] || ' ' || w[i + 1] end), lambda x: x is not null)) from d)),
+p as (select call_id, regexp_extract_all(lower(transcript), '{LOOKUP_PIECES}|[^\\pL\\pN_]+') as p from c),
+g as (select call_id, unnest(list_filter(p, lambda x: regexp_matches(x, '^{LOOKUP_PIECES}'))) as s from p
+      union all select call_id, unnest(list_transform(list_filter(range(1, len(p) - 1), lambda i: p[i + 1] = ' '), lambda i: p[i] || ' ' || p[i + 2])) from p)
+select call_id, count(*) filter (where length(f) % 2 = 0) as lexicon_even, count(*) filter (where length(f) % 2 = 1) as lexicon_odd
+from c left join g using (call_id) left join forms on f = s group by call_id
+"""
+
+
 def unknown_words_by_hash(spark, folder):
     """The same counts where neither the vocabulary nor the unknown words may be sent to every task: a join on hashes, salted by frequency."""
     words = english_words(spark, folder)
@@ -361,6 +393,7 @@ QUERIES = {
     "unknown_words": unknown_words,
     "unknown_words_by_salted_join": unknown_words_by_salted_join,
     "unknown_words_by_hash": unknown_words_by_hash,
+    "large_lookup_hits": large_lookup_hits,
     "glossary_words": glossary_words,
     "unknown_words_of_repeated_keys": unknown_words_of_repeated_keys,
     "redacted_texts": redacted_texts,
@@ -381,6 +414,7 @@ ORACLES = {
     "unknown_words": UNKNOWN_SQL,
     "unknown_words_by_salted_join": UNKNOWN_SQL,
     "unknown_words_by_hash": UNKNOWN_SQL,
+    "large_lookup_hits": LARGE_LOOKUP_SQL,
     "glossary_words": GLOSSARY_SQL,
     "unknown_words_of_repeated_keys": f"select call_id, case when call_id % 5 > 0 then call_id % 10 end as shared_key, evaluated_words, unknown_words from ({UNKNOWN_SQL})",
     "redacted_texts": REDACTED_SQL,

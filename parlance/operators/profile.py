@@ -35,7 +35,7 @@ def is_missing(column: Column, data_type: T.DataType, spellings: Sequence[str] =
 
 
 def _statistics(item: T.StructField, characters: int | None) -> str:
-    """All merging statistics of one column as one SQL struct.
+    """All merging statistics of one column, whose missing values are null by now, as one SQL struct.
 
     A wide table needs hundreds of aggregates; written as text they reach the
     JVM in one call per column.
@@ -43,12 +43,7 @@ def _statistics(item: T.StructField, characters: int | None) -> str:
     kind = logical_type(item.dataType)
     column = "`" + item.name.replace("`", "``") + "`"
     label = item.name.replace("\\", "\\\\").replace("'", "\\'")
-    missing = f"{column} is null"
-    if kind == "string":
-        missing = f"coalesce({column} rlike r'{tx.null_like_pattern(fixed.PROFILE_NULL_LIKE)}', true)"
-    elif isinstance(item.dataType, (T.DoubleType, T.FloatType)):
-        missing = f"({column} is null or isnan({column}))"
-    kept = f"if({missing}, null, {column})"
+    kept = column
     hits = ", ".join(
         f"named_struct('hits', count_if({_inspected(kept, characters)} rlike r'(?U){pattern}'), 'rank', {-position}, 'name', '{name}')"
         for position, (name, pattern) in enumerate(fixed.PROFILE_PATTERNS)
@@ -108,7 +103,10 @@ def _nulls(kind: str, *names: str) -> str:
 def column_statistics(df: DataFrame, table: str, characters: int | None = None) -> DataFrame:
     """One row per column from a single aggregate over the table."""
     structs = ", ".join(_statistics(item, characters) for item in df.schema.fields)
-    one_row = df.agg(F.expr(f"array({structs})").alias("columns"))
+    # Missing values are told apart once for each cell, before the many aggregates that ask for it.
+    kept = df.select(*[
+        F.when(~is_missing(quoted(item.name), item.dataType), quoted(item.name)).alias(item.name) for item in df.schema.fields])
+    one_row = kept.agg(F.expr(f"array({structs})").alias("columns"))
     return one_row.select(F.lit(table).alias("table_name"), F.inline("columns"))
 
 
