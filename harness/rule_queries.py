@@ -11,11 +11,12 @@ from parlance import fixed_values as fixed
 from parlance.functions import text as tx
 from parlance.operators import evidence as ev
 from parlance.operators import grouping as grp
-from parlance.operators import runs, vocabulary
+from parlance.operators import binding, runs, vocabulary
 from parlance.operators.features import text_features
 from parlance.operators.grouping import Grouping
 from parlance.operators.rules import base, fill_rate, topics
 from parlance.operators.rules import transcript_rules as tr
+from parlance.plans import assessment
 from parlance.sources.storage import materialize, new_path
 from parlance.streaming import incremental
 
@@ -551,6 +552,29 @@ union all select 'numbered_language', 'failed', 'CAST_INVALID_INPUT', null, null
 """
 
 
+def assessment_of_bound_columns(spark, folder):
+    """Speech rate and topic mix of a table whose columns are found by role, and whose date is text declared a date."""
+    made = tb.calls(spark, folder).select(
+        F.col("call_id").alias("Number"), F.col("transcript").alias("Transcript_Text"), F.col("duration_ms").alias("Duration_Milliseconds"),
+        F.concat(F.col("call_day").cast("string"), F.lit("T00:00:00")).alias("day"), "lang", F.col("lang").alias("theme"), F.col("source").alias("topic_name"))
+    known = [binding.ColumnDomain(name, "conversation.topic") for name in ("theme", "topic_name")]
+    table, columns = assessment.bind(made, "Number", domains=known, declared={"DAY": "date"}, targets=("lang",))
+    settings = assessment.Settings("calls", tb.SALT, decimals=None)
+    grouping = Grouping("day", "month", {"lang": "lang"})
+    metrics = assessment.assess(table, columns, grouping, settings, only=["speech_per_duration_rate", "topic_distribution"])["metrics"]
+    return flat(metrics, ["lang"]).where("metric_name in ('speech_words_per_minute', 'distinct_topic_count_lower_bound')").select(
+        "rule_id", "is_overall", "time_period", "lang", "row_count", "metric_name", F.round("value", 6).alias("value"))
+
+
+BOUND_SQL = f"""
+with {FEATURES_SQL}, {SPEECH_RATED_SQL}, g as ({SPEECH_GROUP_SQL}),
+t as (select grouping(lang) = 1 as is_overall, strftime(call_day, '%Y-%m') as time_period, lang, count(*) as row_count, count(distinct source) as topics
+      from ({tb.CALLS_SQL}) group by grouping sets ((), (strftime(call_day, '%Y-%m'), lang)))
+select 'speech_per_duration_rate' as rule_id, is_overall, time_period, lang, row_count, 'speech_words_per_minute' as metric_name, round(cast({OVERALL_RATE} as double), 6) as value
+from g where {OVERALL_RATE} is not null
+union all select 'topic_distribution', is_overall, time_period, lang, row_count, 'distinct_topic_count_lower_bound', cast(topics as double) from t"""
+
+
 # ---- unions and incremental results -----------------------------------------------------------
 
 
@@ -648,6 +672,7 @@ QUERIES = {
     "review_samples": review_samples,
     "incremental_fill_rate": incremental_fill_rate,
     "failing_rule_beside_six": failing_rule_beside_six,
+    "assessment_of_bound_columns": assessment_of_bound_columns,
     "incremental_topics": incremental_topics,
     "incremental_unknown_words": incremental_unknown_words,
     "incremental_evidence": incremental_evidence,
@@ -673,6 +698,7 @@ ORACLES = {
     "review_samples": REVIEW_SQL,
     "incremental_fill_rate": gq.FILL_RATE_SQL,
     "failing_rule_beside_six": FAILING_BESIDE_SQL,
+    "assessment_of_bound_columns": BOUND_SQL,
     "incremental_topics": TOPIC_SQL,
     "incremental_unknown_words": SPELL_SQL,
     "incremental_evidence": EVIDENCE_SQL,

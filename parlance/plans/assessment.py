@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance import fixed_values as fixed
-from parlance.operators import classify, evidence, patterns, relationships, runs, scoring, signals, vocabulary
+from parlance.operators import binding, classify, evidence, patterns, relationships, runs, scoring, signals, vocabulary
 from parlance.operators import grouping as grp
 from parlance.operators import profile as prof
 from parlance.operators.applicability import Selector, rule_applicability
@@ -70,6 +70,33 @@ def understand(
     }
 
 
+def bind(
+    df: DataFrame,
+    row_key: str,
+    overrides: Mapping[str, str] | None = None,
+    domains: Sequence[binding.ColumnDomain] = (),
+    declared: Mapping[str, str] | None = None,
+    aliases: Mapping[str, Sequence[str]] = binding.ROLE_ALIASES,
+    targets: Sequence[str] = (),
+    zone: str = "UTC",
+) -> tuple[DataFrame, TranscriptColumns]:
+    """The table with its declared dates parsed, and the columns found for the roles of an assessment.
+
+    A transcript must be found. Of several topic columns the one that comes first among the aliases is preferred.
+    """
+    known = list(domains)
+
+    def found(role: str, required: bool = False) -> str | None:
+        return binding.resolve_role(role, df.columns, overrides, known, aliases, required)
+
+    labelled = {item.column_name.casefold() for item in known if item.domain == "conversation.topic"}
+    topical = [name for name in df.columns if name.casefold() in labelled]
+    named = {role.casefold() for role in overrides or {}}
+    topic = topics.preferred_topic_column(topical, aliases.get("topic", ())) if topical and "topic" not in named else found("topic")
+    columns = TranscriptColumns(row_key, found("transcript", required=True), found("duration"), topic, targets)
+    return binding.apply_declared_temporal(df, declared or {}, known, zone), columns
+
+
 def transcript_features(
     df: DataFrame,
     columns: TranscriptColumns,

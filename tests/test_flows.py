@@ -1,13 +1,16 @@
 """Whole flows: incremental results, the assessment, and the shape of plans."""
 
+import datetime
+
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from harness import tables as tb
 from parlance.operators import evidence as ev
 from parlance.operators import grouping as grp
-from parlance.operators import classify, signals
+from parlance.operators import binding, classify, columns, signals
 from parlance.operators.applicability import Selector
 from parlance.operators.features import text_features
 from parlance.operators.filters import Filter, apply_filters
@@ -20,6 +23,7 @@ from parlance.streaming import incremental
 
 FOLDER = "/root/testdata/sf0.001"
 BY_DAY = Grouping("day", "month", {"site": "site"})
+BY_NONE = Grouping()
 
 
 def batch(spark, first, last):
@@ -128,6 +132,55 @@ def test_assessment(spark):
         assert "transcript" not in table.columns and "tokens" not in table.columns
 
 
+def test_a_rule_that_raises_leaves_the_others(spark):
+    """Only the raising rule fails, whatever its place; a failure that is not a rule's own is raised."""
+    df = spark.createDataFrame([(1, "x", "2024-01-01"), (2, "7", "2024-01-02")], "id int, c string, day string")
+    good = [base.Rule(f"r{i}", F.lit(True), F.col("id") > i, lambda state: [base.Metric("m", state("passed_count"))]) for i in range(5)]
+    bad = base.Rule("bad", F.lit(True), F.col("c").cast("int") > 0, lambda state: [])
+    named = base.Rule("named", F.lit(True), F.col("id") > 1, lambda state: [], failure_category=F.concat(F.lit("c"), F.col("c").cast("int").cast("string")))
+    lost = base.Rule("lost", F.col("nowhere") > 0, None, lambda state: [])
+    keyed = grp.group_keys(df, BY_NONE)
+    states, running, failing = base.measure_apart(keyed, [good[0], bad, *good[1:], named, lost], BY_NONE)
+    assert [rule.rule_id for rule in running] == ["r0", "r1", "r2", "r3", "r4"]
+    assert failing == {"bad": "CAST_INVALID_INPUT", "named": "CAST_INVALID_INPUT", "lost": "UNRESOLVED_COLUMN.WITH_SUGGESTION"}
+    assert states.agg(F.sum("r0__passed_count"), F.sum("r1__passed_count")).first() == (2, 1)
+    states, running, failing = base.measure_apart(keyed, [bad], BY_NONE)
+    assert running == [] and states.first()["row_count"] == 2 and set(failing) == {"bad"}
+    assert base.metric_table(grp.roll_up(states, BY_NONE, {"row_count": "sum"}), [], BY_NONE).count() == 0
+    broken = keyed.withColumn("id", F.raise_error(F.lit("no input")).cast("int"))
+    with pytest.raises(PySparkException):
+        base.measure_apart(broken.withColumn("in_group", F.col("id") > 0), good, BY_NONE)
+
+
+def test_roles_found_for_an_assessment(spark):
+    df = spark.createDataFrame([(1, "hi", "2024-01-05T10:00:00+02:00", "a", "b")], "k int, Transcript string, day string, theme string, topic_name string")
+    known = [binding.ColumnDomain("theme", "conversation.topic"), binding.ColumnDomain("topic_name", "conversation.topic")]
+    table, columns = assessment.bind(df, "k", domains=known, declared={"DAY": "Date"})
+    assert (columns.transcript, columns.duration, columns.topic) == ("Transcript", None, "topic_name")
+    assert dict(table.dtypes)["day"] == "date"
+    assert assessment.bind(df, "k", {"topic": "theme"}, known)[1].topic == "theme"
+    assert assessment.bind(df.drop("topic_name"), "k", domains=known[:1])[1].topic == "theme"
+    with pytest.raises(binding.BindingError):
+        assessment.bind(df.drop("Transcript"), "k")
+
+
+def test_notes_travel_with_columns(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x", "2024-05-01"), ("b", "y", "soon")], "plain string, secret_part string, day string")
+    guard = spark.createDataFrame([("t", "secret_part", False, True, False), ("t", "plain", True, False, False), ("other", "plain", False, True, False)],
+                                  "table_name string, column_name string, allowed boolean, sensitive boolean, free_text boolean")
+    noted = columns.annotated(df, "t", guard, declared={"Day": "DATE"})
+    noted.where("plain <> ''").join(df.select(F.col("plain").alias("p")), F.col("plain") == F.col("p")).drop("p").write.parquet(f"{tmp_path}/t")
+    back = spark.read.parquet(f"{tmp_path}/t")
+    for frame in (noted, back):
+        with pytest.raises(columns.UnsafeColumnError):
+            apply_filters(frame, [Filter("secret_part", "is_null")])
+        with pytest.raises(columns.UnsafeColumnError):
+            grp.group_keys(frame, Grouping(dimensions={"s": "secret_part"}))
+        assert apply_filters(frame, [Filter("plain", "equals", ("a",))]).count() == 1
+        assert [r["plain"] for r in apply_filters(frame, [Filter("day", "less_than", (datetime.date(2025, 1, 1),))]).collect()] == ["a"]
+        assert {r["d"] for r in grp.group_keys(frame, Grouping(dimensions={"d": "day"})).collect()} == {"2024-05-01", "__UNKNOWN__"}
+
+
 def test_chosen_rules(spark):
     calls = tb.calls(spark, FOLDER)
     columns = assessment.TranscriptColumns("call_id", "transcript", targets=("lang",))
