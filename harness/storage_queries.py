@@ -45,6 +45,16 @@ def csv_transcripts(spark, folder):
     )
 
 
+def split_csv_transcripts(spark, folder):
+    """Calls written as CSV with line breaks in fields, then read back by many tasks a file."""
+    path = new_path(spark, "calls-csv")
+    tb.calls(spark, folder).select("call_id", "transcript", "duration_ms", "lang").write.option("header", True).option("escape", '"').csv(path)
+    read = readers.read_split_csv(spark, path, "call_id bigint, transcript string, duration_ms double, lang string")
+    return read.where("_corrupt_line is null").select(
+        "call_id", F.col("lang").alias("direction"), F.col("duration_ms").alias("duration"),
+        tx.present(F.col("transcript")).alias("text_present"), F.sha2(tx.strip(F.coalesce("transcript", F.lit(""))), 256).alias("digest"))
+
+
 CSV_SQL = f"""
 with c as ({tb.CALLS_SQL})
 select call_id, lang as direction, duration_ms as duration, regexp_matches(coalesce(transcript, ''), '\\S') as text_present,
@@ -159,6 +169,7 @@ QUERIES = {
     "written_domains": written_domains,
     "refused_tables": refused_tables,
     "csv_transcripts": csv_transcripts,
+    "split_csv_transcripts": split_csv_transcripts,
     "written_metrics": written_metrics,
     "leading_groups": ordered_groups,
     "ordered_groups": ordered_groups,
@@ -170,6 +181,7 @@ ORACLES = {
     "written_domains": pq.DOMAINS_SQL,
     "refused_tables": REFUSED_TABLES_SQL,
     "csv_transcripts": CSV_SQL,
+    "split_csv_transcripts": CSV_SQL,
     "written_metrics": gq.FILL_RATE_SQL,
     "leading_groups": ORDERED_SQL,
     "ordered_groups": ORDERED_SQL,

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from parlance.functions import text as tx
 
@@ -48,8 +49,8 @@ def read_transcripts(
 
     Undecodable bytes are replaced and blank lines skipped. ``bad_lines`` keeps
     malformed lines in ``corrupt_column`` (warn), drops them (skip) or stops (error).
-    With ``multiline`` a quoted field may hold line breaks, but a file is one task;
-    switch it off for very large files without such fields, so that they split.
+    With ``multiline`` a quoted field may hold line breaks, but a file is one task; for very large files use
+    `read_split_csv`, or switch it off where there are no such fields.
     """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
@@ -71,6 +72,61 @@ def read_transcripts(
     return reader.schema(schema).csv(path)
 
 
+def read_split_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    bad_lines: str = "warn",
+    separator: str = ",",
+    quote: str = '"',
+    corrupt_column: str = "_corrupt_line",
+) -> DataFrame:
+    """Read CSV files whose quoted fields may hold line breaks, many tasks to a file; needs UTF-8 and a header line in every file.
+
+    Whether a line begins inside a quoted field follows from the number of quotes before it: blocks count theirs first, their
+    running sums are few rows, and each block then numbers the records that begin in it. Lines without an open quote are
+    records as they are; only the lines of longer records are brought together. Quotes inside quoted fields are doubled.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))).alias("quotes"))
+    # One row for each block of each file.
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    parity = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes")).select(
+        "file", "block", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)).alias("quotes_before"))
+    opened = F.col("quotes_before") + F.coalesce(F.sum("quotes").over(in_block), F.lit(0))
+    begun = lines.join(F.broadcast(parity), ["file", "block"]).withColumn("begins", opened % 2 == 0)
+    starts = begun.groupBy("file", "block").agg(F.count_if("begins").alias("starts")).select(
+        "file", "block", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("starts_before"))
+    so_far = F.count_if("begins").over(in_block.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = begun.join(F.broadcast(starts), ["file", "block"]).withColumn("record", F.col("starts_before") + so_far)
+    whole = F.col("begins") & (F.col("quotes") % 2 == 0)
+    alone = numbered.where(whole).select("file", "record", "value")
+    # The lines of one record.
+    pieces = F.array_sort(F.collect_list(F.struct("block", "place", "value")))
+    joined = numbered.where(~whole).groupBy("file", "record").agg(
+        F.array_join(F.transform(pieces, lambda piece: piece["value"]), "\n").alias("value"))
+    records = alone.unionByName(joined).where((F.col("record") > 1) & (F.trim(F.col("value"), F.lit(" \t\r")) != ""))
+    kept = T.StructType([*schema.fields, T.StructField(corrupt_column, T.StringType())])
+    options = {
+        "sep": separator, "quote": quote, "escape": quote, "columnNameOfCorruptRecord": corrupt_column,
+        "mode": "FAILFAST" if bad_lines == "error" else "PERMISSIVE",
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    }
+    parsed = records.select(F.from_csv(F.rtrim(F.col("value"), F.lit("\r")), _ddl(kept), options).alias("row")).select("row.*")
+    if bad_lines == "warn":
+        return parsed
+    return (parsed.where(F.col(corrupt_column).isNull()) if bad_lines == "skip" else parsed).drop(corrupt_column)
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{item.name.replace('`', '``')}` {item.dataType.simpleString()}" for item in schema.fields)
+
+
 def count_bad_lines(df: DataFrame, corrupt_column: str = "_corrupt_line") -> DataFrame:
     """Lines read and lines that did not fit the schema."""
     return df.agg(

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -193,3 +194,40 @@ def test_materialize_cuts_lineage(spark):
     stored = storage.materialize(spark.range(10).select(F.rand().alias("x")), "t")
     assert stored.collect() == stored.collect()
     assert isinstance(stored.schema["x"].dataType, T.DoubleType)
+
+
+def test_csv_records_over_many_blocks(spark, tmp_path):
+    """Records with line breaks, doubled quotes, blank lines and fields longer than a block, read by many tasks."""
+    import csv
+    import random
+
+    chance = random.Random(2)
+    pieces = ["a", "b,", "\n", "\n\n", '"', '""', " ", "é", "\r\n", "long " * 60]
+    rows = [(i, "".join(chance.choice(pieces) for _ in range(chance.randint(1, 12)))) for i in range(300)]
+    (tmp_path / "in").mkdir()
+    for number, part in enumerate((rows[:1], rows[1:250], rows[250:])):
+        with open(tmp_path / "in" / f"{number}.csv", "w", newline="") as target:
+            writer = csv.writer(target, lineterminator="\r\n" if number == 2 else "\n", quoting=csv.QUOTE_ALL)
+            writer.writerow(["id", "text"])
+            writer.writerows(part)
+            target.write("\n \n" if number == 1 else "")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        read = readers.read_split_csv(spark, str(tmp_path / "in"), "id int, text string")
+        assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 20
+        found = read.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(row["_corrupt_line"] is None for row in found)
+    assert sorted((row["id"], row["text"]) for row in found) == rows
+
+
+def test_bad_records_of_split_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text\n1,"x\ny"\n2,z,too,many\nthree,"w"\n')
+    schema = "id int, text string"
+    kept = readers.read_split_csv(spark, str(tmp_path / "a.csv"), schema).collect()
+    assert [row["id"] for row in kept if row["_corrupt_line"] is None] == [1] and len(kept) == 3
+    assert [tuple(row) for row in readers.read_split_csv(spark, str(tmp_path / "a.csv"), schema, "skip").collect()] == [(1, "x\ny")]
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        readers.read_split_csv(spark, str(tmp_path / "a.csv"), schema, "error").collect()
