@@ -227,6 +227,7 @@ SIGNAL_POLICIES = (
         "bands": (("outside_inclusive", 30.0, 300.0, "high", "IMPLAUSIBLE_SPEECH_RATE"),
                   ("outside_inclusive", 60.0, 220.0, "medium", "UNUSUAL_SPEECH_RATE")),
         "message": "Speech rate over %s is %.2f words per minute, outside the range from %.2f to %.2f.",
+        "message_scale": 1.0,
     },
 )
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}

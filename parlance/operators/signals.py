@@ -13,7 +13,7 @@ from parlance.functions import hashing
 
 POLICY_SCHEMA = (
     "policy_id string, check_name string, metric_name string, domains array<string>, minimum_distinct int, "
-    "message string, bands array<struct<operator:string,low:double,high:double,severity:string,signal_type:string>>"
+    "message string, message_scale double, bands array<struct<operator:string,low:double,high:double,severity:string,signal_type:string>>"
 )
 OBSERVATION = (
     "check_name", "metric_name", "table_name", "column_name", "domain", "value", "sample_size", "confidence",
@@ -28,7 +28,8 @@ def policy_table(spark: SparkSession, policies: Sequence[Mapping] = fixed.SIGNAL
     if len(set(names)) != len(names) or any(not policy["bands"] for policy in policies):
         raise ValueError("policies need unique names and at least one band")
     rows = [
-        (p["policy_id"], p["check_name"], p["metric"], list(p["domains"]), p.get("minimum_distinct"), p["message"], list(p["bands"]))
+        (p["policy_id"], p["check_name"], p["metric"], list(p["domains"]), p.get("minimum_distinct"), p["message"],
+         float(p.get("message_scale", 100.0)), list(p["bands"]))
         for p in policies
     ]
     return spark.createDataFrame(rows, POLICY_SCHEMA)
@@ -134,8 +135,8 @@ def rank_signals(banded: DataFrame) -> DataFrame:
 
 
 def _message() -> Column:
-    # printf takes its format from the policy row; shares are shown in percent, words per minute as they are.
-    scale = F.when(F.col("metric_name").endswith("_per_minute"), 1.0).otherwise(100.0)
+    # The policy row gives the format and the scale of its numbers: 100 shows shares in percent, 1 numbers as they are.
+    scale = F.col("message_scale")
     return F.call_function(
         "format_string", F.col("message"), F.col("column_name"), F.col("value") * scale, F.col("low") * scale,
         F.coalesce("high", F.lit(0.0)) * scale,
