@@ -105,15 +105,19 @@ class Transducer:
         self.score = model.scores
         self.byte_of = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
         self.unknown = model.kinds.index(UNKNOWN)
-        self.reach: dict[str, int] = {}
-        for piece in self.piece_of:
-            self.reach[piece[0]] = max(self.reach.get(piece[0], 0), len(piece))
+        # Every beginning of a piece, with the piece it is or -1: a look-up that fails ends the arcs from a place.
+        self.begun: dict[str, int] = {}
+        for piece, i in self.piece_of.items():
+            for end in range(1, len(piece)):
+                self.begun.setdefault(piece[:end], -1)
+            self.begun[piece] = i
         joined = {c for piece in self.piece_of if len(piece) > 1 for c in piece}
         self.apart = "".join(c for c in map(chr, range(32)) if c not in joined)
-        # Marks that no piece joins to a letter before them: merging never crosses that border.
-        joined_marks = {b for piece in self.piece_of for a, b in zip(piece, piece[1:], strict=False) if "a" <= a <= "z"}
-        self.closing = frozenset(".,") - joined_marks
-        self.weights: dict[int, float] = {}
+        # Neighbours within a piece: merging never crosses a border between two characters that are no such neighbours.
+        self.joined = {piece[i : i + 2] for piece in self.piece_of for i in range(len(piece) - 1)}
+        # Weights of an arc by the arc before it; the first entry is for none.
+        self.weights: list[dict[int, float]] = [{} for _ in range(len(self.text_of) + 1)]
+        self.weighed = 0
 
     def fallback(self, character: str) -> list[int]:
         found = [self.byte_of.get(byte) for byte in character.encode()]
@@ -135,30 +139,34 @@ class Transducer:
 
     def weight(self, before: int, piece: int) -> float:
         """Of an arc after another; -1 stands for the start or for a character spelt in bytes, which never merges."""
-        key = (before + 1) * len(self.text_of) + piece
-        known = self.weights.get(key)
+        known = self.weights[before + 1].get(piece)
         if known is None:
             left = self.text_of[before] if before >= 0 else ""
             right = self.text_of[piece]
             known = 0.0 if self.merged(left + right) == [x for x in (left, right) if x] else inf
-            if len(self.weights) >= CACHE_PAIRS:
-                self.weights.clear()
-            self.weights[key] = known
+            if self.weighed >= CACHE_PAIRS:
+                for weights in self.weights:
+                    weights.clear()
+                self.weighed = 0
+            self.weights[before + 1][piece] = known
+            self.weighed += 1
         return known
 
     def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
         """Pieces that spell the text from here, as (end, piece); -1 if only bytes can."""
-        found = []
-        for end in range(at + 1, min(len(text), at + self.reach.get(text[at], 0)) + 1):
-            piece = self.piece_of.get(text[at:end])
-            if piece is not None:
+        found, begun = [], self.begun
+        for end in range(at + 1, len(text) + 1):
+            piece = begun.get(text[at:end])
+            if piece is None:
+                break
+            if piece >= 0:
                 found.append((end, piece))
         return found if found and found[0][0] == at + 1 else [(at + 1, -1), *found]
 
     def shortest_path(self, text: str) -> list[int]:
         """Ids on the path of least weight over a chunk."""
         # A state is position * width + last arc + 1, so that 0 is the start.
-        width, weights = len(self.text_of) + 1, self.weights
+        width, weights, size = len(self.text_of) + 1, self.weights, len(text)
         before: dict[int, int] = {}
         arcs: dict[int, list[tuple[int, int]]] = {}
         heap = [(0.0, 0, 0, -1)]
@@ -168,25 +176,26 @@ class Transducer:
                 continue
             before[state] = origin
             at = -place
-            if at == len(text):
+            if at == size:
                 ids: list[int] = []
                 while origin >= 0:
                     last = state % width - 1
                     ids[:0] = [last] if last >= 0 else self.fallback(text[origin // width])
                     state, origin = origin, before[origin]
                 return ids
-            last = state % width - 1
-            for end, piece in arcs.get(at) or arcs.setdefault(at, self.arcs(text, at)):
-                further = end * width + piece + 1
-                if further in before:
-                    continue
-                more = 0.0
-                if piece >= 0:
-                    more = weights.get((last + 1) * (width - 1) + piece, -1.0)
-                    if more < 0:
-                        more = self.weight(last, piece)
+            last = state % width
+            known = weights[last]
+            found = arcs.get(at)
+            if found is None:
+                found = arcs[at] = self.arcs(text, at)
+            for end, piece in found:
+                more = 0.0 if piece < 0 else known.get(piece)
+                if more is None:
+                    more = self.weight(last - 1, piece)
                 if more < inf:
-                    heappush(heap, (cost + more, -end, further, state))
+                    further = end * width + piece + 1
+                    if further not in before:
+                        heappush(heap, (cost + more, -end, further, state))
         raise AssertionError(f"no path over {text[:40]!r}")
 
 
@@ -208,7 +217,7 @@ class PieceCodec(dict):
         self.spelling[self.machine.unknown] = " ⁇ ".encode()
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in self.machine.closing and "a" <= chunk[-2] <= "z":
+        if len(chunk) > 1 and chunk[-2:] not in self.machine.joined:
             coded = self[chunk[:-1]] + self[chunk[-1]]
         else:
             coded = np.array(self.machine.shortest_path(chunk), dtype="<i4").tobytes()
