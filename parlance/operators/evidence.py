@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +15,11 @@ from parlance.functions.text import quoted
 from parlance.operators import grouping as grp
 from parlance.operators.grouping import Grouping
 from parlance.operators.rules.base import Rule
+from parlance.sources.storage import materialize
+
+# Rows expected below a stratum's bound, as a multiple of those wanted, and most strata whose bounds go to every task.
+SAMPLE_SURPLUS = 8
+MOST_STRATA = 100_000
 
 
 def failures(keyed: DataFrame, rules: Sequence[Rule], grouping: Grouping, row_key: str) -> DataFrame:
@@ -119,10 +124,10 @@ def stratified_sample(
 ) -> DataFrame:
     """Smallest hashes of each direction and month, redacted for review.
 
-    Ranking needs only the key and the strata; a semi-join then fetches the few
-    chosen texts, so text is neither sorted nor shuffled.
+    Strata are counted first, without their texts. Hashes are spread evenly, so the wanted rows of a stratum lie below a
+    bound that follows from its size: one scan of the texts redacts the rows below their bounds, a few for each stratum. A stratum that
+    has too few of these, since its texts are mostly blank or its keys repeat, is ranked in full, by key before text.
     """
-    rows = df.where(tx.present(quoted(transcript)))
     spoken = F.lit(fixed.ALL_VALUES)
     if direction:
         named = F.lower(tx.strip(quoted(direction).cast("string")))
@@ -131,20 +136,39 @@ def stratified_sample(
     if time_column:
         moment = dates.wall_clock(quoted(time_column), df.schema[time_column].dataType, "UTC")
         month = F.coalesce(dates.bucket(moment, "month"), F.lit(fixed.UNKNOWN_TIME))
-    strata = rows.select(
-        quoted(row_key).alias("sample_key"),
-        F.concat_ws("|", spoken, month).alias("stratum"),
-        hashing.sample_hash(source, quoted(row_key)).alias("hash"),
-    )
+    stratum = F.concat_ws("|", spoken, month)
+    marked = df.where(quoted(row_key).isNotNull()).select(
+        stratum.alias("stratum"), hashing.sample_hash(source, quoted(row_key)).alias("hash"), quoted(transcript).alias("said"),
+        quoted(row_key).alias("sample_key"))
+    sizes = marked.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    bounded = sizes.withColumn("share", F.least(F.lit(1.0), SAMPLE_SURPLUS * per_stratum / F.col("n"))).withColumn(
+        "bound", F.format_string("%08x", F.least(F.lit((1 << 32) - 1), (F.col("share") * (1 << 32)).cast("bigint"))))
+    bounded = materialize(bounded.select("stratum", "share", "bound"), "strata")
+    shortened = F.substring(tx.redact_sample(F.col("said")), 1, characters).alias("sample")
+    if bounded.limit(MOST_STRATA + 1).count() > MOST_STRATA:
+        drawn = _ranked_in_full(marked, per_stratum, in_total, shortened)
+    else:
+        below = marked.join(F.broadcast(bounded), "stratum").where((F.substring("hash", 1, 8) <= F.col("bound")) & tx.present(F.col("said")))
+        near = materialize(below.select("stratum", "hash", shortened), "sample-rows")
+        held = near.groupBy("stratum").agg(F.count(F.lit(1)).alias("held"))
+        short = bounded.where("share < 1").join(held, "stratum", "left").where(F.coalesce("held", F.lit(0)) < per_stratum)
+        lacking = [row["stratum"] for row in short.select("stratum").collect()]
+        drawn = near.where(~F.col("stratum").isin(lacking)) if lacking else near
+        if lacking:
+            drawn = drawn.unionByName(_ranked_in_full(marked.where(F.col("stratum").isin(lacking)), per_stratum, in_total, shortened))
+    order = Window.partitionBy("stratum").orderBy("hash")
+    first = drawn.withColumn("position", F.row_number().over(order)).where(F.col("position") <= per_stratum)
+    return first.orderBy("hash").limit(in_total).select(F.concat(F.lit("sha256:"), F.col("hash")).alias("sample_id"), "stratum", "sample")
+
+
+def _ranked_in_full(marked: DataFrame, per_stratum: int, in_total: int, shortened: Column) -> DataFrame:
+    """Ranking needs only the hash and the stratum; a join then fetches the few chosen texts, so text is neither sorted nor shuffled."""
+    present = marked.where(tx.present(F.col("said")))
     order = Window.partitionBy("stratum").orderBy("hash")
-    ranked = strata.withColumn("position", F.row_number().over(order)).where(F.col("position") <= per_stratum)
-    chosen = ranked.orderBy("hash").limit(in_total)
+    ranked = present.select("sample_key", "stratum", "hash").withColumn("position", F.row_number().over(order))
+    chosen = ranked.where(F.col("position") <= per_stratum).orderBy("hash").limit(in_total).select(F.col("sample_key").alias("chosen_key")).distinct()
     # At most in_total rows, hence the broadcast.
-    return rows.join(F.broadcast(chosen), quoted(row_key) == F.col("sample_key")).select(
-        F.concat(F.lit("sha256:"), F.col("hash")).alias("sample_id"),
-        "stratum",
-        F.substring(tx.redact_sample(quoted(transcript)), 1, characters).alias("sample"),
-    )
+    return present.join(F.broadcast(chosen), F.col("sample_key") == F.col("chosen_key")).select("stratum", "hash", shortened)
 
 
 def within_budget(samples: DataFrame, budget: int = fixed.SAMPLE_CHARACTER_BUDGET) -> DataFrame:

@@ -263,3 +263,16 @@ def test_samples(spark):
     assert all("[EMAIL_REDACTED]" in row["sample"] for row in picked)
     kept = ev.within_budget(ev.stratified_sample(df, "t", "id", "src", "way", "day"), 100).collect()
     assert sum(len(row["sample"]) for row in kept) <= 100 and kept
+
+
+def test_samples_from_bounds_equal_a_full_ranking(spark, monkeypatch):
+    """Large strata, strata of mostly blank texts, and repeated keys, against ranking all rows."""
+    text = F.when((F.col("id") % 3 == 1) & (F.col("id") % 500 > 4), "  ").when(F.col("id") % 3 == 2, F.lit(None)).otherwise(F.concat(F.lit("words "), F.col("id")))
+    df = spark.range(6000).select(
+        F.when(F.col("id") < 40, 7).when(F.col("id") == 41, None).otherwise(F.col("id")).alias("id"), text.alias("t"),
+        F.element_at(F.array(F.lit("in"), F.lit("out"), F.lit("none")), (F.col("id") % 3 + 1).cast("int")).alias("way"))
+    found = [tuple(r) for r in ev.stratified_sample(df, "t", "id", "src", "way", per_stratum=5, in_total=50).collect()]
+    monkeypatch.setattr(ev, "MOST_STRATA", 0)
+    ranked = [tuple(r) for r in ev.stratified_sample(df, "t", "id", "src", "way", per_stratum=5, in_total=50).collect()]
+    assert len(found) == 10 and sorted(r[:2] for r in found) == sorted(r[:2] for r in ranked)
+    assert ev.stratified_sample(df.limit(0), "t", "id", "src").count() == 0
