@@ -112,7 +112,7 @@ def transcript_features(
     if words is None:
         none = {name: F.lit(0).cast("bigint") for name in ("evaluated_words", "unknown_words")}
         return materialize(rows, "features").withColumns(none)
-    return vocabulary.with_unknown_words(rows, "tokens", words, word_count)
+    return materialize(vocabulary.with_unknown_words(rows, "tokens", words, word_count), "features")
 
 
 def assess(
