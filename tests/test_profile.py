@@ -1,9 +1,11 @@
 import datetime
 import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from parlance.functions import hashing
 from parlance.operators import applicability as ap
 from parlance.operators import classify, relationships, signals
 from parlance.operators import profile as prof
@@ -166,3 +168,16 @@ def test_awkward_column_names(spark):
     assert set(found) == {"it's", "dotted.name", "back`tick"}
     assert found["it's"]["null_count"] == 1 and found["dotted.name"]["numeric"]["maximum"] == 2.0
     assert found["back`tick"]["distinct_count"] == 2
+
+
+def test_texts_are_counted_before_they_are_hashed(spark):
+    """Marks, long, padded and escaped texts keep the hash of their JSON form; what is missing is asked after counting."""
+    texts = ["", "s", "#", "#s", "s1", "1", " none ", "\tNULL", "say \"so\"", "a\nb", "é" * 64, "é" * 65, "s" * 65, " " * 70, "none" + " " * 70, None] * 3
+    df = spark.createDataFrame([(text, [text], 1.5, True) for text in texts], "t string, a array<string>, d double, b boolean")
+    found = {(row["column_name"], row["value_hash"]): row["n"] for row in prof.value_counts(df, "t").collect()}
+    each = df.select(*[F.struct(F.lit(i.name).alias("c"), F.when(
+        ~prof.is_missing(F.col(i.name), i.dataType), hashing.value_hash(F.col(i.name), logical_type(i.dataType))).alias("h")).alias(i.name) for i in df.schema.fields])
+    want = Counter((row[name]["c"], row[name]["h"]) for row in each.collect() for name in df.columns if row[name]["h"])
+    assert found == want and sum(n for (name, _), n in want.items() if name == "t") == 30
+    plan = prof.value_counts(df, "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Aggregate [column_name" in line and "sha2" in line]
