@@ -99,17 +99,22 @@ def start_incremental(
     topic: TopicSource | None = None,
     evidence: EvidenceSource | None = None,
     fanout: int = 8,
+    spread: bool = False,
 ) -> StreamingQuery:
     """Process the files that arrived since the last run into the store at ``partials``, then stop.
 
     ``prepare`` adds the feature columns; ``make_rules`` builds the rules from
-    the prepared frame.
+    the prepared frame. ``spread`` deals the rows of a batch over all cores
+    before they are prepared: a row group, which may be a whole file, is otherwise
+    one task's, which hurts where each row is costly to inspect.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         log = SegmentLog(spark, partials, fanout)
         if batch_id <= log.committed():
             return
+        if spread:
+            batch = batch.repartition(max(spark.sparkContext.defaultParallelism, batch.rdd.getNumPartitions()))
         # Rows are prepared once for all tables; what a rule needs of a text is a feature by then.
         ready = materialize(prepare(batch), "prepared-batch") if topic or evidence else prepare(batch)
         rules = make_rules(ready)

@@ -63,6 +63,21 @@ def test_batches_equal_one_shot(spark, tmp_path):
     assert sorted(map(repr, stored)) == sorted(map(repr, whole))
 
 
+def test_a_batch_of_one_file_is_prepared_by_all_cores(spark, tmp_path):
+    source, partials, progress, parts = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "progress"), []
+    batch(spark, 0, 40).coalesce(1).write.parquet(source)
+
+    def prepare(df):
+        parts.append(df.rdd.getNumPartitions())
+        return text_features(df, "t")
+
+    incremental.start_incremental(
+        spark, source, batch(spark, 0, 1).schema, "parquet", partials, progress, BY_DAY, rules, prepare, spread=True).awaitTermination()
+    assert parts == [spark.sparkContext.defaultParallelism]
+    whole = base.run_rules(text_features(batch(spark, 0, 40), "t"), rules(None), BY_DAY)
+    assert incremental.stored_metrics(spark, partials, BY_DAY, rules(None)).count() == whole.count()
+
+
 def test_incremental_evidence_and_topics_under_a_group_limit(spark, tmp_path):
     """Batches, folded and replayed, give what one run over all rows gives, groups beyond the limit folded."""
     grouping = Grouping("day", "month", {"site": "site"}, overflow="other", maximum_groups=3)
