@@ -165,3 +165,14 @@ def test_run_status(spark):
 
 def test_metric_type_is_the_table_schema():
     assert "value_map:map<string,double>" in METRIC_TYPE
+
+
+def test_texts_are_inspected_once_for_metrics_and_failures(spark, monkeypatch):
+    from harness import scoring_queries, text_queries
+
+    asked, inspect = [], text_queries.calls_features
+    monkeypatch.setattr(scoring_queries, "_known", {})
+    monkeypatch.setattr(text_queries, "calls_features", lambda *args, **options: asked.append(1) or inspect(*args, **options))
+    folder = "/root/testdata/sf0.001"
+    assert scoring_queries.metrics(spark, folder).count() > 0 and scoring_queries.failures(spark, folder).count() > 0
+    assert len(asked) == 1
