@@ -55,6 +55,14 @@ def test_parquet_and_spreading(spark, tmp_path):
     assert "Exchange" not in plan(readers.read_table(spark, path, spread=True, small_input_bytes=1))
 
 
+def test_a_large_row_group_is_spread(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(10_000).coalesce(1).write.parquet(path)
+    spread = readers.read_table(spark, path, spread=True, small_input_bytes=1, split_bytes=5_000)
+    assert "Exchange" in plan(spread) and spread.count() == 10_000
+    assert spread.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
