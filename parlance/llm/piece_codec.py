@@ -2,7 +2,7 @@
 
 A model file is compiled into three parts: the normaliser (a prefix space, spaces as U+2581), an arc for every piece, and
 byte arcs for characters that no piece spells. An input is composed with them lazily: states are (position, last arc), and the
-path of least weight in the tropical semiring is found by uniform-cost search, states further on first among equals.
+path of least weight in the tropical semiring is searched for, states further on first among equals.
 
 Merging by rank is not a sum of piece scores, but it is a matter of neighbours: a sequence of pieces is what merging would leave
 if and only if that holds for every two adjacent pieces, since the first merge across a border would also happen between
@@ -22,7 +22,6 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from heapq import heappop, heappush
 from math import inf
 
 import numpy as np
@@ -36,6 +35,8 @@ SPACE = "▁"
 # Bounds of what a task keeps of chunks, about 150 MB, and a worker of pair weights, about 60 MB.
 CACHE_CHUNKS = 600_000
 CACHE_PAIRS = 400_000
+# Characters whose arcs a task keeps, and how many such beginnings, about 20 MB.
+WINDOW, CACHE_WINDOWS = 4, 60_000
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE_MODEL = 2
@@ -118,6 +119,7 @@ class Transducer:
         # Weights of an arc by the arc before it; the first entry is for none.
         self.weights: list[dict[int, float]] = [{} for _ in range(len(self.text_of) + 1)]
         self.weighed = 0
+        self.windows: dict[str, list[tuple[int, int]]] = {}
 
     def fallback(self, character: str) -> list[int]:
         found = [self.byte_of.get(byte) for byte in character.encode()]
@@ -153,49 +155,71 @@ class Transducer:
         return known
 
     def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
-        """Pieces that spell the text from here, as (end, piece); -1 if only bytes can."""
+        """Pieces that spell the text from here, longest first, as (length, piece); -1 if only bytes can.
+
+        Where no longer piece begins with the next few characters, they alone decide, and the answer is kept for them.
+        """
+        window = text[at : at + WINDOW]
+        kept = self.windows.get(window)
+        if kept is not None:
+            return kept
         found, begun = [], self.begun
+        decided = len(window) < WINDOW
         for end in range(at + 1, len(text) + 1):
             piece = begun.get(text[at:end])
             if piece is None:
+                decided = decided or end - at <= WINDOW
                 break
             if piece >= 0:
-                found.append((end, piece))
-        return found if found and found[0][0] == at + 1 else [(at + 1, -1), *found]
+                found.append((end - at, piece))
+        if not found or found[0][0] != 1:
+            found.insert(0, (1, -1))
+        found.reverse()
+        if decided:
+            if len(self.windows) >= CACHE_WINDOWS:
+                self.windows.clear()
+            self.windows[window] = found
+        return found
 
     def shortest_path(self, text: str) -> list[int]:
         """Ids on the path of least weight over a chunk."""
-        # A state is position * width + last arc + 1, so that 0 is the start.
+        # A finite weight is zero, so a state, (position, last arc + 1), costs nothing once reached: further arcs are tried first, the
+        # weight of a shorter one is asked only if those lead nowhere, and states without a way on are not entered again.
         width, weights, size = len(self.text_of) + 1, self.weights, len(text)
-        before: dict[int, int] = {}
-        arcs: dict[int, list[tuple[int, int]]] = {}
-        heap = [(0.0, 0, 0, -1)]
-        while heap:
-            cost, place, state, origin = heappop(heap)
-            if state in before:
-                continue
-            before[state] = origin
-            at = -place
-            if at == size:
-                ids: list[int] = []
-                while origin >= 0:
-                    last = state % width - 1
-                    ids[:0] = [last] if last >= 0 else self.fallback(text[origin // width])
-                    state, origin = origin, before[origin]
-                return ids
-            last = state % width
+        closed: set[int] = set()
+        at = last = 0
+        untried = iter(self.arcs(text, 0))
+        path: list[tuple[int, int, Iterator[tuple[int, int]]]] = []
+        while True:
             known = weights[last]
-            found = arcs.get(at)
-            if found is None:
-                found = arcs[at] = self.arcs(text, at)
-            for end, piece in found:
-                more = 0.0 if piece < 0 else known.get(piece)
-                if more is None:
-                    more = self.weight(last - 1, piece)
-                if more < inf:
-                    further = end * width + piece + 1
-                    if further not in before:
-                        heappush(heap, (cost + more, -end, further, state))
+            for length, piece in untried:
+                if piece >= 0:
+                    more = known.get(piece)
+                    if more is None:
+                        more = self.weight(last - 1, piece)
+                    if more == inf:
+                        continue
+                end = at + length
+                if end == size:
+                    ids: list[int] = []
+                    steps = [*[(place, arc) for place, arc, _ in path], (at, last), (size, piece + 1)]
+                    for (place, _), (_, arc) in zip(steps, steps[1:], strict=False):
+                        if arc:
+                            ids.append(arc - 1)
+                        else:
+                            ids += self.fallback(text[place])
+                    return ids
+                if closed and end * width + piece + 1 in closed:
+                    continue
+                path.append((at, last, untried))
+                at, last = end, piece + 1
+                untried = iter(self.arcs(text, at))
+                break
+            else:
+                if not path:
+                    break
+                closed.add(at * width + last)
+                at, last, untried = path.pop()
         raise AssertionError(f"no path over {text[:40]!r}")
 
 
@@ -227,8 +251,9 @@ class PieceCodec(dict):
         return coded
 
     def forget(self) -> None:
-        """Drop the encoded chunks; the compiled model and the pair weights, which hardly grow from task to task, stay."""
+        """Drop the encoded chunks and the arcs of beginnings; the compiled model and the pair weights, which hardly grow from task to task, stay."""
         self.clear()
+        self.machine.windows.clear()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""

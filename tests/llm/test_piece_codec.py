@@ -59,6 +59,19 @@ def test_small_caches_change_nothing(library, monkeypatch):
     assert ids(coder, text) == library.encode(text)
 
 
+@pytest.mark.parametrize("window", [1, 2, 4, 7])
+def test_kept_arcs_change_nothing(library, monkeypatch, window):
+    """Arcs are kept for a few characters if those decide; at the end of a text and in long pieces too."""
+    monkeypatch.setattr(piece_codec, "WINDOW", window)
+    monkeypatch.setattr(piece_codec, "CACHE_WINDOWS", 40)
+    coder = piece_codec.PieceCodec(MODEL)
+    for text in [*AWKWARD, "edin edinging international internationalisation", "interna", "nationals"]:
+        assert ids(coder, text) == library.encode(text or "")
+    assert 0 < len(coder.machine.windows) <= 40
+    coder.forget()
+    assert not coder.machine.windows and not coder
+
+
 def test_query(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     found = op6_piece_transducer(spark, FOLDER)
