@@ -181,3 +181,19 @@ def test_texts_are_counted_before_they_are_hashed(spark):
     assert found == want and sum(n for (name, _), n in want.items() if name == "t") == 30
     plan = prof.value_counts(df, "t")._jdf.queryExecution().optimizedPlan().toString()
     assert [line for line in plan.splitlines() if "Aggregate [column_name" in line and "sha2" in line]
+
+
+def _below_the_count(counts):
+    """Lines of the optimised plan under the aggregate that counts forms."""
+    lines = counts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return lines[next(i for i, line in enumerate(lines) if "Aggregate [column_name" in line and "form" in line) + 1 :]
+
+
+def test_no_cell_is_hashed_or_inspected_before_the_count(spark):
+    """A filter on what follows from the counted form alone would be moved below the count."""
+    df = spark.createDataFrame([("a", 1.5), ("none", None)], "t string, d double")
+    filters = [line for line in _below_the_count(prof.value_counts(df, "t")) if "Filter" in line]
+    assert not any("sha2" in line or "RLIKE" in line for line in filters)
+    found = prof.value_counts(df, "t", {"t": F.col("d") > 1, "d": F.lit(False)}).collect()
+    assert [(row["column_name"], row["n"]) for row in found] == [("t", 1)]
+    assert prof.value_counts(df, "t", {}).count() == 0
