@@ -11,7 +11,7 @@ Values enter as 64-bit hashes. Missing values, as profiles define them, take no
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from parlance.functions import hashing
 from parlance.functions.text import quoted
 from parlance.operators import profile as prof
 from parlance.sources.readers import logical_type
+from parlance.sources.storage import materialize
 
 # Standard errors: 0.8 % of a distinct count, 0.8 % of rows in a quantile's rank.
 DISTINCT_PRECISION = 14
@@ -32,6 +33,7 @@ PROPOSED_VALUES = 100
 # A frequent-items sketch of m tracked values misses none of a share of 2.625 / m of all values, and its estimates exceed the true
 # counts by no more than that; until it holds m values it makes no error.
 MISSED_SHARE = 2.625
+KINDS = ("distinct", "frequent", "quantile")
 # How many times the wanted sample values are expected below a hash threshold.
 SAMPLE_SURPLUS = 8
 
@@ -41,25 +43,28 @@ def _key(item: T.StructField) -> str:
     return f"xxhash64({f'to_json({column})' if isinstance(item.dataType, T.MapType) else column})"
 
 
-def _sketches(item: T.StructField, tracked: int) -> str:
+def _sketches(item: T.StructField, tracked: int, kinds: Collection[str]) -> str:
     column = "`" + item.name.replace("`", "``") + "`"
     label = item.name.replace("\\", "\\\\").replace("'", "\\'")
     present = f"filter (where {column} is not null)"
     number = f"cast({column} as double)" if logical_type(item.dataType) in prof.NUMERIC else "cast(null as double)"
     finite = f"filter (where abs({number}) < double('infinity'))"
-    return f"""named_struct(
-        'column_name', '{label}', 'value_count', count({column}),
-        'distinct_sketch', hll_sketch_agg({_key(item)}, {DISTINCT_PRECISION}) {present},
-        'frequent_sketch', approx_top_k_accumulate({_key(item)}, {tracked}) {present},
-        'number_count', count({number}) {finite},
-        'quantile_sketch', kll_sketch_agg_double({number}, {QUANTILE_SIZE}) {finite})"""
-
-
-def column_sketches(df: DataFrame, table: str, tracked: int = TRACKED_VALUES) -> DataFrame:
-    """One row per column: its sketches, from a single aggregate over the table."""
+    entries = [f"'column_name', '{label}', 'value_count', count({column})"]
+    if "distinct" in kinds:
+        entries.append(f"'distinct_sketch', hll_sketch_agg({_key(item)}, {DISTINCT_PRECISION}) {present}")
+    if "frequent" in kinds:
+        entries.append(f"'frequent_sketch', approx_top_k_accumulate({_key(item)}, {tracked}) {present}")
+    if "quantile" in kinds:
+        entries.append(
+            f"'number_count', count({number}) {finite}, 'quantile_sketch', kll_sketch_agg_double({number}, {QUANTILE_SIZE}) {finite}")
+    return f"named_struct({', '.join(entries)})"
+
+
+def column_sketches(df: DataFrame, table: str, tracked: int = TRACKED_VALUES, kinds: Collection[str] = KINDS) -> DataFrame:
+    """One row per column: its sketches, or those of the kinds asked for, from a single aggregate over the table."""
     kept = df.select(*[
         F.when(~prof.is_missing(quoted(item.name), item.dataType), quoted(item.name)).alias(item.name) for item in df.schema.fields])
-    structs = ", ".join(_sketches(item, tracked) for item in df.schema.fields)
+    structs = ", ".join(_sketches(item, tracked, kinds) for item in df.schema.fields)
     return kept.agg(F.expr(f"array({structs})").alias("columns")).select(F.lit(table).alias("table_name"), F.inline("columns"))
 
 
@@ -113,20 +118,6 @@ def _proposals(sketches: DataFrame, proposed: int) -> dict[str, list[tuple[int,
     return {row["column_name"]: [(entry["item"], entry["count"]) for entry in row["values"]] for row in rows}
 
 
-def _counted(df: DataFrame, table: str, chosen: Mapping[str, object]) -> DataFrame:
-    """Rows per (column, value hash) over the cells that a condition chooses."""
-    types = {item.name: item.dataType for item in df.schema.fields}
-    entries = [
-        F.struct(F.lit(name).alias("column_name"), F.when(
-            condition & ~prof.is_missing(quoted(name), types[name]), hashing.value_hash(quoted(name), logical_type(types[name]))
-        ).alias("value_hash"))
-        for name, condition in chosen.items()
-    ]
-    each = df.select(F.inline(F.array(*entries))).where(F.col("value_hash").isNotNull())
-    return each.groupBy("column_name", "value_hash").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(table).alias("table_name"), "column_name", "value_hash", "n")
-
-
 def frequent_value_counts(
     df: DataFrame, table: str, sketches: DataFrame, limit: int = fixed.PROFILE_TOP_VALUES, proposed: int = PROPOSED_VALUES,
     tracked: int = TRACKED_VALUES,
@@ -138,7 +129,9 @@ def frequent_value_counts(
     """
     known, listed = _estimates(sketches), _proposals(sketches, proposed)
     kinds = {item.name: item for item in df.schema.fields}
-    near = _counted(df, table, {name: F.expr(_key(kinds[name])).isin([key for key, _ in values]) for name, values in listed.items() if values})
+    # A few rows for each column; several steps read them.
+    near = materialize(prof.value_counts(df, table, {
+        name: F.expr(_key(kinds[name])).isin([key for key, _ in values]) for name, values in listed.items() if values}), "near-values")
     order = Window.partitionBy("column_name").orderBy(F.desc("n"))
     ranked = near.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
     reached = {row["column_name"]: (row["values"], row["least"]) for row in ranked.groupBy("column_name").agg(
@@ -170,7 +163,7 @@ def sampled_value_counts(df: DataFrame, table: str, sketches: DataFrame, limit:
         digits = F.substring(hashing.value_hash(quoted(name), logical_type(types[name])), 1, 8)
         return digits <= F.lit(f"{min(bound, (1 << 32) - 1):08x}")
 
-    near = _counted(df, table, {name: below(name, bound) for name, bound in bounds.items()})
+    near = materialize(prof.value_counts(df, table, {name: below(name, bound) for name, bound in bounds.items()}), "near-values")
     held = {row["column_name"]: row["n"] for row in near.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
     short = [name for name, bound in bounds.items() if bound < 1 << 32 and held.get(name, 0) < limit]
     if not short:

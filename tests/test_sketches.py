@@ -70,3 +70,13 @@ def test_no_rows_and_awkward_columns(spark):
     made = sk.column_sketches(full, "t")
     assert {row["column_name"]: row["distinct_estimate"] for row in sk.distinct_estimates(made).collect()} == {"a": 1, "b": 2, "c": 2, "d": 1}
     assert sk.sampled_value_counts(full.select("a", "b", "c"), "t", made.where("column_name <> 'd'")).count() == 5
+
+
+def test_values_of_a_table_without_any(spark):
+    """Nothing is proposed for a table without values; only the kinds asked for are made."""
+    empty = spark.createDataFrame([], "a int, b string")
+    made = sk.column_sketches(empty, "t", kinds=("distinct", "frequent"))
+    assert made.columns == ["table_name", "column_name", "value_count", "distinct_sketch", "frequent_sketch"]
+    counts, whole = sk.frequent_value_counts(empty, "t", made)
+    assert (counts.count(), whole) == (0, [])
+    assert sk.sampled_value_counts(empty, "t", made).count() == 0
