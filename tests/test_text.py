@@ -151,6 +151,22 @@ def test_redaction_and_truncation(spark):
     assert tuple(df.select(kept, cut).first()) == ("write", True)
 
 
+# Digits beyond the first plane before a number, marks, joiners and kinds of numbers beside a word, and the separators of ASCII.
+ODD = [
+    "\U0001d7d1\U0001d7d7 \U0001d7d1363-690-8060 363-690-8060", "\U0001d7d0131-10-4361 131-10-4361", "\U0001d7d64111111111111111 4111111111111111",
+    "555\x1c123\x1d4567 and 555\u00a0123\u20284567", "\u200dborn 01/02/1990\u200d", "e\u0301born 01/02/1990\u0301", "\u00bdborn 01/02/1990 born 01/02/1990\u00bd",
+    "\u203fdob 1/2/1990\u203f date\x1fof\x1ebirth is 1/2/1990", "\u0130a@b\u017f.kom \u0130@b.co.\u0130\u0130", "\u00b2a.b@c.org\u00b2 \u200da.b@c.org\u0301 e\u0301a.b@c.org_",
+    "\U00010400123-45-6789 \u2167123-45-6789 \u200d123-45-6789\u0301 123456789\u00b2", "\x1c a \x1d\u3000 b \x85", "\U0001d7ce12345678 12345678\U0001d7ce",
+]
+
+
+def test_personal_data_in_odd_scripts(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id int, t string")
+    counts = [pii.match_count(F.col("t"), *pattern).alias(pattern[0]) for pattern in fixed.PII_PATTERNS]
+    found = [row.asDict() for row in df.orderBy("id").select(*counts).collect()]
+    assert found == [reference(text)["pii"] for text in ODD]
+
+
 def test_topics(spark):
     df = spark.createDataFrame([("Pay bill| refund ;; ",), ("|;",), ("Late FEE > card",)], "t string")
     ontology = [(20, "Money", ("pay", "fee")), (10, "Refunds", ("refund",)), (30, "Cards", ("card",))]
