@@ -167,6 +167,17 @@ def test_personal_data_in_odd_scripts(spark):
     assert found == [reference(text)["pii"] for text in ODD]
 
 
+def test_redaction_in_odd_scripts(spark):
+    def redacted(text):
+        for label, pattern in fixed.SAMPLE_REDACTIONS:
+            text = re.sub(pattern, f"[{label}_REDACTED]", text)
+        return re.sub(r"\s+", " ", text).strip()
+
+    texts = ODD + STRINGS
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    assert [row[0] for row in df.orderBy("id").select(tx.redact_sample(F.col("t"))).collect()] == [redacted(text) for text in texts]
+
+
 def test_topics(spark):
     df = spark.createDataFrame([("Pay bill| refund ;; ",), ("|;",), ("Late FEE > card",)], "t string")
     ontology = [(20, "Money", ("pay", "fee")), (10, "Refunds", ("refund",)), (30, "Cards", ("card",))]
